@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topolake.llm import fingerprint, mixing, packing, secret_scan, url_filter
+from topolake.llm import embed_dedup, fingerprint, langid, minhash, mixing, packing, quality, secret_scan, token_count, url_filter
+from topolake.shipping import ship
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -16,7 +17,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: The host rules in force, then the method's own patterns.
@@ -66,6 +67,11 @@ FROM ruled
 """
 
 
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest matches over a byte-level vocabulary of 50,257 pieces."""
+    return token_count.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("_base_spans", lambda s: s.kind == kind)).cast("long")
@@ -77,10 +83,27 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words and a similarity of 0.85."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -104,5 +127,11 @@ SELECT doc_id, text, lang, source, n_chars, copy_no::BIGINT AS copy_no FROM copi
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_secret_scan, op7_packing, op9_fingerprints, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_token_count, op3_secret_scan, op4_quality, op5_language_id,
+        op6_minhash, op7_packing, op8_embedding_dedup, op9_fingerprints, op10_mixing,
+    )
+}
 ORACLES = {"op1_url_filter": OP1_SQL, "op10_mixing": OP10_SQL}
