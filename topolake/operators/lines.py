@@ -15,7 +15,7 @@ COMMENT_ONLY = "^(//|#|/\\*|\\*)"
 
 def split_lines(content: Column) -> Column:
     """Lines without their ends; a final line end opens no line, and an empty text has none."""
-    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(content, "\r?\n$", ""), "\r?\n"))
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(content, r"\r?\n\z", ""), "\r?\n"))
 
 
 def lines_of(files: DataFrame, content: str = "content") -> DataFrame:

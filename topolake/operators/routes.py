@@ -137,4 +137,6 @@ def routes(files: DataFrame) -> DataFrame:
     for f in FRAMEWORKS:
         found = found.unionByName(_routes(files, f, service).withColumn("gated", F.lit(True)))
     opened = gates(files).withColumn("open", F.lit(True))
+    twice = opened.filter("framework = 'sinatra'").select(F.lit("rails").alias("framework"), F.lit("ast_rails_route").alias("extraction_method"))
+    found = found.join(F.broadcast(twice), ["framework", "extraction_method"], "left_anti")  # Sinatra reads every file
     return found.join(F.broadcast(opened), "framework", "left").filter("open or not gated").drop("open", "gated", "framework")  # a row a framework at most

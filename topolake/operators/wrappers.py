@@ -21,18 +21,21 @@ LONGEST_BODY, DEPTH = 200, 2
 SITE = r"([^\s()]+)\("
 
 
-def seeds(rules: DataFrame, files: DataFrame, language: str) -> DataFrame:
-    """(name, protocol, depth, chain, dependency) of rules for a language, or for all, whose gate some file passes."""
-    for_all = F.coalesce(F.size("languages"), F.lit(0)) <= 0
-    own = rules.filter(for_all | F.array_contains("languages", language))
-    gates = own.select("id", F.explode("import_gate").alias("gate"))
-    texts = files.filter(F.col("language") == language).select("content")
-    open_ids = gates.select("gate").distinct().join(texts, F.contains(F.col("content"), F.col("gate")), "left_semi").join(gates, "gate").select("id").distinct()
-    passed = own.filter(F.coalesce(F.size("import_gate"), F.lit(0)) <= 0).unionByName(own.filter(F.size("import_gate") > 0).join(open_ids, "id", "left_semi"))
-    named = passed.select("id", "ord", F.posexplode("detections").alias("d_ord", "d")).withColumn("name", F.regexp_replace("d.match", r"\(+$", ""))
+def seeds(rules: DataFrame, files: DataFrame) -> DataFrame:
+    """(language, name, protocol, depth, chain, dependency) of rules for a language, or for all, whose gate some file of it passes."""
+    languages = files.select("language").filter("language is not null").distinct()
+    of_all = rules.filter(F.coalesce(F.size("languages"), F.lit(0)) <= 0).drop("languages")
+    own = rules.withColumn("language", F.explode("languages")).drop("languages")
+    placed = own.join(languages, "language", "left_semi").unionByName(of_all.join(languages, F.lit(True)).select(own.columns))  # a few languages
+    ungated = F.coalesce(F.size("import_gate"), F.lit(0)) <= 0
+    gates = placed.filter(~ungated).select("language", "id", F.explode("import_gate").alias("gate"))
+    texts = files.select("language", "content")
+    opened = gates.select("language", "gate").distinct().join(texts, (texts["language"] == gates["language"]) & F.contains(F.col("content"), F.col("gate")), "left_semi").join(gates, ["language", "gate"]).select("language", "id").distinct()
+    passed = placed.filter(ungated).unionByName(placed.filter(~ungated).join(opened, ["language", "id"], "left_semi").select(placed.columns))
+    named = passed.select("language", "id", "ord", F.posexplode("detections").alias("d_ord", "d")).withColumn("name", F.regexp_replace("d.match", r"\(+$", ""))
     fit = named.filter((F.octet_length("name") >= 4) & ~F.col("name").startswith("."))
-    best = fit.groupBy("name").agg(F.min_by(F.struct("d.protocol", "id"), F.struct("ord", "d_ord")).alias("b"))
-    return best.select("name", "b.protocol", F.lit(0).alias("depth"), F.array("name").alias("chain"), F.col("b.id").alias("dependency"))
+    best = fit.groupBy("language", "name").agg(F.min_by(F.struct("d.protocol", "id"), F.struct("ord", "d_ord")).alias("b"))
+    return best.select("language", "name", "b.protocol", F.lit(0).alias("depth"), F.array("name").alias("chain"), F.col("b.id").alias("dependency"))
 
 
 def call_sites(rows: DataFrame, text: str) -> DataFrame:
@@ -40,27 +43,27 @@ def call_sites(rows: DataFrame, text: str) -> DataFrame:
 
 
 def sites_of(sites: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """(site, wrapper columns): distinct sites that end in a wrapper's name."""
+    """(language, site, wrapper columns): distinct sites that end in a wrapper's name."""
     ends = F.transform(F.sequence(F.lit(1), F.length("site")), lambda i: F.substring(F.col("site"), i, F.length("site")))
-    tails = sites.select("site").distinct().select("site", F.explode(ends).alias("name"))
-    return tails.join(wrappers, "name")
+    tails = sites.select("language", "site").distinct().select("language", "site", F.explode(ends).alias("name"))
+    return tails.join(wrappers, ["language", "name"])
 
 
 def trace(functions: DataFrame, start: DataFrame) -> DataFrame:
-    """start and the functions (name, body, file_ord) that call them, directly or through one other.
+    """start and the functions (language, name, body, file_ord) that call them, directly or through one other.
 
     A function's callee is the one of least depth and name; a name keeps its first entry.
     """
     known = start
     short = functions.filter((F.size(F.split("body", "\n")) <= LONGEST_BODY) & ~F.col("name").isin(*GENERAL))
-    sites = call_sites(short, "body").select(F.col("name").alias("caller"), "file_ord", "site")
+    sites = call_sites(short, "body").select("language", F.col("name").alias("caller"), "file_ord", "site").cache()
     for depth in range(1, DEPTH + 1):
-        callee = sites_of(sites, known.select("name", "protocol", "depth", "chain", "dependency"))
-        hits = sites.join(callee, "site").filter(F.col("caller") != F.col("name"))
-        best = hits.groupBy("caller", "file_ord").agg(F.min_by(F.struct("name", "protocol", "depth", "chain", "dependency"), F.struct("depth", "name")).alias("c"))
-        new = best.filter(F.col("c.depth") == depth - 1).groupBy(F.col("caller").alias("name")).agg(F.min_by("c", "file_ord").alias("c"))
-        grown = new.select("name", "c.protocol", F.lit(depth).alias("depth"), F.concat(F.array("name"), "c.chain").alias("chain"), "c.dependency")
-        known = known.unionByName(grown.join(known.select("name"), "name", "left_anti"))
+        callee = sites_of(sites, known.select("language", "name", "protocol", "depth", "chain", "dependency"))
+        hits = sites.join(callee, ["language", "site"]).filter(F.col("caller") != F.col("name"))
+        best = hits.groupBy("language", "caller", "file_ord").agg(F.min_by(F.struct("name", "protocol", "depth", "chain", "dependency"), F.struct("depth", "name")).alias("c"))
+        new = best.filter(F.col("c.depth") == depth - 1).groupBy("language", F.col("caller").alias("name")).agg(F.min_by("c", "file_ord").alias("c"))
+        grown = new.select("language", "name", "c.protocol", F.lit(depth).alias("depth"), F.concat(F.array("name"), "c.chain").alias("chain"), "c.dependency")
+        known = known.unionByName(grown.join(known.select("language", "name"), ["language", "name"], "left_anti").select(known.columns)).cache()
     return known
 
 
@@ -70,7 +73,7 @@ def wrapper_calls(files: DataFrame, wrappers: DataFrame) -> DataFrame:
     lines = with_docstring_parity(lines_of(files), "rel_path")
     code = lines.filter(~(F.col("in_doc") & F.col("rel_path").endswith(".py")) & ~is_comment_only(F.col("line")))
     hits = call_sites(code, "line")
-    hits = hits.join(sites_of(hits, traced), "site").dropDuplicates(["rel_path", "line_no", "name"])
+    hits = hits.join(sites_of(hits, traced), ["language", "site"]).dropDuplicates(["rel_path", "line_no", "name"])
     return hits.select(
         F.coalesce("service", F.lit("")).alias("source_service"), F.lit("").alias("target_name"), "protocol", F.lit(None).cast("string").alias("method"),
         S.call_argument(F.col("line"), F.col("name")).alias("path"), F.concat_ws(":", "rel_path", F.col("line_no").cast("string")).alias("source_file"), F.lit("medium").alias("confidence"),

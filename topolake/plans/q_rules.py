@@ -137,11 +137,11 @@ def functions_of(spark, sf_dir):
     k = F.col("p_partkey")
     name = F.concat(F.lit("func_"), k.cast("string"))
     callee = F.when(k % 50 == 0, "    return httpx.get(url)").when(k % 50 == 1, F.concat(F.lit("    return func_"), (k - 1).cast("string"), F.lit("(x)"))).when(k % 50 == 2, F.concat(F.lit("    y = func_"), (k - 1).cast("string"), F.lit("(x)"))).otherwise(F.concat(F.lit("    z = other_"), k.cast("string"), F.lit("(x)")))
-    return parts.select(name.alias("name"), F.concat(F.lit("def f(x):\n"), callee).alias("body"), k.alias("file_ord"))
+    return parts.select(F.lit("python").alias("language"), name.alias("name"), F.concat(F.lit("def f(x):\n"), callee).alias("body"), k.alias("file_ord"))
 
 
 def seed_table(spark):
-    return spark.createDataFrame([("httpx.get", "rest", 0, ["httpx.get"], "py-httpx")], "name string, protocol string, depth int, chain array<string>, dependency string")
+    return spark.createDataFrame([("python", "httpx.get", "rest", 0, ["httpx.get"], "py-httpx")], "language string, name string, protocol string, depth int, chain array<string>, dependency string")
 
 
 @query("q_wrapper_fixpoint", """SELECT 'httpx.get' AS name, 'rest' AS protocol, 0::BIGINT AS depth, 'httpx.get' AS chain
@@ -154,13 +154,13 @@ def q_wrapper_fixpoint(spark, sf_dir):
 
 @query("q_wrapper_seeds", "SELECT * FROM (VALUES ('requests.get', 'rest'), ('connect', 'postgresql'), ('client.call', 'rpc'), ('unwrap_or', 'env')) t(name, protocol)")
 def q_wrapper_seeds(spark, sf_dir):
-    return wrappers.seeds(rules(spark), code_files(spark, sf_dir), "python").select("name", "protocol")
+    return wrappers.seeds(rules(spark), code_files(spark, sf_dir)).select("name", "protocol")
 
 
 @query("q_wrapper_calls", f"""{ctes('code')}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_id) AS line_no FROM code WHERE NOT contains(line, '\"\"\"'))
   SELECT 'src/f' || file_id || '.py:' || line_no AS source_file, 'rest' AS protocol, {first_sql('line')} AS path, 'wrapper_trace:ests.get→httpx.get' AS extraction_method FROM n WHERE contains(line, 'requests.get(') AND NOT starts_with(line, '#')""")
 def q_wrapper_calls(spark, sf_dir):
-    known = spark.createDataFrame([("ests.get", "rest", 1, ["ests.get", "httpx.get"], "py-httpx")], seed_table(spark).schema)
+    known = spark.createDataFrame([("python", "ests.get", "rest", 1, ["ests.get", "httpx.get"], "py-httpx")], seed_table(spark).schema)
     return wrappers.wrapper_calls(code_files(spark, sf_dir), known).select("source_file", "protocol", "path", "extraction_method")
 
 

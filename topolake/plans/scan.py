@@ -35,30 +35,30 @@ def _ordered(parts: list[DataFrame], empty: DataFrame, order: list[str]) -> Data
 
 
 def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None, overrides: DataFrame | None = None, repo_name: str = "repo", only: list[str] | None = None, embed: Callable | None = None, anchors: tuple[list[float], list[float]] = ([], [])) -> dict[str, DataFrame]:
-    """Relations of files (rel_path, content).  only: names of config extractors to run, or all."""
-    files = files.withColumn("language", language_of(F.col("rel_path"))).withColumn("file_ord", F.pmod(F.xxhash64("rel_path"), F.lit(1 << 55)))
+    """Relations of files (rel_path, content).  only: names of config extractors to run, or all.
+
+    What several relations start from is cached; an executor that is lost costs its part of that anew.
+    """
+    files = files.withColumn("language", language_of(F.col("rel_path"))).withColumn("file_ord", F.pmod(F.xxhash64("rel_path"), F.lit(1 << 55))).cache()
     empty = {n: spark.createDataFrame([], s) for n, s in (("services", SERVICE), ("endpoints", ENDPOINT), ("connections", CONNECTION), ("schemas", SCHEMA))}
     configs = [f(files) for n, f in config_files.EXTRACTORS.items() if only is None or n in only]
     take = lambda name: [c[name] for c in configs if name in c]
-    services = _ordered(take("services"), empty["services"], ["rel_path", "name"])
-    scoped = relations.scope(files, services)
-    endpoints = _ordered([*take("endpoints"), routes.routes(scoped)], empty["endpoints"], ["rel_path", "path", "method"])
+    services = _ordered(take("services"), empty["services"], ["rel_path", "name"]).cache()
+    scoped = relations.scope(files, services).cache()
+    endpoints = _ordered([*take("endpoints"), routes.routes(scoped)], empty["endpoints"], ["rel_path", "path", "method"]).cache()
     schemas = _ordered(take("schemas"), empty["schemas"], ["rel_path", "name"])
 
     traced: list[DataFrame] = []
     if rules is not None:
-        coded = functions(files)
-        for language in LANGUAGES:
-            own = scoped.filter(F.col("language") == language)
-            known = wrappers.trace(coded.filter(F.col("language") == language), wrappers.seeds(rules, files, language))
-            traced.append(wrappers.wrapper_calls(own, known))
+        known = wrappers.trace(functions(files), wrappers.seeds(rules, files))
+        traced = [wrappers.wrapper_calls(scoped.filter("language is not null"), known)]
     libs = manifests.dependencies(files)
     lib_names = {"node": "typescript"}
     spoken = libs.select(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in lib_names.items() for x in kv]), F.col("language")), "language").alias("language"), "dep").filter(~S.is_tool_library(F.col("dep")))
     none = spark.createDataFrame([], "language string, dep string, needs string")
     resolved = libraries.resolve(spoken, spark.createDataFrame([], "dep string, protocol string"), manifests.cargo_lock(files).unionByName(manifests.gemfile_lock(files)).unionByName(none))
     found = [*([rule_ops.apply_rules(scoped, rules)] if rules is not None else []), libraries.import_connections(scoped, resolved), *traced]
-    code = _ordered(found, empty["connections"], ["rank", "source_file"])
+    code = _ordered(found, empty["connections"], ["rank", "source_file"]).cache()
     config = _ordered([c.withColumn("rank", F.lit(0).cast("long")).drop("rel_path") for c in take("connections")], empty["connections"], ["source_file", "source_service", "target_name"])
     connections = config.unionByName(relations.drop_covered_wrappers(code).withColumn("seq", F.col("seq") + (1 << 60))).drop("rank")
 
