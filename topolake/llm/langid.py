@@ -18,7 +18,7 @@ GROUP, SPANS, FILTERS, WINDOW = 2, (1, 2, 3), 16, 256
 #: The model learns from at most so many rows of at most so many characters, from so many windows of each.
 SAMPLE, LONGEST, WINDOWS = 4_000, 50_000, 4
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.004, 23
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 UNKNOWN = "und"
 
 
@@ -57,8 +57,8 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         chosen = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-        for at in range(0, len(chosen), 512):
-            part = chosen[at : at + 512]
+        for at in range(0, len(chosen), 128):
+            part = chosen[at : at + 128]
             raw = [texts[i].encode() for i in part]
             counts = np.array([-(-len(t) // WINDOW) for t in raw])
             data = np.frombuffer(b"".join(t.ljust(int(n) * WINDOW, b"\0") for t, n in zip(raw, counts, strict=True)), np.uint8)

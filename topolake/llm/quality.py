@@ -6,9 +6,11 @@ cover the whole document, the greatest response of each, and one probability fro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from topolake.llm.cnn import Adam, Filters, labelled_sample
 
@@ -18,7 +20,7 @@ GROUP, FILTERS = 4, 24
 SAMPLE, LONGEST = 6_000, 50_000
 EPOCHS, BATCH, RATE, SEED = 10, 32, 0.004, 11
 #: Bytes scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def as_groups(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,15 +101,13 @@ def held_out(key: str):
 def score(docs: DataFrame, model: QualityModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with ``score`` (0 to 1, in place of a column of that name); 0.5 without a model.  A null text is scored as an empty one."""
 
-    def run(batches):
-        for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(batch.num_columns - 1)]
-            found = np.full(len(texts), 0.5) if model is None else model.probabilities(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.asarray(found, np.float64))], [*batch.schema.names[:-1], "score"])
+    @F.arrow_udf(T.DoubleType())
+    def probability(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            found = np.full(len(batch), 0.5) if model is None else model.probabilities([(t.as_py() or "").encode() for t in batch])
+            yield pa.array(np.asarray(found, np.float64))
 
-    kept = docs.drop("score").withColumn("_text", F.col(text).cast("string"))
-    schema = kept.drop("_text").schema.add("score", "double")
-    return kept.mapInArrow(run, schema)
+    return docs.withColumn("score", probability(F.col(text).cast("string")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
