@@ -113,7 +113,7 @@ def drop_covered_wrappers(findings: DataFrame) -> DataFrame:
 
 def dedupe_connections(connections: DataFrame) -> DataFrame:
     """Of each file, protocol and target the row of the surest method, the first found of those."""
-    best = connections.groupBy("source_file", "protocol", "target_name").agg(F.max_by(_whole(connections), F.struct(method_score(F.col("extraction_method")), -F.col("seq"))).alias("c"))
+    best = connections.groupBy("source_file", "protocol", "target_name").agg(F.min_by(_whole(connections), F.struct(-method_score(F.col("extraction_method")), F.col("seq"))).alias("c"))
     return best.select("c.*")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from topolake.functions import strings as S
+from topolake.lineage import cut
 from topolake.operators.lines import is_comment_only, lines_of, with_docstring_parity
 
 #: Names too general to be wrappers.
@@ -56,14 +57,14 @@ def trace(functions: DataFrame, start: DataFrame) -> DataFrame:
     """
     known = start
     short = functions.filter((F.size(F.split("body", "\n")) <= LONGEST_BODY) & ~F.col("name").isin(*GENERAL))
-    sites = call_sites(short, "body").select("language", F.col("name").alias("caller"), "file_ord", "site").cache()
+    sites = cut(call_sites(short, "body").select("language", F.col("name").alias("caller"), "file_ord", "site"))
     for depth in range(1, DEPTH + 1):
         callee = sites_of(sites, known.select("language", "name", "protocol", "depth", "chain", "dependency"))
         hits = sites.join(callee, ["language", "site"]).filter(F.col("caller") != F.col("name"))
         best = hits.groupBy("language", "caller", "file_ord").agg(F.min_by(F.struct("name", "protocol", "depth", "chain", "dependency"), F.struct("depth", "name")).alias("c"))
         new = best.filter(F.col("c.depth") == depth - 1).groupBy("language", F.col("caller").alias("name")).agg(F.min_by("c", "file_ord").alias("c"))
         grown = new.select("language", "name", "c.protocol", F.lit(depth).alias("depth"), F.concat(F.array("name"), "c.chain").alias("chain"), "c.dependency")
-        known = known.unionByName(grown.join(known.select("language", "name"), ["language", "name"], "left_anti").select(known.columns)).cache()
+        known = cut(known.unionByName(grown.join(known.select("language", "name"), ["language", "name"], "left_anti").select(known.columns)))
     return known
 
 

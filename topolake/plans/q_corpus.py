@@ -123,7 +123,7 @@ def q_scan(spark, sf_dir):
     return found.select("source_service", "target_name", "protocol", "extraction_method", "confidence")
 
 
-@query("q_scan_services", values("name, root_path, n", ("shop", "shop", 4), ("web", "web", 5), ("gw", "gw", 7), ("pay", "pay", 2), ("Catalog", "", 2), ("db", "deploy", 0), ("web-deploy", "k8s", 0)))
+@query("q_scan_services", values("name, root_path, n", ("shop", "shop", 5), ("web", "web", 5), ("gw", "gw", 7), ("pay", "pay", 2), ("Catalog", "", 2), ("db", "deploy", 0), ("web-deploy", "k8s", 0)))
 def q_scan_services(spark, sf_dir):
     found = scans.scan(spark, corpus(spark))
     nested = relations.exposed(found["services"], found["endpoints"])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from topolake.functions import strings as S
+from topolake.lineage import cut
 from topolake.operators import config_files, libraries, manifests, refine, relations, routes, rules as rule_ops, wrappers
 from topolake.operators.functions_of import functions
 
@@ -25,32 +26,32 @@ def language_of(path):
     return out
 
 
-def _ordered(parts: list[DataFrame], empty: DataFrame, order: list[str]) -> DataFrame:
-    """Union with seq, a finding's place: its extractor, then ``order``, as one number with room between."""
-    found = empty.withColumn("_part", F.lit(0))
+def _ordered(parts: list[DataFrame], empty: DataFrame, order: list[str], stage: str = "0") -> DataFrame:
+    """Union with seq, text that sorts by place of discovery: stage, extractor, then ``order``."""
+    found = empty.withColumn("_part", F.lit("00"))
     for i, part in enumerate(parts):
-        found = found.unionByName(part.withColumn("_part", F.lit(i)), allowMissingColumns=True)
-    place = F.struct("_part", *order)
-    return found.withColumn("seq", F.col("_part").cast("long") * (1 << 56) + F.pmod(F.xxhash64(F.to_json(place)), F.lit(1 << 55))).drop("_part")
+        found = found.unionByName(part.withColumn("_part", F.lit(f"{i:02d}")), allowMissingColumns=True)
+    keys = [F.lpad(F.col(c).cast("string"), 12, "0") if c == "rank" else F.coalesce(c, F.lit("")) for c in order]
+    return found.withColumn("seq", F.concat_ws("\t", F.lit(stage), "_part", *keys)).drop("_part")
 
 
 def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None, overrides: DataFrame | None = None, repo_name: str = "repo", only: list[str] | None = None, embed: Callable | None = None, anchors: tuple[list[float], list[float]] = ([], [])) -> dict[str, DataFrame]:
     """Relations of files (rel_path, content).  only: names of config extractors to run, or all.
 
-    What several relations start from is cached; an executor that is lost costs its part of that anew.
+    What several relations start from is checkpointed, so it is computed once and survives lost executors.
     """
-    files = files.withColumn("language", language_of(F.col("rel_path"))).withColumn("file_ord", F.pmod(F.xxhash64("rel_path"), F.lit(1 << 55))).cache()
+    files = cut(files.withColumn("language", language_of(F.col("rel_path"))).withColumn("file_ord", F.pmod(F.xxhash64("rel_path"), F.lit(1 << 55))))
     empty = {n: spark.createDataFrame([], s) for n, s in (("services", SERVICE), ("endpoints", ENDPOINT), ("connections", CONNECTION), ("schemas", SCHEMA))}
     configs = [f(files) for n, f in config_files.EXTRACTORS.items() if only is None or n in only]
     take = lambda name: [c[name] for c in configs if name in c]
-    services = _ordered(take("services"), empty["services"], ["rel_path", "name"]).cache()
-    scoped = relations.scope(files, services).cache()
-    endpoints = _ordered([*take("endpoints"), routes.routes(scoped)], empty["endpoints"], ["rel_path", "path", "method"]).cache()
+    services = cut(_ordered(take("services"), empty["services"], ["rel_path", "name"]))
+    scoped = cut(relations.scope(files, services))
+    endpoints = cut(_ordered([*take("endpoints"), routes.routes(scoped)], empty["endpoints"], ["rel_path", "path", "method"]))
     schemas = _ordered(take("schemas"), empty["schemas"], ["rel_path", "name"])
 
     traced: list[DataFrame] = []
     if rules is not None:
-        known = wrappers.trace(functions(files), wrappers.seeds(rules, files))
+        known = wrappers.trace(cut(functions(files)), cut(wrappers.seeds(rules, files)))
         traced = [wrappers.wrapper_calls(scoped.filter("language is not null"), known)]
     libs = manifests.dependencies(files)
     lib_names = {"node": "typescript"}
@@ -58,13 +59,13 @@ def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None,
     none = spark.createDataFrame([], "language string, dep string, needs string")
     resolved = libraries.resolve(spoken, spark.createDataFrame([], "dep string, protocol string"), manifests.cargo_lock(files).unionByName(manifests.gemfile_lock(files)).unionByName(none))
     found = [*([rule_ops.apply_rules(scoped, rules)] if rules is not None else []), libraries.import_connections(scoped, resolved), *traced]
-    code = _ordered(found, empty["connections"], ["rank", "source_file"]).cache()
+    code = cut(_ordered(found, empty["connections"], ["rank", "source_file"], "1"))
     config = _ordered([c.withColumn("rank", F.lit(0).cast("long")).drop("rel_path") for c in take("connections")], empty["connections"], ["source_file", "source_service", "target_name"])
-    connections = config.unionByName(relations.drop_covered_wrappers(code).withColumn("seq", F.col("seq") + (1 << 60))).drop("rank")
+    connections = cut(config.unionByName(relations.drop_covered_wrappers(code)).drop("rank"))
 
     endpoints = relations.drop_specified_endpoints(endpoints)
     schemas = relations.drop_specified_schemas(schemas)
-    services = relations.infer_root(relations.merge_services(services), endpoints.select("seq").unionByName(connections.select("seq")).unionByName(schemas.select("seq")), repo_name)
+    services = cut(relations.infer_root(relations.merge_services(services), endpoints.select("seq").unionByName(connections.select("seq")).unionByName(schemas.select("seq")), repo_name))
     if overrides is not None:
         services, endpoints, connections = relations.ignore_services(services, endpoints, connections, overrides)
         services = relations.rename_services(services, overrides, "root_path", "name")

@@ -35,7 +35,7 @@ def ignore_pattern(line: str) -> tuple[bool, str] | None:
     keep, line = line.startswith("!"), line.removeprefix("!")
     inner = line.rstrip("/")
     body = glob_regex(inner.lstrip("/"))[1:-1].replace(".*", "[^/]*") if "**" not in inner else glob_regex(inner.lstrip("/"))[1:-1]
-    anchored = "^" if "/" in inner.strip("/") or line.startswith("/") else "(?:^|.*/)"
+    anchored = "^" if "/" in inner.strip("/") or line.startswith("/") else "^(?:.*/)?"
     return not keep, f"{anchored}{body}(?:/.*)?$" if not line.endswith("/") else f"{anchored}{body}/.*$"
 
 
