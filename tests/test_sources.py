@@ -74,3 +74,17 @@ def test_document_sinks(spark, tmp_path):
     assert path.endswith(f"{tmp_path.name}.json") and json.loads(open(path).read()) == {"version": "1.0", "none": None}
     sinks.write_relations({"services": document}, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/services")).count() == 1
+
+
+def test_registry(tmp_path):
+    from topolake.sources.registry import registry_file
+
+    cache, asked = tmp_path / "c/rules.json", []
+
+    def get(status, tag, body):
+        return lambda url, etag: asked.append(etag) or (status, tag, body)
+
+    assert registry_file("u", cache, get(0, None, "")) == ("none", None)
+    assert registry_file("u", cache, get(200, "e1", "{}")) == ("remote", cache)
+    assert registry_file("u", cache, get(304, None, "")) == ("cache", cache) and asked[-1] == "e1"
+    assert registry_file(None, cache) == ("cache", cache)

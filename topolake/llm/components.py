@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from topolake.llm.store import Workspace
 
 #: Members of one side of a comparison unit, about.
-BLOCK = 256
+BLOCK = 512
 
 
 def connected(links: DataFrame, ws: Workspace) -> DataFrame:
@@ -44,6 +44,14 @@ def best_leaders(members: DataFrame) -> DataFrame:
     return counts.groupBy("node").agg(F.max(F.struct("shared", "leader")).alias("best")).select("node", "best.leader")
 
 
+def other_leaders(members: DataFrame) -> DataFrame:
+    """(node, leader) of (bucket, node, label): for nodes outside the commonest label of a bucket its greatest node, the one with which they share most such buckets."""
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("node").alias("leader"))
+    top = counts.groupBy("bucket").agg(F.max(F.struct("n", "label", "leader")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", F.col("top.label").alias("common_label"), "top.leader")
+    outside = members.join(top, "bucket").filter("label != common_label").groupBy("node", "leader").agg(F.count("*").alias("shared"))
+    return outside.groupBy("node").agg(F.max(F.struct("shared", "leader")).alias("best")).select("node", "best.leader")
+
+
 def star_units(pairs: DataFrame, weights: DataFrame, most: int) -> DataFrame:
     """(u1, u2, u3, side, node): each leader against some of its nodes at a time.
 

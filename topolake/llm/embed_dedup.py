@@ -23,7 +23,7 @@ from topolake.llm.store import Workspace
 SAMPLE, ITERATIONS = 20_000, 40
 TABLES, MOST_BITS = 24, 64
 #: Leaders meet so many vectors at a time.
-UNIT = 2_000
+UNIT = 250
 
 
 def rotation(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ these registers find candidates, whose collision-corrected Jaccard estimate sort
 most; the rest is confirmed on the full sets.
 
 Equal sets are one node from the start.  First every node is compared with the bucket leader that it
-shares most bands with.  Then, in buckets where several components are left, nodes
+shares most bands with, twice more with one of the commonest component.  Then, in buckets where several components are left, nodes
 of different components are compared, each pair in the first band that it shares.
 No pair within a settled group is looked at, and no group meets in one task.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from topolake.llm.components import Forest, best_leaders, by_unit, connected, mixed_units, shared_buckets, star_units, units_of
+from topolake.llm.components import Forest, best_leaders, by_unit, connected, mixed_units, other_leaders, shared_buckets, star_units, units_of
 from topolake.llm.store import Workspace
 
 REGISTERS, MANTISSA, BANDS = 256, 10, 32
@@ -29,8 +29,10 @@ REGISTERS, MANTISSA, BANDS = 256, 10, 32
 MISS = 1e-5
 #: Standard errors below the threshold at which an estimate rules a pair out.
 DOUBT = 5.0
+#: Rounds in which nodes meet a leader of the commonest component in their buckets, before all pairs of components do.
+MORE_LEADERS = 2
 #: Bytes hashed at once, and shingles in one side of a comparison unit.
-CHUNK, UNIT = 1 << 22, 1_000_000
+CHUNK, UNIT = 1 << 20, 50_000
 #: Ids of documents to be read again are broadcast up to this many; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -285,11 +287,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     sets = sketch(rows.join(ids, "key", "left_semi"), width, used, True).select("node", "n", "regs", "shingles").dropDuplicates(["node"])
     sets = ws.keep(sets, "sets")
 
-    stars = star_units(best_leaders(members), sets.select("node", F.col("n").alias("weight")), UNIT)
-    links = ws.keep(star_links(stars.join(sets.select("node", "shingles"), "node"), percent), "links")
-    labels = ws.keep(connected(links, ws), "labels")
+    def compared(pairs: DataFrame) -> DataFrame:
+        stars = star_units(pairs, sets.select("node", F.col("n").alias("weight")), UNIT)
+        return ws.keep(star_links(stars.join(sets.select("node", "shingles"), "node"), percent), "links")
 
-    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    links = compared(best_leaders(members))
+    for turn in range(MORE_LEADERS + 1):
+        labels = ws.keep(connected(links, ws), "labels")
+        labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        if turn < MORE_LEADERS:
+            links = ws.keep(links.union(compared(other_leaders(labelled))), "links")
     units = mixed_units(labelled).join(sets.select("node", "n", "regs"), "node")
     need = ws.keep(possible(units, per_band, percent), "possible")
     more = ws.keep(mixed_links(need.join(sets, "node"), per_band, percent), "links")

@@ -41,6 +41,7 @@ FILES = {
     "conf/.env": "# c\nexport DATABASE_URL=\"mysql://m/x\"\nKAFKA_BROKERS=k1:9092,k2:9092\nNAME=x\nDATABASE_URL=mysql://n/x\n",
     "conf/application.properties": "spring.datasource.url=jdbc:postgresql://pg:5432/x\nspring.rabbitmq.host=mq\nother=1\n",
     "conf/application.yml": "spring:\n  data: {redis: {host: cache}}\n  kafka: {bootstrap-servers: 'kb:1,kc:2'}\n",
+    "k8s/settings.yaml": "kind: ConfigMap\ndata: {DATABASE_URL: 'postgres://cm/x', CACHE_URL: 'redis://cm:6379'}\n---\nkind: ConfigMap\ndata: {N: 1}\n",
     "Cargo.lock": '[[package]]\nname = "own"\ndependencies = ["rdkafka 0.3", "serde"]\n',
     "Gemfile.lock": "GEM\n  specs:\n    own (1.0)\n      redis (>= 4)\n      other\n    lone (2)\n",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topolake.operators import config_files as C, manifests as M, relations, routes as R
+from topolake.operators import config_files as C, manifests as M, relations, routes as R, variables as V
 from topolake.operators.functions_of import functions
 from topolake.plans import scan as scans
 from topolake.plans.corpus import corpus, tops
@@ -129,3 +129,22 @@ def q_scan_services(spark, sf_dir):
     nested = relations.exposed(found["services"], found["endpoints"])
     ordered = nested.withColumn("name", F.when(F.col("root_path") == "deploy", "db").when(F.col("root_path") == "k8s", "web-deploy").when(F.col("root_path") == "", "Catalog").otherwise(F.col("name")))
     return ordered.select("name", "root_path", F.size("exposes").cast("long").alias("n"))
+
+
+@query("q_var_store", values("layer, key, value", (0, "DATABASE_URL", "mysql://m/x"), (0, "KAFKA_BROKERS", "k1:9092,k2:9092"), (0, "NAME", "x"), (0, "DATABASE_URL", "mysql://n/x"), (1, "DATABASE_URL", "postgres://u:p@db:5432/x"), (1, "REDIS_URL", "redis://cache"), (2, "DATABASE_URL", "postgres://cm/x"), (2, "CACHE_URL", "redis://cm:6379")))
+def q_var_store(spark, sf_dir):
+    return V.settings_of(corpus(spark)).select(F.col("layer").cast("int").alias("layer"), "key", "value")
+
+
+@query("q_var_resolve", values("key, value, host, port", ("DATABASE_URL", "mysql://n/x", "n", None), ("CACHE_URL", "redis://cm:6379", "cm", 6379)))
+def q_var_resolve(spark, sf_dir):
+    keys = spark.createDataFrame([("DATABASE_URL",), ("CACHE_URL",), ("NONE",)], "key string")
+    return V.resolve(V.settings_of(corpus(spark)), keys)
+
+
+@query("q_installed_libraries", values("dep, protocol", ("own-http", "rest"),))
+def q_installed_libraries(spark, sf_dir):
+    """Protocols that rules find in the sources of installed libraries."""
+    sources = spark.createDataFrame([("own_http/client.py", "import httpx\nhttpx.get('http://x/y')\n"), ("other/a.py", "x = 1\n"), ("lone.py", "import httpx\nhttpx.get('http://x')\n")], "rel_path string, content string")
+    deps = spark.createDataFrame([("python", "own-http"), ("python", "other")], "language string, dep string")
+    return scans.installed(sources, deps, own_rules(spark))

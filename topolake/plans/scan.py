@@ -35,8 +35,21 @@ def _ordered(parts: list[DataFrame], empty: DataFrame, order: list[str], stage:
     return found.withColumn("seq", F.concat_ws("\t", F.lit(stage), "_part", *keys)).drop("_part")
 
 
-def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None, overrides: DataFrame | None = None, repo_name: str = "repo", only: list[str] | None = None, embed: Callable | None = None, anchors: tuple[list[float], list[float]] = ([], [])) -> dict[str, DataFrame]:
+def installed(sources: DataFrame, deps: DataFrame, rules: DataFrame) -> DataFrame:
+    """(dep, protocol) that rules find in sources (rel_path, content) of a folder of installed libraries.
+
+    A library's folder is named as it is, with - as _ (Python), or with its version behind (Ruby).
+    """
+    folder = F.split_part("rel_path", F.lit("/"), F.lit(1))
+    named = deps.select("dep", F.explode(F.array_distinct(F.array("dep", F.replace("dep", F.lit("-"), F.lit("_"))))).alias("folder")).distinct()
+    keyed = sources.withColumn("folder", F.regexp_replace(folder, r"-[0-9][^/]*$", "")).filter(F.col("rel_path").contains("/")).join(named, "folder")
+    files = keyed.select(F.concat_ws("\t", "dep", "rel_path").alias("rel_path"), language_of(F.col("rel_path")).alias("language"), F.col("dep").alias("service"), "content").filter("language is not null")
+    return rule_ops.apply_rules(files, rules).select(F.col("source_service").alias("dep"), "protocol").distinct()
+
+
+def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None, overrides: DataFrame | None = None, repo_name: str = "repo", only: list[str] | None = None, embed: Callable | None = None, anchors: tuple[list[float], list[float]] = ([], []), libraries_at: DataFrame | None = None) -> dict[str, DataFrame]:
     """Relations of files (rel_path, content).  only: names of config extractors to run, or all.
+    libraries_at: sources (rel_path, content) of installed libraries.
 
     What several relations start from is checkpointed, so it is computed once and survives lost executors.
     """
@@ -57,7 +70,8 @@ def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None,
     lib_names = {"node": "typescript"}
     spoken = libs.select(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in lib_names.items() for x in kv]), F.col("language")), "language").alias("language"), "dep").filter(~S.is_tool_library(F.col("dep")))
     none = spark.createDataFrame([], "language string, dep string, needs string")
-    resolved = libraries.resolve(spoken, spark.createDataFrame([], "dep string, protocol string"), manifests.cargo_lock(files).unionByName(manifests.gemfile_lock(files)).unionByName(none))
+    shown = spark.createDataFrame([], "dep string, protocol string") if libraries_at is None or rules is None else installed(libraries_at, spoken, rules)
+    resolved = libraries.resolve(spoken, shown, manifests.cargo_lock(files).unionByName(manifests.gemfile_lock(files)).unionByName(none))
     found = [*([rule_ops.apply_rules(scoped, rules)] if rules is not None else []), libraries.import_connections(scoped, resolved), *traced]
     code = cut(_ordered(found, empty["connections"], ["rank", "source_file"], "1"))
     config = _ordered([c.withColumn("rank", F.lit(0).cast("long")).drop("rel_path") for c in take("connections")], empty["connections"], ["source_file", "source_service", "target_name"])
