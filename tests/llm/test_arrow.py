@@ -21,7 +21,7 @@ def documents(spark, texts, extra=True):
     return df.withColumns({"key": F.lit(1), "n": F.lit("t"), "score": F.lit(0.1), "node": F.lit(3), "label": F.lit("x")}) if extra else df
 
 
-ODD = [None, "", " \t\n", "x", "it's a Test", "ÉTÉ Straße İstanbul ΣΑΣ e\u0301", "<|endoftext|> 12 a1b2", "\x85\xa0a\x0bb\x0cc", "日本語 テキスト", "w" * 3000, "a b " * 9000]
+ODD = [None, "", " \t\n", "x", "it's a Test", "ÉTÉ Straße İstanbul ΣΑΣ e\u0301", "<|endoftext|> 12 a1b2", "é<|startoftext|>x <|STARTOFTEXT|>", "\x85\xa0a\x0bb\x0cc", "日本語 テキスト", "w" * 3000, "a b " * 9000]
 
 
 # --- 2 ------------------------------------------------------------------------
@@ -183,7 +183,6 @@ def test_packing(spark):
 
     path = queries.tokenizer_path()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     rng = random.Random(9)
     texts = ODD + [" ".join("".join(rng.choice("abcéÀ.,!'s") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 3000))) for _ in range(40)]
     rows = packing.pack(documents(spark, texts).repartition(3), path).collect()

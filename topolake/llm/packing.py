@@ -49,12 +49,13 @@ def token_ids(path: str):
 
     The tokenizer lower-cases, drops white space and encodes each word by itself, so ids of
     words are kept and joined.  Texts with other characters than ASCII and the lower-case letters of
-    Latin-1, for which NFC or case may matter across that rule, go to the tokenizer whole.
+    Latin-1, for which NFC or case may matter across that rule, and texts that hold one of the
+    tokenizer's added tokens, which it gives an id of their own, go to the tokenizer whole.
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
     word = Tokenizer.from_file(path)
     word.encode_special_tokens = True
     word.normalizer = None
@@ -63,7 +64,7 @@ def token_ids(path: str):
 
     def encode(text: str) -> bytes:
         low = text.lower()
-        if not (low.isascii() or LETTERS.fullmatch(low)):
+        if not (low.isascii() or LETTERS.fullmatch(low)) or any(t in text for t in added):
             return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
         if len(ids) > CACHE:
             ids.clear()
