@@ -226,6 +226,21 @@ def test_embeddings(spark):
     assert got[n - 3][1] == got[0][1] and all(k == (c == i) for i, (_, c, k) in got.items())
 
 
+@pytest.mark.parametrize(("dims", "total"), [(64, 10_000), (64, 1 << 20), (64, 1 << 24), (32, 1 << 20)])
+def test_tables_for_wide_keys(dims, total):
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(9000, dims)))
+    mean, projection = embed_dedup.rotation(x[:3000])
+    masks = embed_dedup.table_masks(projection.shape[1], total, embed_dedup.threshold_flips(x[3000:6000], mean, projection, 0.95))
+    a = x[6000:]
+    b = rng.normal(size=a.shape)
+    b = 0.95 * a + (1 - 0.95**2) ** 0.5 * unit(b - (a * b).sum(1, keepdims=True) * a)
+    differ = embed_dedup.codes_of(a, mean, projection) ^ embed_dedup.codes_of(b, mean, projection)
+    assert ((differ[:, None] & masks) == 0).any(1).mean() >= 0.93
+    assert total / 2 ** int(np.bitwise_count(masks[0])) < 300
+
+
 def test_few_embeddings(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.near_vectors(empty).count() == 0

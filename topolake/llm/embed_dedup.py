@@ -2,7 +2,8 @@
 
 A rotation learned on a bounded sample (Gong & Lazebnik, 2011) turns vectors into balanced binary
 codes.  Several tables index every vector by some bits of its code; vectors that
-share a bucket are compared by cosine in double precision.
+share a bucket are compared by cosine in double precision.  There are as many tables as keep the
+share of pairs just at the threshold that meet in none below MISS, whatever the width of the keys.
 
 Vectors close to one leader are linked with each other by the triangle inequality of
 angles, so such a core is counted without looking at its pairs; only pairs of different cores are.
@@ -21,7 +22,14 @@ from topolake.llm.store import Workspace
 
 #: Vectors that the rotation is fitted on, at most; every vector is indexed.
 SAMPLE, ITERATIONS = 20_000, 40
-TABLES, MOST_BITS = 24, 64
+#: Vectors that flipped bits are counted on; of a larger table than SAMPLE none that the rotation has seen.
+PROBES = 5_000
+#: Tables, at least and at most, and bits of the code.
+TABLES, MOST_TABLES, MOST_BITS = 24, 4096, 64
+#: Of pairs at the threshold so many may share no bucket.
+MISS = 0.05
+#: A table's own cost for each vector, in comparisons.
+TABLE_COST = 4
 #: Leaders meet so many vectors at a time.
 UNIT = 250
 
@@ -39,10 +47,49 @@ def rotation(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, directions @ turn
 
 
-def table_masks(bits: int, used: int) -> np.ndarray:
-    """Bits of the code in each table's key."""
+def codes_of(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    return ((x - mean) @ projection > 0) @ (np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64))
+
+
+def threshold_flips(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, cosine: float) -> np.ndarray:
+    """Bits in which the codes of unit vectors differ from those of random partners exactly at the threshold."""
+    side = np.random.default_rng(7).normal(size=sample.shape)
+    side -= (side * sample).sum(1, keepdims=True) * sample
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    partners = cosine * sample + math.sqrt(max(0.0, 1 - cosine * cosine)) * side
+    return codes_of(sample, mean, projection) ^ codes_of(partners, mean, projection)
+
+
+def tables_needed(flipped: np.ndarray, bits: int, used: int) -> int | None:
+    """How many tables on random ``used`` of ``bits`` bits miss at most MISS of pairs with so many flipped bits; null if more than MOST_TABLES."""
+    hit = np.array([math.comb(bits - k, used) / math.comb(bits, used) for k in range(bits + 1)])[flipped]
+    low, high = 1, MOST_TABLES
+    if ((1 - hit) ** high).mean() > MISS:
+        return None
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if ((1 - hit) ** middle).mean() <= MISS else (middle + 1, high)
+    return low
+
+
+def table_masks(bits: int, total: int, flips: np.ndarray) -> np.ndarray:
+    """Bits of the code in each table's key, for ``total`` vectors of which pairs at the threshold differ in ``flips``.
+
+    Wide keys need more tables, narrow ones more comparisons; the cheapest width is taken, then
+    tables are added until the pairs given meet, all but MISS of them.
+    """
+    flipped = np.bitwise_count(flips)
+    widths = {used: tables_needed(flipped, bits, used) for used in range(min(bits, max(8, math.ceil(math.log2(total)))) + 1)}
+    used = min((u for u, n in widths.items() if n), key=lambda u: (max(TABLES, widths[u]) * (TABLE_COST + total / 2**u), -u))
     rng = np.random.default_rng(5)
-    return np.array([sum(1 << int(b) for b in rng.choice(bits, min(used, bits), replace=False)) for _ in range(TABLES)], np.uint64)
+    masks, met = {}, np.zeros(len(flips), bool)
+    for n in range(MOST_TABLES):
+        if n >= TABLES and (~met).mean() <= MISS:
+            break
+        mask = np.uint64(sum(1 << int(b) for b in rng.choice(bits, used, replace=False)))
+        masks[mask] = None
+        met |= flips & mask == 0
+    return np.array(list(masks), np.uint64)
 
 
 def unit_rows(vectors: list[bytes]) -> np.ndarray:
@@ -52,14 +99,14 @@ def unit_rows(vectors: list[bytes]) -> np.ndarray:
 
 def coded(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, masks: np.ndarray) -> DataFrame:
     """classes (node, vec, weight, first) with code and the key of each table."""
-    powers = np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64)
+    number = np.uint64(MOST_TABLES.bit_length() - 1)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x = unit_rows(batch.column("vec").to_pylist())
-                code = ((x - mean) @ projection > 0) @ powers
-                keys = (code[:, None] & masks[None, :]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(8) << np.uint64(5) | np.arange(TABLES, dtype=np.uint64)
+                code = codes_of(x, mean, projection)
+                keys = (code[:, None] & masks[None, :]) * np.uint64(0x9E3779B97F4A7C15) >> number << number | np.arange(len(masks), dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.view(np.int64)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], [*batch.schema.names, "code", "buckets"])
 
     return classes.mapInArrow(run, "node long, vec binary, weight long, first long, code long, buckets array<long>")
@@ -97,10 +144,13 @@ def linked(units: DataFrame, masks: np.ndarray, cosine: float) -> DataFrame:
             get = lambda part, k, kind: np.array([r[k] for r in part], kind)
             a, b = (unit_rows([r[6] for r in part]) for part in (left, right))
             ok = (a @ b.T >= cosine) & (get(left, 2, np.int64)[:, None] != get(right, 2, np.int64)[None, :])
-            table = bucket & 31
-            for i, j in np.argwhere(ok):
-                differ = (left[i][4] ^ right[j][4]) & ((1 << 64) - 1)
-                ok[i, j] = not differ & int(masks[table]) and all(differ & int(m) for m in masks[:table])
+            table = bucket & (MOST_TABLES - 1)
+            i, j = np.nonzero(ok)
+            differ = (get(left, 4, np.int64)[i] ^ get(right, 4, np.int64)[j]).view(np.uint64)
+            first_here = differ & masks[table] == 0
+            for mask in masks[:table]:
+                first_here &= differ & mask != 0
+            ok[i, j] = first_here
             common = get(right, 3, bool)
             at_left = ok @ get(right, 5, np.int64)
             at_right = get(left, 5, np.int64) @ ok
@@ -141,10 +191,11 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, key: str = "vec_id
     alone = rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
     if total < 2:
         return alone
-    sample = np.array([r["v"] for r in rows.filter("v is not null").orderBy(F.xxhash64("key", "node")).limit(SAMPLE).select("v").collect()])
+    sample = np.array([r["v"] for r in rows.filter("v is not null").orderBy(F.xxhash64("key", "node")).limit(SAMPLE + PROBES).select("v").collect()])
     sample = sample / np.abs(sample).max(1, keepdims=True)
-    mean, projection = rotation(sample / np.linalg.norm(sample, axis=1, keepdims=True))
-    masks = table_masks(projection.shape[1], max(8, math.ceil(math.log2(total))))
+    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    mean, projection = rotation(sample[:SAMPLE])
+    masks = table_masks(projection.shape[1], total, threshold_flips(sample[-PROBES:], mean, projection, cosine))
 
     def packed(batches):
         for batch in batches:
