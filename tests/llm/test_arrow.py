@@ -157,6 +157,15 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3] and kept.columns == documents(spark, []).columns
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    same = "a b c d e f g"
+    rows = [(3, same, "x"), (7, same, "x"), (7, "other words here now", "x"), (7, "other words here now", "y"), (5, "p q r s t", "x"), (5, "P q  r s t", "x"), (8, "p q r s t", "x")]
+    rows += [(9, None, "x"), (9, None, "x"), (9, "", "x"), (None, same, "x"), (None, same, "x")]
+    kept = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = sorted((r["doc_id"] or -1, " ".join((r["text"] or "").lower().split()), r["text"] is None) for r in kept)
+    assert got == [(-1, same, False), (-1, same, False), (3, same, False), (5, "p q r s t", False), (7, "other words here now", False), (9, "", False), (9, "", True)]
+
+
 def test_words_in_pieces(monkeypatch):
     text = ("ab cde  f\n" * 300 + "z" * 900 + " end").encode()
     whole = minhash.word_hashes(text)[0]

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from topolake.llm.components import Forest, best_leaders, by_unit, connected, mixed_units, other_leaders, shared_buckets, star_units, units_of
 from topolake.llm.store import Workspace
@@ -146,10 +146,10 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _hashed(batches, width: int):
-    """(keys, sets) of each batch."""
+    """(keys, marks, sets) of each batch."""
     for batch in batches:
         texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-        yield batch.column(0).to_pylist(), [shingle_set(w, width) for w in document_words(texts)]
+        yield batch.column(0).to_pylist(), batch.column(2).to_pylist(), [shingle_set(w, width) for w in document_words(texts)]
 
 
 def _node(s: np.ndarray) -> int | None:
@@ -157,10 +157,10 @@ def _node(s: np.ndarray) -> int | None:
 
 
 def sketch(docs: DataFrame, width: int, used: int, with_sets: bool = False) -> DataFrame:
-    """(key, n, node, regs[, shingles]) of each document.  node: a hash of the set, null for an empty one."""
+    """(key, n, node, regs, mark[, shingles]) of each document (key, text, mark).  node: a hash of the set, null for an empty one."""
 
     def run(batches):
-        for keys, sets in _hashed(batches, width):
+        for keys, marks, sets in _hashed(batches, width):
             for at in range(0, len(sets), 512):
                 part = sets[at : at + 512]
                 some = [i for i, s in enumerate(part) if len(s)]
@@ -168,12 +168,12 @@ def sketch(docs: DataFrame, width: int, used: int, with_sets: bool = False) -> D
                 if some:
                     for i, row in zip(some, registers([part[i] for i in some])[:, :used], strict=True):
                         regs[i] = row.tobytes()
-                columns = [pa.array(keys[at : at + 512], pa.int64()), pa.array([len(s) for s in part], pa.int64()), pa.array([_node(s) for s in part], pa.int64()), pa.array(regs, pa.binary())]
+                columns = [pa.array(keys[at : at + 512], pa.int64()), pa.array([len(s) for s in part], pa.int64()), pa.array([_node(s) for s in part], pa.int64()), pa.array(regs, pa.binary()), pa.array(marks[at : at + 512], pa.int64())]
                 if with_sets:
                     columns.append(pa.array([s.tobytes() for s in part], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "node", "regs", "shingles"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "node", "regs", "mark", "shingles"][: len(columns)])
 
-    schema = "key long, n long, node long, regs binary" + ", shingles binary" * with_sets
+    schema = "key long, n long, node long, regs binary, mark long" + ", shingles binary" * with_sets
     return docs.mapInArrow(run, schema)
 
 
@@ -258,22 +258,19 @@ def mixed_links(units: DataFrame, per_band: int, percent: int) -> DataFrame:
     return by_unit(units).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row.
+def text_mark(text: Column) -> Column:
+    """Tells rows that repeat a key apart by their texts."""
+    return F.xxhash64(text.isNull(), text)
 
-    Documents are linked when percent % or more of their united shingles are shared.
-    component_id is the smallest key reachable, kept says whether it is the row's own.  Rows without
-    words are linked with nothing.  Rows with a null key are linked with nothing either, have a null
-    component and are kept.  Rows that repeat a key and have other texts are compared
-    each by its own text.  An empty table gives an empty one.
-    """
-    ws = Workspace(docs.sparkSession, "minhash")
+
+def judged(docs: DataFrame, width: int, percent: int, key: str, text: str, ws: Workspace) -> DataFrame:
+    """(key, mark, n, node, least, least_mark) of every row: the smallest key reachable, and of the rows with it and their texts the smallest mark."""
     per_band = rows_per_band(percent)
     used = per_band * BANDS
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).withColumn("mark", text_mark(F.col("text")))
     sketches = ws.keep(sketch(rows, width, used), "sketches")
     placed = sketches.filter("node is not null and key is not null")
-    classes = ws.keep(placed.groupBy("node").agg(F.min(F.struct("key", "n", "regs")).alias("c")).select("node", "c.*"), "classes")
+    classes = ws.keep(placed.groupBy("node").agg(F.min(F.struct("key", "mark", "n", "regs")).alias("c")).select("node", "c.*"), "classes")
 
     slices = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("regs"), b * (2 * per_band) + 1, F.lit(2 * per_band))).bitwiseAND(F.lit(~(BANDS - 1))).bitwiseOR(b))
     keyed = classes.select("node", F.explode(slices).alias("bucket"))  # the band is in the lowest bits
@@ -303,16 +300,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     final = ws.keep(connected(links.union(more), ws), "labels")
     ws.drop(sets, members, need)
 
-    component = classes.select("node", "key").join(final, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
-    least = component.groupBy("label").agg(F.min("key").alias("least"))
-    of_node = ws.keep(component.join(least, "label").select("node", "least"), "components")
+    component = classes.select("node", "key", "mark").join(final, "node", "left").select("node", "key", "mark", F.coalesce("label", "node").alias("label"))
+    least = component.groupBy("label").agg(F.min(F.struct("key", "mark")).alias("least"))
+    of_node = ws.keep(component.join(least, "label").select("node", F.col("least.key").alias("least"), F.col("least.mark").alias("least_mark")), "components")
     ws.drop(labels, links, more, final, wanted)
-    out = sketches.select("key", "n", F.when(F.col("key").isNotNull(), F.col("node")).alias("node")).join(of_node, "node", "left")
+    return sketches.select("key", "mark", "n", F.when(F.col("key").isNotNull(), F.col("node")).alias("node")).join(of_node, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every row.
+
+    Documents are linked when percent % or more of their united shingles are shared.
+    component_id is the smallest key reachable, kept says whether it is the row's own.  Rows without
+    words are linked with nothing.  Rows with a null key are linked with nothing either, have a null
+    component and are kept.  Rows that repeat a key and have other texts are compared
+    each by its own text.  An empty table gives an empty one.
+    """
+    out = judged(docs, width, percent, key, text, Workspace(docs.sparkSession, "minhash"))
     found = F.coalesce("least", "key")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("key").eqNullSafe(found).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose group of near duplicates has a smaller key.  Of rows that repeat key and text one stays."""
-    gone = near_duplicates(docs, width, percent, key, text).filter(~F.col("kept")).select(key)
-    return docs.join(gone, key, "left_anti")
+    """One row of each group of near duplicates: of those with the smallest key one text, and of rows that repeat key and text one.
+
+    A row goes by its own text, whatever becomes of others with its key.  Rows with a null key all stay.
+    """
+    ws = Workspace(docs.sparkSession, "minhash")
+    first = F.col("node").isNull() | ((F.col("key") == F.col("least")) & (F.col("mark") == F.col("least_mark")))
+    rows = ws.keep(judged(docs, width, percent, key, text, ws).filter("key is not null").select(F.col("key").alias("_one_key"), F.col("mark").alias("_one_mark"), first.alias("first")), "rows")
+    gone = rows.filter("not first").drop("first")
+    repeated = ws.keep(rows.filter("first").groupBy("_one_key", "_one_mark").count().filter("count > 1").drop("count"), "repeated")
+    at = ["_one_key", "_one_mark"]
+    marked = docs.withColumns({"_one_key": F.col(key).cast("long"), "_one_mark": text_mark(F.col(text).cast("string"))})
+    if repeated.isEmpty():
+        return marked.join(gone, at, "left_anti").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    one = marked.join(repeated, at, "left_semi").groupBy(*at).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_one_row"))
+    return marked.join(gone.union(repeated), at, "left_anti").select(*docs.columns).union(one.select("_one_row.*"))
