@@ -158,3 +158,18 @@ def test_mix_edges(spark):
     assert mixing.mix(documents(spark, ["a", "b"]), {"none": 1.0}).count() == 0
     many = mixing.mix(documents(spark, ["a"] * 5), total=10_000).count()
     assert 9_500 < many < 10_500
+
+
+def test_mix_of_rare_sources(spark):
+    rows = [(i, f"t{i}", "en", "b" if i else "a", 2) for i in range(1300)]
+    docs = spark.createDataFrame(rows, DOC)
+    if duckdb := pytest.importorskip("duckdb"):  # a rate of 650, where the oracle's exp(-rate) is a number still
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents AS SELECT i AS doc_id, 't' || i AS text, 'en' AS lang, CASE WHEN i = 0 THEN 'a' ELSE 'b' END AS source, 2 AS n_chars FROM range(1300) r(i)")
+        want = con.execute(f"SELECT doc_id, count(*) FROM ({queries.OP10_SQL}) GROUP BY doc_id").fetchall()
+        assert sorted(want) == sorted(map(tuple, mixing.mix(docs).groupBy("doc_id").count().collect()))
+    n = 300
+    counts = [r["count"] for r in mixing.mix(docs.filter(f"doc_id between 1 and {n}"), total=n * 2000).groupBy("doc_id").count().collect()]
+    mean = sum(counts) / n
+    deviation = (sum((c - mean) ** 2 for c in counts) / n) ** 0.5
+    assert abs(mean - 2000) < 10 and 38 < deviation < 52  # 44.7; a fixed part would leave 24.5

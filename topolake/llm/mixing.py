@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A table of sources of at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
-#: exp(-rate) must not underflow: greater rates are drawn as this much plus whole copies.
-MAX_RATE = 600.0
+#: exp(-rate) is a normal double up to here: greater rates are the sum of several draws of equal means.
+MAX_RATE = 708.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -33,7 +33,7 @@ def poisson_levels(rate: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, source: str = "source") -> DataFrame:
-    """(source, n_rows, rate, levels).  weights None: equal weights.  Sources without a weight get rate 0;
+    """(source, n_rows, rate, draws, levels): levels of one of so many draws.  weights None: equal weights.  Sources without a weight get rate 0;
     weights of sources without rows are left out before the weights are normalised.  total None: as many rows as there are."""
     counts = docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.count("*").alias("n_rows"))
     weight = F.lit(1.0)
@@ -46,8 +46,8 @@ def mixing_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     all_weight, wanted = sums["weight"] or 0.0, float((sums["n_rows"] or 0) if total is None else total)
     rate = F.col("weight") / F.lit(all_weight) * F.lit(wanted) / F.col("n_rows") if all_weight > 0 else F.lit(0.0)
     rated = weighed.select("source", "n_rows", rate.alias("rate"))
-    drawn = F.least(F.col("rate"), F.lit(MAX_RATE))
-    return rated.withColumn("levels", poisson_levels(drawn)).withColumn("whole", F.floor(F.col("rate") - drawn).cast("int"))
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE)).cast("int"))
+    return rated.withColumn("draws", draws).withColumn("levels", poisson_levels(F.col("rate") / F.col("draws")))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 17, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -60,11 +60,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     name = "copy_no"
     while name in docs.columns:
         name += "_"
-    rates = mixing_rates(docs, weights, total, source).select(F.col("source").alias("_mix_source"), F.col("levels").alias("_mix_levels"), F.col("whole").alias("_mix_whole"))
+    rates = mixing_rates(docs, weights, total, source).select(F.col("source").alias("_mix_source"), F.col("levels").alias("_mix_levels"), F.col("draws").alias("_mix_draws"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    u = uniform(F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    copies = F.size(F.filter("_mix_levels", lambda c: c <= F.col("_mix_u"))) + F.col("_mix_whole")
+    identity = [F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null"))]
+    u = uniform(*identity)
+    reached = lambda u: F.size(F.filter("_mix_levels", lambda c: c <= u)).cast("long")
+    more = F.aggregate(F.sequence(F.lit(1), F.col("_mix_draws") - 1), F.lit(0).cast("long"), lambda n, i: n + reached(uniform(i.cast("string"), F.lit("draw"), *identity)))
+    copies = reached(F.col("_mix_u")) + F.when(F.col("_mix_draws") > 1, more).otherwise(F.lit(0))
     drawn = docs.withColumn("_mix_u", u).join(rates, docs[source].cast("string").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_copies", copies)
     out = drawn.filter("_mix_copies > 0").withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_copies").cast("long") - 1)))
     place = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col(name))
