@@ -32,8 +32,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: all sources in equal shares, as many documents as before."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Operator 10: all sources in equal shares, as many documents as before; rows that share an id draw apart."""
+    return mixing.mix(docs, apart=True).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from topolake.llm import fingerprint, mixing, queries, secret_scan, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -173,3 +174,16 @@ def test_mix_of_rare_sources(spark):
     mean = sum(counts) / n
     deviation = (sum((c - mean) ** 2 for c in counts) / n) ** 0.5
     assert abs(mean - 2000) < 10 and 38 < deviation < 52  # 44.7; a fixed part would leave 24.5
+
+
+def test_mix_of_repeated_ids(spark):
+    rows = [(None, f"null {i}", "en", "s", 1) for i in range(2500)] + [(7, f"seven {i}", "en", "s", 1) for i in range(2500)] + [(None, "same", "en", "s", 1)] * 2500
+    docs = spark.createDataFrame(rows, DOC)
+    kind = F.split("text", " ")[0]
+    got = corpus_pipeline.mixed(spark, docs, "").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts")).collect()
+    assert {r["kind"] for r in got} == {"null", "seven", "same"} and all(2250 < r["n"] < 2750 for r in got)  # deviation 50
+    assert all(1450 < r["texts"] < 1710 for r in got if r["kind"] != "same")  # 2500 (1 - 1/e) = 1580
+    again = corpus_pipeline.mixed(spark, docs.repartition(7), "").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts")).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    parts = mixing.mix(docs.filter("doc_id = 7"), total=50_000).filter("copy_no = 0").groupBy(F.spark_partition_id()).count().count()
+    assert parts > 1
