@@ -250,6 +250,16 @@ def test_tables_for_wide_keys(dims, total):
     assert total / 2 ** int(np.bitwise_count(masks[0])) < 300
 
 
+def test_embeddings_of_two_lengths(spark):
+    rng = np.random.default_rng(13)
+    wide, narrow = ([v for c in rng.normal(size=(12, dims)) for v in (c, c, c + 0.01 * rng.normal(size=dims))] for dims in (24, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate([*wide, *narrow, *narrow[:3], np.ones(5)])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    n = len(wide)
+    assert all(got[i] == (2, i // 3 * 3) for i in [*range(n), *range(n + 3, 2 * n)])
+    assert all(got[i] == (5, n) for i in [*range(n, n + 3), *range(2 * n, 2 * n + 3)]) and got[2 * n + 3] == (0, 2 * n + 3)
+
+
 def test_few_embeddings(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.near_vectors(empty).count() == 0

@@ -93,21 +93,39 @@ def table_masks(bits: int, total: int, flips: np.ndarray) -> np.ndarray:
 
 
 def unit_rows(vectors: list[bytes]) -> np.ndarray:
+    """Vectors of one length, each of norm 1."""
     x = np.stack([np.frombuffer(v, np.float64) for v in vectors])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def coded(classes: DataFrame, mean: np.ndarray, projection: np.ndarray, masks: np.ndarray) -> DataFrame:
-    """classes (node, vec, weight, first) with code and the key of each table."""
+#: Mean, projection and masks.
+Index = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def fitted(sample: np.ndarray, total: int, cosine: float) -> Index:
+    """The index of ``total`` vectors of one length from a sample of them."""
+    sample = sample / np.abs(sample).max(1, keepdims=True)
+    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    mean, projection = rotation(sample[:SAMPLE])
+    return mean, projection, table_masks(projection.shape[1], total, threshold_flips(sample[-PROBES:], mean, projection, cosine))
+
+
+def coded(classes: DataFrame, indexes: dict[int, Index]) -> DataFrame:
+    """classes (node, vec, weight, first) with code and the key of each table, each by the index of its length."""
     number = np.uint64(MOST_TABLES.bit_length() - 1)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x = unit_rows(batch.column("vec").to_pylist())
-                code = codes_of(x, mean, projection)
-                keys = (code[:, None] & masks[None, :]) * np.uint64(0x9E3779B97F4A7C15) >> number << number | np.arange(len(masks), dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.view(np.int64)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], [*batch.schema.names, "code", "buckets"])
+            vectors = batch.column("vec").to_pylist()
+            sizes = np.array([len(v) // 8 for v in vectors], np.int64)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                mean, projection, masks = indexes[int(size)]
+                code = codes_of(unit_rows([vectors[i] for i in at]), mean, projection)
+                mixed = (code[:, None] & masks[None, :]) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(int(size) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
+                keys = mixed >> number << number | np.arange(len(masks), dtype=np.uint64)
+                own = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(code.view(np.int64)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], [*batch.schema.names, "code", "buckets"])
 
     return classes.mapInArrow(run, "node long, vec binary, weight long, first long, code long, buckets array<long>")
 
@@ -118,6 +136,8 @@ def cores(units: DataFrame, cosine: float) -> DataFrame:
 
     def run(batches):
         for (leader, _, _), rows in units_of(batches, ["side", "node", "vec"]):
+            size = next(len(r[2]) for r in rows if r[0] == 0)
+            rows = [r for r in rows if len(r[2]) == size]
             x = unit_rows([v for _, _, v in rows])
             centre = x[next(i for i, r in enumerate(rows) if r[0] == 0)]
             found = [r[1] for r, c in zip(rows, x @ centre, strict=True) if r[0] and c >= near]
@@ -126,10 +146,17 @@ def cores(units: DataFrame, cosine: float) -> DataFrame:
     return by_unit(units).mapInArrow(run, "node long, leader long")
 
 
+def of_one_length(units):
+    """Units by the length of their vectors (keys of two lengths meet only by chance)."""
+    for key, rows in units:
+        for size in sorted({len(r[6]) for r in rows}):
+            yield key, [r for r in rows if len(r[6]) == size]
+
+
 FIELDS = ["side", "node", "label", "common", "code", "weight", "vec"]
 
 
-def linked(units: DataFrame, masks: np.ndarray, cosine: float) -> DataFrame:
+def linked(units: DataFrame, tables: dict[int, np.ndarray], cosine: float) -> DataFrame:
     """(a, b, n): links found in a unit; n of them at a, counting repeated vectors, and b one of those, or null.
 
     A pair counts in the first table that it shares; of two that aren't of the common core each
@@ -137,7 +164,8 @@ def linked(units: DataFrame, masks: np.ndarray, cosine: float) -> DataFrame:
     """
 
     def run(batches):
-        for (bucket, _, _), rows in units_of(batches, FIELDS):
+        for (bucket, _, _), rows in of_one_length(units_of(batches, FIELDS)):
+            masks = tables[len(rows[0][6]) // 8]
             left, right = ([r for r in rows if r[0] == side] for side in (0, 1))
             if not left or not right:
                 continue
@@ -173,8 +201,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, key: str = "vec_id
 
     n_links counts the other rows linked directly, copies included; component_id is the smallest key
     reachable; kept says whether it is the row's own.  A vector that is null, empty or zero, or holds
-    a null or a non-finite component, is linked with nothing; so is one whose length isn't
-    the table's commonest (of equally common ones the longest), as it has no cosine with them.  A null key
+    a null or a non-finite component, is linked with nothing; others only with those of
+    their length, which have an index of their own.  A null key
     takes part and is nobody's smallest.  An empty table gives an empty one.
     """
     spark = embeddings.sparkSession
@@ -182,36 +210,33 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, key: str = "vec_id
     numbers = F.transform(F.col(vector), lambda x: x.cast("double"))
     usable = F.coalesce((F.size(numbers) > 0) & F.forall(numbers, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(numbers, lambda x: x != 0), F.lit(False))
     rows = embeddings.select(F.col(key).cast("long").alias("key"), F.when(usable, numbers).alias("v"))
-    sizes = rows.filter("v is not null").groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
-    size = sizes[0]["size"] if sizes else 0
-    fits = F.when(F.size("v") == size, F.col("v"))
-    rows = rows.select("key", fits.alias("v")).withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    sizes = {r["size"]: r["count"] for r in rows.filter("v is not null").groupBy(F.size("v").alias("size")).count().filter("count > 1").collect()}
 
-    total = rows.filter("v is not null").count()
     alone = rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    if total < 2:
+    if not sizes:
         return alone
-    sample = np.array([r["v"] for r in rows.filter("v is not null").orderBy(F.xxhash64("key", "node")).limit(SAMPLE + PROBES).select("v").collect()])
-    sample = sample / np.abs(sample).max(1, keepdims=True)
-    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean, projection = rotation(sample[:SAMPLE])
-    masks = table_masks(projection.shape[1], total, threshold_flips(sample[-PROBES:], mean, projection, cosine))
+    indexes = {}
+    for size, total in sorted(sizes.items()):
+        sample = rows.filter(F.col("v").isNotNull() & (F.size("v") == size)).orderBy(F.xxhash64("key", "node")).limit(SAMPLE + PROBES).select("v").collect()
+        indexes[size] = fitted(np.array([r["v"] for r in sample]), total, cosine)
+    indexed = F.col("v").isNotNull() & F.size("v").isin(*sizes)
 
     def packed(batches):
         for batch in batches:
             vectors = [v and np.array(v) for v in batch.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), pa.array([(v / np.abs(v).max()).tobytes() for v in vectors], pa.binary())], ["key", "node", "vec"])
 
-    vectors = rows.filter("v is not null").mapInArrow(packed, "key long, node long, vec binary")
+    vectors = rows.filter(indexed).mapInArrow(packed, "key long, node long, vec binary")
     grouped = vectors.groupBy("node").agg(F.first("vec").alias("vec"), F.count("*").alias("weight"), F.min("key").alias("first"))
-    classes = ws.keep(coded(grouped.select("node", "vec", "weight", "first"), mean, projection, masks), "classes")
+    classes = ws.keep(coded(grouped.select("node", "vec", "weight", "first"), indexes), "classes")
     members = ws.keep(shared_buckets(classes.select("node", F.explode("buckets").alias("bucket"))), "members")
 
     stars = star_units(best_leaders(members), classes.select("node", F.lit(1).alias("weight")), UNIT)
     core = ws.keep(cores(stars.join(classes.select("node", "vec"), "node"), cosine), "cores")
     labelled = members.join(core.withColumnRenamed("leader", "core"), "node", "left").select("bucket", "node", F.coalesce("core", F.xxhash64("node")).alias("label"))
     units = mixed_units(labelled).join(classes.select("node", "code", "weight", "vec"), "node")
-    found = ws.keep(linked(units, masks, cosine), "links")
+    found = ws.keep(linked(units, {size: index[2] for size, index in indexes.items()}, cosine), "links")
 
     links = found.filter("b is not null").select("a", "b").union(core.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     labels = connected(links, ws)
