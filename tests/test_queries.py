@@ -8,6 +8,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__
+from topolake.plans import q_relations
 from topolake.plans.catalog import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -35,5 +36,17 @@ def test_query(spark, name):
     assert sorted(got) == sorted(rows)
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+def test_payload_document_has_all_schemas(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(q_relations.R, "payload", lambda *parts, whole=q_relations.R.payload: made.append(whole(*parts)) or made[0])
+    got = QUERIES["q_payload_document"](spark, DIR).collect()
+    assert made[0].selectExpr("size(schemas)").first()[0] == spark.read.parquet(f"{DIR}/part.parquet").count() > 0
+    con = duckdb.connect()
+    for file in os.listdir(DIR):
+        con.sql(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{DIR}/{file}'")
+    assert list(map(tuple, got)) == con.execute(ORACLES["q_payload_document"]).fetchall()
+
+
 def test_entry_points():
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

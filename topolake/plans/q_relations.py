@@ -105,7 +105,7 @@ def q_payload_nest(spark, sf_dir):
 @query("q_payload_document", f"""{ctes('services', 'connections')}, {MERGED}, {DEDUPED} SELECT (SELECT count(*) FROM merged) AS n_services, (SELECT count(*) FROM deduped) AS n_connections, '1.0' AS version, 'cli' AS tool""")
 def q_payload_document(spark, sf_dir):
     services = R.exposed(R.merge_services(derive(spark, sf_dir, "services")), derive(spark, sf_dir, "endpoints"))
-    document = R.payload(services, R.dedupe_connections(derive(spark, sf_dir, "connections")), derive(spark, sf_dir, "schemas").limit(0), {"tool": "cli", "scan_mode": "full"})
+    document = R.payload(services, R.dedupe_connections(derive(spark, sf_dir, "connections")), derive(spark, sf_dir, "schemas"), {"tool": "cli", "scan_mode": "full"})
     return document.select(F.size("services").cast("long").alias("n_services"), F.size("connections").cast("long").alias("n_connections"), "version", "metadata.tool")
 
 
