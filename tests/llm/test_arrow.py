@@ -235,19 +235,21 @@ def test_embeddings(spark):
     assert got[n - 3][1] == got[0][1] and all(k == (c == i) for i, (_, c, k) in got.items())
 
 
-@pytest.mark.parametrize(("dims", "total"), [(64, 10_000), (64, 1 << 20), (64, 1 << 24), (32, 1 << 20)])
-def test_tables_for_wide_keys(dims, total):
+@pytest.mark.parametrize("dims", [4, 8, 16, 64, 384])
+@pytest.mark.parametrize("total", [10_000, 1 << 20, 10**9])
+def test_tables_meet_at_any_size_and_dimension(dims, total):
+    """Held-out vectors with partners at exactly the threshold meet in some table and stay after their codes are compared."""
     rng = np.random.default_rng(12)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    x = unit(rng.normal(size=(9000, dims)))
-    mean, projection = embed_dedup.rotation(x[:3000])
-    masks = embed_dedup.table_masks(projection.shape[1], total, embed_dedup.threshold_flips(x[3000:6000], mean, projection, 0.95))
-    a = x[6000:]
+    x = unit(rng.normal(size=(min(total, embed_dedup.SAMPLE) + 4000, dims)))
+    index, a = embed_dedup.fitted(x[:-4000], total, 0.95), x[-4000:]
     b = rng.normal(size=a.shape)
     b = 0.95 * a + (1 - 0.95**2) ** 0.5 * unit(b - (a * b).sum(1, keepdims=True) * a)
-    differ = embed_dedup.codes_of(a, mean, projection) ^ embed_dedup.codes_of(b, mean, projection)
-    assert ((differ[:, None] & masks) == 0).any(1).mean() >= 0.93
-    assert total / 2 ** int(np.bitwise_count(masks[0])) < 300
+    keys = [index.keys(v) for v in (a, b)]
+    met = (keys[0][:, :, :, None] == keys[1][:, :, None, :]).any((1, 2, 3))
+    near = np.bitwise_count(index.codes(a) ^ index.codes(b)).sum(1) <= index.radius
+    assert (met & near).mean() >= 0.985
+    assert dims < 16 or index.tables * total / 2**index.width < 2000
 
 
 def test_embeddings_of_two_lengths(spark):
