@@ -209,9 +209,34 @@ def test_packing(spark):
         total = sum(r["length"] for r in held)
         assert [r["offset"] for r in held] == np.cumsum([0, *[r["length"] for r in held]])[:-1].tolist()
         assert total <= 4096 and total & (total - 1) == 0
+    full = sum(i.doc_tokens // 4096 for i in (p[0] for p in pieces.values()))
+    assert len(rows) - full < 2 * len(texts) + 12 * 3
     assert packing.pack(documents(spark, []), path).count() == 0
 
 
+def test_bins_take_k_documents_of_class_k():
+    rng = random.Random(4)
+    bins, rows = packing.Bins(1, 64), []
+    sizes = [rng.randrange(1, 150) for _ in range(3000)]
+    for i, n in enumerate(sizes):
+        rows += bins.put(i, bytes(4 * n))
+    whole = len(rows)
+    rows += bins.close()
+    held = {}
+    for r in rows:
+        held.setdefault(r[5], []).append(r)
+    assert all(sum(p[2] for p in held[r[5]]) == 64 for r in rows[:whole])
+    for own in held.values():
+        last = [p for p in own if p[1] + p[2] == p[4]]
+        if own[0] in rows[:whole] and len(own) > 1:  # k documents of class k, then heads of others in the gap
+            k = 64 // own[0][2]
+            assert all(64 // p[2] == k and p in last for p in own[:k]) and all(p[1] == 0 for p in own[k:])
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r[0], []).append((r[1], r[2]))
+    assert all(sum(n for _, n in by_doc[i]) == size and len(by_doc[i]) <= 2 + size // 64 or i in {r[0] for r in rows[whole:]} for i, size in enumerate(sizes))
+
+
 # --- 8 ------------------------------------------------------------------------
 
 

@@ -1,10 +1,9 @@
 """Operator 7: harmonic packing of tokenised documents into fixed-length sequences.
 
-Class k holds pieces of at most capacity/k tokens, and its bins take exactly k of
-them.  Documents may be cut freely, so pieces are cut to the very sizes
-capacity/1, capacity/2, capacity/4, ... and a bin of k pieces is full.  Every task fills its own
-bins; what it has left over at its end closes as sequences of a power of two.
-No padding arises and nothing is shuffled.
+A document longer than a sequence fills whole ones; what is left of it goes, uncut, to class
+k = capacity // length, whose bins take exactly k documents.  The gap that a full bin leaves is closed by the head of
+the next document, the only cut that packing makes.  Every task fills its own bins and nothing is shuffled.  At a
+task's end the bins still open are joined into full sequences and, at the very end, ones of powers of two, so no padding arises.
 """
 
 from __future__ import annotations
@@ -73,40 +72,70 @@ def token_ids(path: str):
     return encode
 
 
-def cut(length: int, capacity: int) -> list[int]:
-    """Sizes of pieces: whole sequences, then the powers of two that make up the rest."""
-    rest = length % capacity
-    return [capacity] * (length // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if rest >> b & 1]
-
-
 class Bins:
-    """One open bin a class; ``put`` says where a piece lies.  At the end ``close`` gives the leftovers sequences."""
+    """Open bins by class; ``put`` places a document's ids and ``close`` what is still open.  Both return rows."""
 
     def __init__(self, task: int, capacity: int):
-        self.capacity, self.next, self.open, self.rows = capacity, task << 40, {}, []
-
-    def put(self, size: int, row: tuple) -> list[tuple]:
-        held = self.open.setdefault(size, [])
-        held.append(row)
-        if len(held) < self.capacity // size:
-            return []
-        self.open[size] = []
-        return self.sequence(size, held)
+        self.capacity, self.next = capacity, task << 40
+        self.open: dict[int, list[tuple]] = {}
+        #: A bin with its k documents whose gap waits for the next document, and the size of that gap.
+        self.waiting: list[tuple] = []
+        self.gap = 0
+
+    def put(self, key: int | None, ids: bytes) -> list[tuple]:
+        total, at, out = len(ids) // 4, 0, []
+        if self.gap:
+            at = min(self.gap, total)
+            self.waiting.append((key, 0, ids[: 4 * at], total))
+            self.gap -= at
+            if not self.gap:
+                out += self.sequence(self.waiting)
+                self.waiting = []
+        while total - at >= self.capacity:
+            out += self.sequence([(key, at, ids[4 * at : 4 * (at + self.capacity)], total)])
+            at += self.capacity
+        if at < total:
+            k = self.capacity // (total - at)
+            held = self.open.setdefault(k, [])
+            held.append((key, at, ids[4 * at :], total))
+            if len(held) == k:
+                del self.open[k]
+                out += self.full(held)
+        return out
 
-    def sequence(self, size: int, held: list[tuple]) -> list[tuple]:
-        number, self.next = self.next, self.next + 1
-        return [(*row, number, i * size) for i, row in enumerate(held)]
+    def full(self, held: list[tuple]) -> list[tuple]:
+        """A bin that has its k documents: a sequence, or one that waits for the next document."""
+        gap = self.capacity - sum(len(ids) for _, _, ids, _ in held) // 4
+        if not gap:
+            return self.sequence(held)
+        self.waiting, self.gap = held, gap
+        return []
+
+    def sequence(self, pieces: list[tuple]) -> list[tuple]:
+        number, self.next, at, out = self.next, self.next + 1, 0, []
+        for key, start, ids, total in pieces:
+            out.append((key, start, len(ids) // 4, zlib.crc32(ids), total, number, at))
+            at += len(ids) // 4
+        return out
 
     def close(self) -> list[tuple]:
-        """2^b pieces of one class at a time, so that each sequence is a power of two long."""
-        out = []
-        for size, held in self.open.items():
-            while held:
-                n = 1 << (len(held).bit_length() - 1)
-                out += self.sequence(size, held[:n])
-                held = held[n:]
-        self.open = {}
-        return out
+        """One stream of all pieces left, cut where a sequence ends: full ones, then the powers of two that make up the rest."""
+        left = [*self.waiting, *(piece for k in sorted(self.open) for piece in self.open[k])]
+        size = sum(len(ids) for _, _, ids, _ in left) // 4
+        room = [self.capacity] * (size // self.capacity) + [1 << b for b in range(self.capacity.bit_length() - 1, -1, -1) if size % self.capacity >> b & 1]
+        out, held, free = [], [], 0
+        rooms = iter(room)
+        for key, start, ids, total in left:
+            while ids:
+                if not free:
+                    out += self.sequence(held) if held else []
+                    held, free = [], next(rooms)
+                taken, ids = ids[: 4 * free], ids[4 * free :]
+                held.append((key, start, taken, total))
+                start += len(taken) // 4
+                free -= len(taken) // 4
+        self.open, self.waiting, self.gap = {}, [], 0
+        return out + (self.sequence(held) if held else [])
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,12 +154,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096
         rows: list[tuple] = []
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(t.as_py() or "") + tail
-                total, start = len(ids) // 4, 0
-                for size in cut(total, capacity):
-                    piece = (k, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), total)
-                    rows += bins.put(size, piece)
-                    start += size
+                rows += bins.put(k, encode(t.as_py() or "") + tail)
                 if len(rows) >= 20_000:
                     yield _batch(rows)
                     rows = []
