@@ -15,8 +15,9 @@ from topolake.llm.cnn import Adam, Filters, labelled_sample
 
 #: Filters move by GROUP bytes and span 1, 2 and 3 groups; a window has WINDOW bytes.
 GROUP, SPANS, FILTERS, WINDOW = 2, (1, 2, 3), 16, 256
-#: The model learns from at most so many rows of at most so many characters, from so many windows of each.
-SAMPLE, LONGEST, WINDOWS = 4_000, 50_000, 4
+#: The model learns from at most so many pieces of texts; a piece is a whole text or, of a longer one, so many characters.
+#: Of the windows of all those pieces it takes at most so many, at random.
+SAMPLE, PIECE, WINDOWS = 4_000, 20_000, 20_000
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.004, 23
 CHUNK = 1 << 17
 UNKNOWN = "und"
@@ -77,10 +78,11 @@ class LanguageModel:
         windows, labels = [], []
         for text, lang in sample:
             raw = text.encode()
-            spread = np.linspace(0, max(0, len(raw) - WINDOW), min(WINDOWS, 1 + len(raw) // WINDOW)).astype(int)
-            windows += [raw[a : a + WINDOW].ljust(WINDOW, b"\0") for a in spread]
-            labels += [self.languages.index(lang)] * len(spread)
+            windows.append(raw.ljust(-(-len(raw) // WINDOW) * WINDOW, b"\0"))
+            labels += [self.languages.index(lang)] * (len(windows[-1]) // WINDOW)
         data, target = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW), np.array(labels)
+        chosen = np.sort(rng.permutation(len(data))[:WINDOWS])
+        data, target = data[chosen], target[chosen]
         optimiser = Adam([*self.filters.parameters(), self.weights, self.offset], RATE)
         for epoch in range(EPOCHS):
             optimiser.rate = RATE * (1 - epoch / EPOCHS)
@@ -107,7 +109,7 @@ def held_out(key: str):
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """Learns from rows with a language outside the held-out fifth (crc32 of the key modulo 5 is 0).  None without any."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("label"))
-    sample = [(t, y) for t, y in labelled_sample(rows.filter(F.col("key").isNotNull() & ~held_out("key")), SAMPLE, LONGEST, SEED) if t]
+    sample = [(t, y) for t, y in labelled_sample(rows.filter(F.col("key").isNotNull() & ~held_out("key")), SAMPLE, PIECE, SEED) if t]
     return LanguageModel(sorted({y for _, y in sample})).fit(sample) if sample else None
 
 

@@ -10,15 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from topolake.llm.cnn import Adam, Filters, labelled_sample
 
 #: Chunks start every GROUP bytes and span two groups.
 GROUP, FILTERS = 4, 24
-#: The model learns from at most so many labelled documents of at most so many characters.
-SAMPLE, LONGEST = 6_000, 50_000
-EPOCHS, BATCH, RATE, SEED = 10, 32, 0.004, 11
+#: The model learns from at most so many pieces of labelled documents; a piece is a whole text or, of a longer one, so many characters.
+SAMPLE, PIECE = 6_000, 50_000
+#: The sample is gone through so often, and more often until so many updates are made.
+EPOCHS, UPDATES = 10, 1500
+BATCH, RATE, SEED = 32, 0.004, 11
 #: Bytes scored at once.
 CHUNK = 1 << 18
 
@@ -70,8 +72,9 @@ class QualityModel:
             rate = labels.mean().clip(0.01, 0.99)
             self.offset[0] = np.log(rate / (1 - rate))
         optimiser = Adam([*self.filters.parameters(), self.weights, self.offset], RATE)
-        for epoch in range(EPOCHS):
-            optimiser.rate = RATE * (1 - epoch / EPOCHS)
+        epochs = max(EPOCHS, -(-UPDATES * BATCH // max(1, len(texts))))
+        for epoch in range(epochs):
+            optimiser.rate = RATE * (1 - epoch / epochs)
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 part = order[at : at + BATCH]
@@ -90,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Learns from labelled rows outside the held-out third (crc32 of the key modulo 3 is 1).  None without labels."""
     marks = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out("key"))
     sized = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    sample = labelled_sample(sized.join(marks, "key"), SAMPLE, LONGEST, SEED)
+    sample = labelled_sample(sized.join(marks, "key"), SAMPLE, PIECE, SEED)
     return QualityModel().fit(sample) if sample else None
 
 
@@ -98,16 +101,22 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, model: QualityModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with ``score`` (0 to 1, in place of a column of that name); 0.5 without a model.  A null text is scored as an empty one."""
+def probability(text: Column, model: QualityModel | None) -> Column:
+    """The model's probability of label 1; 0.5 without a model.  A null text is scored as an empty one."""
 
     @F.arrow_udf(T.DoubleType())
-    def probability(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             found = np.full(len(batch), 0.5) if model is None else model.probabilities([(t.as_py() or "").encode() for t in batch])
             yield pa.array(np.asarray(found, np.float64))
 
-    return docs.withColumn("score", probability(F.col(text).cast("string")))
+    return run(text.cast("string"))
+
+
+def accepted(docs: DataFrame, model: QualityModel | None, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose probability is ``least`` or more, with their own columns alone; all without a model."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), probability(F.col(f"`{text}`"), model).alias("quality"))
+    return rows.filter(F.col("quality") >= least).select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,5 +126,5 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     and 1 teach nothing; where no label is left, every score is 0.5.
     """
     model = train(docs, labels, key, text)
-    scored = score(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")), model, "key", "text").drop("text")
+    scored = docs.select(F.col(key).cast("long").alias("key"), probability(F.col(text), model).alias("score"))
     return scored.select(F.col("key").alias(key), held_out("key").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
