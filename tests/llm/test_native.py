@@ -4,10 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from topolake.llm import fingerprint, mixing, queries, secret_scan, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -73,21 +73,101 @@ def test_secrets(spark):
     rng = random.Random(2)
     words = ["token", "PassWord", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "0123456789abcdef", "ABCDEFGH12345678", "deadbeef", "\n", "é", "😀", "xyzxyzxyzxyz", "_", ".", "-"]
     texts = ODD + ["".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
-    got = secret_scan.scan(documents(spark, texts, True)).select("doc_id", secret_scan.joined(F.col("_base_spans")).alias("b"), secret_scan.joined(F.col("_spans")).alias("s")).collect()
+    got = secret_scan.scan(documents(spark, texts, True)).select("row.doc_id", secret_scan.joined(F.col("base")).alias("b"), secret_scan.joined(F.col("spans")).alias("s")).collect()
     for r in got:
         want = spans_of(texts[r["doc_id"]])
         assert r["b"] == ",".join(want)
         assert set(want) <= set(r["s"].split(",")) or not want
 
 
-def test_random_tokens_found_and_prose_left(spark):
+def plain_evidence(token):
+    """The battery in numpy."""
+    e = next((e for e in secret_scan.ENCODINGS if re.fullmatch(f"(?:{e.pattern})=*", token)), None)
+    token, n = token.rstrip("="), len(token.rstrip("="))
+    if e is None or n <= 15 or token.isdigit():
+        return None
+    codes, k = np.array([ord(c) for c in token], float), e.size
+    squares = sum(token.count(c) ** 2 for c in set(token))
+    kind = lambda c: "l" if c in secret_scan.LOWER else "u" if c in secret_scan.UPPER else "d" if c.isdigit() else "o"
+    voice = lambda c: None if kind(c) in "do" else c.lower() in "aeiou"
+    changes = sum(kind(a) != kind(b) for a, b in zip(token, token[1:]))
+    spoken = [(voice(a), voice(b)) for a, b in zip(token, token[1:]) if None not in (voice(a), voice(b))]
+    turns = sum(a != b for a, b in spoken)
+    spread = 2 / (9 * (k - 1))
+    tests = [(np.cbrt((k / n * squares - n) / (k - 1)) - 1 + spread) / np.sqrt(spread)]
+    v = e.vowels
+    for seen, pairs, rate, cov in ((changes, n - 1, 1 - e.classes(2), e.classes(3) - e.classes(2) ** 2), (turns, len(spoken), 2 * v * (1 - v), v * (1 - v) * (1 - 4 * v * (1 - v)))):
+        tests.append((seen - pairs * rate) / np.sqrt(pairs * rate * (1 - rate) + 2 * pairs * cov) if pairs * rate > 0 else 0.0)
+    off = codes - codes.mean()
+    if not (off**2).sum() > 1e-9:
+        return None
+    tests.append((off[:-1] * off[1:]).sum() / (off**2).sum() * np.sqrt(n))
+    if max(map(abs, tests)) > secret_scan.REJECT:
+        return None
+    pair, triple = e.written(2), e.written(3)
+    z = max(0, (pair - (squares - n) / (n * (n - 1))) / np.sqrt(2 * pair * (1 - pair) / (n * (n - 1)) + 4 * (triple - pair**2) / n))
+    kl = lambda r, p: (r * np.log(r / p) if r > 0 else 0) + ((1 - r) * np.log((1 - r) / (1 - p)) if r < 1 else 0)
+    mean, variance, most = e.rarity
+    own = [secret_scan.RARITY[secret_scan.LOWER.index(c.lower())] for c in token if kind(c) in "lu"]
+    rare = max(0, np.mean(own) - mean) if own else 0
+    x = max(0, max(z * z / 2, len(own) * rare**2 / (2 * (variance * secret_scan.DEPENDENT + rare * most / 3))) - np.log(2))
+    x += (n - 1) * kl(changes / (n - 1), secret_scan.CHANGE) if changes / (n - 1) > secret_scan.CHANGE else 0
+    x += len(spoken) * kl(turns / len(spoken), secret_scan.ALTERNATION) if spoken and turns / len(spoken) < secret_scan.ALTERNATION else 0
+    return min(secret_scan.TOP, (x - np.log(1 + x + x * x / 2)) / np.log(10) * secret_scan.STEPS)
+
+
+def plain_spans(texts, level=0.01):
+    """All spans of each text, with Benjamini-Hochberg by length class over all of them."""
+    base = [spans_of(t) for t in texts]
+    places = [[tuple(map(int, b.split(":")[1:])) for b in own] for own in base]
+    tokens = [[(m.start(), m.end(), plain_evidence(m[0])) for m in re.finditer(secret_scan.TOKEN, t or "") if not any(s < m.end() and m.start() < e for s, e in own)] for t, own in zip(texts, places)]
+    by_class = {}
+    for own in tokens:
+        for s, e, x in own:
+            by_class.setdefault(int(np.log2(e - s)), []).append(-1 if x is None else int(np.floor(x)))
+    least = {}
+    for c, steps in by_class.items():
+        passing = [x for x in steps if x >= 0 and 10 ** (-x / secret_scan.STEPS) <= level * sum(y >= x for y in steps) / len(steps)]
+        least[c] = min(passing, default=None)
+    out = []
+    for own, more in zip(base, tokens):
+        found = [f"random:{s}:{e}" for s, e, x in more if x is not None and least[int(np.log2(e - s))] is not None and int(np.floor(x)) >= least[int(np.log2(e - s))]]
+        order = {"assign": 0, "access": 1, "hex": 2, "random": 3}
+        out.append(",".join(sorted([*own, *found], key=lambda x: (int(x.split(":")[1]), order[x.split(":")[0]]))))
+    return out
+
+
+ALPHABETS = {
+    "upper hex": "0123456789ABCDEF", "base32": secret_scan.UPPER + "234567", "base36": secret_scan.LOWER + secret_scan.DIGITS, "lower": secret_scan.LOWER,
+    "base62": secret_scan.LOWER + secret_scan.UPPER + secret_scan.DIGITS, "base64": secret_scan.LOWER + secret_scan.UPPER + secret_scan.DIGITS + "+/",
+}
+WRITING = ["averylongcompoundwordwithoutanyblank", "internationalizationconfigurationmanager", "some_snake_case_identifier_name", "AbstractSingletonProxyFactoryBeanImpl", "src/main/java/org/example/Thing", "http-equiv-content-type-header-name", "abcdefghijklmnopqrstuvwxyz0123456789", "x" * 40, "Donaudampfschifffahrtsgesellschaftskapitaen"]
+
+
+def test_random_tokens_as_in_numpy(spark):
     rng = random.Random(3)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    secret = ["here " + "".join(rng.choice(letters) for _ in range(40)) + " there" for _ in range(30)]
-    prose = ["averylongcompoundwordwithoutanyblank otherwise ordinary", "internationalizationconfigurationmanager", "some_snake_case_identifier_name"] * 40
-    got = secret_scan.scan(documents(spark, secret + prose)).select("doc_id", F.size("_spans").alias("n")).collect()
-    assert sum(r["n"] for r in got if r["doc_id"] < 30) >= 28
-    assert sum(r["n"] for r in got if r["doc_id"] >= 30) == 0
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [f"é {draw(letters, n)}= and" for letters in ALPHABETS.values() for n in (20, 32, 40, 64, 200) for _ in range(12)] + [f"{a} {b}" for a in WRITING for b in WRITING] + ODD
+    got = {r["doc_id"]: r["s"] for r in secret_scan.scan(documents(spark, texts)).select("row.doc_id", secret_scan.joined(F.col("spans")).alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_spans(texts)
+
+
+def test_power_and_false_discoveries(spark):
+    rng = random.Random(5)
+    rows, least = [], {"upper hex": 0.95, "base32": 0.65, "base36": 0.65, "lower": 0.75, "base62": 0.97, "base64": 0.97}
+    rows = [("".join(rng.choice(letters) for _ in range(40)), name) for name, letters in ALPHABETS.items() for _ in range(60)]
+    rows += [(w, "writing") for w in WRITING * 30]
+    docs = spark.createDataFrame([(i, t, name) for i, (t, name) in enumerate(rows)], "doc_id long, text string, name string")
+    found = {r["name"]: r["share"] for r in secret_scan.scan(docs).groupBy("row.name").agg(F.avg((F.size("spans") > 0).cast("double")).alias("share")).collect()}
+    assert found["writing"] == 0 and all(found[name] >= share for name, share in least.items()), found
+
+
+def test_long_tokens(spark):
+    rng = random.Random(6)
+    letters = ALPHABETS["base62"]
+    texts = ["".join(rng.choice(letters) for _ in range(200_000)), " ".join("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(5000))]
+    got = secret_scan.scan(documents(spark, texts)).select("row.doc_id", F.size("spans").alias("n"), F.col("spans")[F.size("spans") - 1]["end"].alias("end")).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == [(1, 200_000), (5000, 33 * 5000 - 1)]
 
 
 def test_redaction(spark):
@@ -95,6 +175,9 @@ def test_redaction(spark):
     got = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
     assert [got[i]["text"] for i in range(4)] == ["a [SECRET] b", None, "plain", "[SECRET]"]
     assert got[0]["n_chars"] == 12 and got[0].asDict().keys() == set(docs.columns)
+    names = ["_text", "tokens", "base", "spans", "row", "found", "new"]
+    extra = secret_scan.redact(docs.withColumns({n: F.lit(f"my {n}") for n in names})).collect()
+    assert all(r[n] == f"my {n}" for r in extra for n in names)
     assert secret_scan.redact(documents(spark, [])).count() == 0
 
 
@@ -180,10 +263,23 @@ def test_mix_of_repeated_ids(spark):
     rows = [(None, f"null {i}", "en", "s", 1) for i in range(2500)] + [(7, f"seven {i}", "en", "s", 1) for i in range(2500)] + [(None, "same", "en", "s", 1)] * 2500
     docs = spark.createDataFrame(rows, DOC)
     kind = F.split("text", " ")[0]
-    got = corpus_pipeline.mixed(spark, docs, "").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts")).collect()
+    got = mixing.mix(docs).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts")).collect()
     assert {r["kind"] for r in got} == {"null", "seven", "same"} and all(2250 < r["n"] < 2750 for r in got)  # deviation 50
     assert all(1450 < r["texts"] < 1710 for r in got if r["kind"] != "same")  # 2500 (1 - 1/e) = 1580
-    again = corpus_pipeline.mixed(spark, docs.repartition(7), "").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts")).collect()
+    again = mixing.mix(docs.repartition(7)).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts")).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
-    parts = mixing.mix(docs.filter("doc_id = 7"), total=50_000).filter("copy_no = 0").groupBy(F.spark_partition_id()).count().count()
-    assert parts > 1
+    for part in ("doc_id = 7", "text = 'same'"):
+        assert mixing.mix(docs.filter(part), total=50_000).filter("copy_no = 0").groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_mix_like_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(None if i % 5 == 0 else i % 700, None if i % 11 == 0 else f"t{i % 300}", "en", None if i % 3 else f"s{i % 4}", i % 2) for i in range(3000)] + [(9, "twin", None, "rare", 4)] * 2
+    docs = spark.createDataFrame(rows, DOC)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(f"SELECT doc_id, text, lang, source, n_chars, copy_no FROM ({queries.OP10_SQL})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in mixing.mix(docs).collect())
+    names = ["mark", "twin", "row", "u", "levels", "place", "copy", "_mix_u"]
+    extra = mixing.mix(docs.withColumns({n: F.lit(f"my {n}") for n in names}).withColumn("m", F.create_map(F.lit("a"), "doc_id")))
+    assert extra.filter(" OR ".join(f"{n} <> 'my {n}'" for n in names)).count() == 0 and extra.columns[-3:-1] == ["_mix_u", "m"]

@@ -1,8 +1,8 @@
 """Operator 10: mixing sources to target weights by Poisson replication.
 
 A source's target rate is its weight's share of the wanted rows over the rows it
-has.  Each document draws a uniform number from a hash of the seed and its id and
-inverts the Poisson distribution of that mean; it is exploded by the count and the
+has.  Each row draws a uniform number from a hash of the seed, its id, its content and its running number among
+equal rows, and inverts the Poisson distribution of that mean; it is exploded by the count and the
 copies are dealt out by another hash.  DataFrame functions only.
 """
 
@@ -10,10 +10,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-#: A table of sources of at most this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_SOURCES = 100_000
 #: exp(-rate) is a normal double up to here: greater rates are the sum of several draws of equal means.
 MAX_RATE = 708.0
 #: Equal rows are numbered so many at a time.
@@ -54,50 +52,51 @@ def mixing_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return rated.withColumn("draws", draws).withColumn("levels", poisson_levels(F.col("rate") / F.col("draws")))
 
 
-def row_mark(docs: DataFrame) -> Column:
-    """A hash of all columns but those with maps, which have none."""
-    return F.xxhash64(*[f.name for f in docs.schema.fields if not re.search(r"\b(map<|variant)", f.dataType.simpleString())])
+def row_mark(fields: list[T.StructField]) -> Column:
+    """md5 of all columns' values as text, a null one as the word ``null``."""
+    as_text = lambda f: F.base64(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f.name).cast("string")
+    return F.md5(F.concat_ws("|", *[F.coalesce(as_text(f), F.lit("null")) for f in fields]))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with _mix_row, a hash of the row, and _mix_twin, which numbers equal rows from 0."""
-    marked = docs.withColumn("_mix_row", row_mark(docs))
-    repeated = marked.groupBy("_mix_row").count().filter("count > 1").select("_mix_row")
-    alone = lambda rows: rows.withColumn("_mix_twin", F.lit(0).cast("long"))
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (c0, c1, ...) with mark, a hash of the row, and twin, a number from 0 that tells equal rows apart."""
+    hashed = [f.name for f in rows.schema.fields if not re.search(r"\b(map<|variant)", f.dataType.simpleString())]
+    marked = rows.withColumns({"mark": row_mark(rows.schema.fields), "same": F.xxhash64(*hashed)})
+    at = ["mark", "same"]
+    repeated = marked.groupBy(*at).count().filter("count > 1").select(*at)
+    columns = [*rows.columns, "mark", "twin"]
+    alone = lambda part: part.withColumn("twin", F.lit(0).cast("long")).select(*columns)
     if repeated.isEmpty():
         return alone(marked)
-    groups = marked.join(repeated, "_mix_row", "left_semi").groupBy(*docs.columns, "_mix_row").agg(F.count("*").alias("_mix_n"))
-    blocks = groups.withColumn("_mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_n") - 1) / TWINS))))
-    dealt = blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_mix_row", "_mix_block")
-    first = F.col("_mix_block") * TWINS
-    twins = dealt.withColumn("_mix_twin", F.explode(F.sequence(first, F.least(first + TWINS, F.col("_mix_n")) - 1)))
-    return alone(marked.join(repeated, "_mix_row", "left_anti")).select(*docs.columns, "_mix_row", "_mix_twin").union(twins.select(*docs.columns, "_mix_row", "_mix_twin"))
+    groups = marked.join(repeated, at, "left_semi").groupBy(*at).agg(*[F.any_value(c).alias(c) for c in rows.columns], F.count("*").alias("n"))
+    blocks = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / TWINS))))
+    dealt = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mark", "block")
+    first = F.col("block") * TWINS
+    twins = dealt.withColumn("twin", F.explode(F.sequence(first, F.least(first + TWINS, F.col("n")) - 1)))
+    return alone(marked.join(repeated, at, "left_anti")).union(twins.select(*columns))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 17, key: str = "doc_id", source: str = "source", apart: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 17, key: str = "doc_id", source: str = "source") -> DataFrame:
     """docs' own columns, once per copy, with ``copy_no`` from 0 (renamed copy_no_ while docs has that name), dealt out at random.
 
-    A row with a null key or source takes part under the word ``null``.  Rows that repeat a key draw
-    the same number, as OP10_SQL has it, unless ``apart``: then each row draws its own, by its
-    content, and equal rows by their running number.  An empty table gives an empty one.  Every source keeps its expected
+    A row with a null key or source takes part under the word ``null``.  Rows draw apart: by their key and
+    content, and equal rows by their running number, so null or repeated keys are neither kept nor dropped together.
+    An empty table gives an empty one.  Every source keeps its expected
     share at any size; no row is dropped but by a draw of 0.
     """
     name = "copy_no"
-    while name in docs.columns:
+    while name.lower() in [c.lower() for c in docs.columns]:
         name += "_"
-    rates = mixing_rates(docs, weights, total, source).select(F.col("source").alias("_mix_source"), F.col("levels").alias("_mix_levels"), F.col("draws").alias("_mix_draws"))
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    identity = [F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null"))]
-    rows = numbered(docs) if apart else docs.withColumns({"_mix_row": row_mark(docs), "_mix_twin": F.lit(0).cast("long")})
-    if apart:
-        identity += [F.col("_mix_row").cast("string"), F.col("_mix_twin").cast("string")]
-    u = uniform(*identity)
-    reached = lambda u: F.size(F.filter("_mix_levels", lambda c: c <= u)).cast("long")
-    more = F.aggregate(F.sequence(F.lit(1), F.col("_mix_draws") - 1), F.lit(0).cast("long"), lambda n, i: n + reached(uniform(i.cast("string"), F.lit("draw"), *identity)))
-    copies = reached(F.col("_mix_u")) + F.when(F.col("_mix_draws") > 1, more).otherwise(F.lit(0))
-    drawn = rows.withColumn("_mix_u", u).join(rates, F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_copies", copies)
-    out = drawn.filter("_mix_copies > 0").withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_copies").cast("long") - 1)))
-    place = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("_mix_row"), F.col("_mix_twin"), F.col(name))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    key, of = (own[docs.columns.index(c)] for c in (key, source))
+    rates = mixing_rates(docs, weights, total, source).select(F.col("source").alias("name"), "levels", "draws")
+    rows = numbered(docs.toDF(*own))
+    identity = [F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("mark"), F.col("twin").cast("string")]
+    reached = lambda u: F.size(F.filter("levels", lambda c: c <= u)).cast("long")
+    more = F.aggregate(F.sequence(F.lit(1), F.col("draws") - 1), F.lit(0).cast("long"), lambda n, i: n + reached(uniform(i.cast("string"), F.lit("draw"), *identity)))
+    copies = reached(F.col("u")) + F.when(F.col("draws") > 1, more).otherwise(F.lit(0))
+    drawn = rows.withColumn("u", uniform(*identity)).join(rates, F.col(of).cast("string").eqNullSafe(F.col("name"))).withColumn("copies", copies)
+    out = drawn.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)))
+    place = F.xxhash64(F.lit(seed), F.col("mark"), F.col("twin"), F.col("copy"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.withColumn("_mix_place", place).repartition(parts, "_mix_place").sortWithinPartitions("_mix_place").select(*docs.columns, name)
+    return out.select(*own, "copy", place.alias("place")).repartition(parts, "place").sortWithinPartitions("place").select(*own, "copy").toDF(*docs.columns, name)

@@ -73,13 +73,13 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = secret_scan.scan(_table(spark, sf_dir, "documents"))
-    count = lambda kind: F.size(F.filter("_base_spans", lambda s: s.kind == kind)).cast("long")
+    scanned = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
     return scanned.select(
-        "doc_id",
+        "row.doc_id",
         *[count(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS],
-        F.sha2(secret_scan.joined(F.col("_base_spans")), 256).alias("base_sha256"),
-        secret_scan.joined(F.col("_spans")).alias("spans"),
+        F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
     )
 
 
@@ -116,14 +116,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = """
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n_rows FROM documents GROUP BY source),
 rates AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM counts) * (SELECT count(*) FROM documents)::DOUBLE / n_rows AS rate FROM counts),
+parts AS (SELECT source, greatest(1, CAST(ceil(rate / 708.0) AS BIGINT)) AS draws, rate / greatest(1, CAST(ceil(rate / 708.0) AS BIGINT)) AS rate FROM rates),
 levels(source, rate, k, p, c) AS (
-  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM parts
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM levels WHERE k + 1 <= ceil(rate + 12.0 * sqrt(rate) + 30.0)),
+numbered AS (
+  SELECT *, md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(text, 'null'), coalesce(lang, 'null'), coalesce(source, 'null'), coalesce(CAST(n_chars AS VARCHAR), 'null'))) AS mark FROM documents),
+named AS (
+  SELECT *, '17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || mark || ':' || (row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) - 1) AS name FROM numbered),
+draws AS (
+  SELECT n.doc_id, n.text, n.lang, n.source, n.n_chars, n.name, unnest(range(p.draws)) AS i FROM named n JOIN parts p ON p.source IS NOT DISTINCT FROM n.source),
 drawn AS (
-  SELECT *, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u FROM documents),
-copies AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.k AS copy_no FROM drawn d JOIN levels l ON l.source IS NOT DISTINCT FROM d.source AND l.c <= d.u)
-SELECT doc_id, text, lang, source, n_chars, copy_no::BIGINT AS copy_no FROM copies
+  SELECT *, CAST('0x' || substr(md5(CASE WHEN i = 0 THEN name ELSE i || ':draw:' || name END), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u FROM draws),
+copies AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.name, count(*) AS n FROM drawn d JOIN levels l ON l.source IS NOT DISTINCT FROM d.source AND l.c <= d.u GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(n)) AS copy_no FROM copies
 """
 
 
