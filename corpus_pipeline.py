@@ -17,7 +17,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents with a quality score of 0.5 or more."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score(docs, quality.train(docs, labels)).filter("score >= 0.5").select(*docs.columns)
+    return quality.accepted(docs, quality.train(docs, labels))
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: all sources in equal shares, as many documents as before; rows that share an id draw apart."""
-    return mixing.mix(docs, apart=True).select(*docs.columns)
+    return mixing.mix(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
