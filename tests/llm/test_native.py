@@ -204,15 +204,82 @@ def test_fingerprints(spark):
     assert got[n - 3]["fingerprint"] == got[n - 2]["fingerprint"] and got[n - 3]["near_next"] == 1.0 and got[n - 2]["near_next"] > 0.8
 
 
-def test_difference_recovered_exactly(spark):
-    rows = [([rng for rng in range(n)], [x + s for x in range(m)]) for n, m, s in ((0, 0, 0), (3, 3, 1), (40, 40, 7), (300, 250, 100), (5, 900, 2))]
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
-    a, b = F.col("a"), F.col("b")
-    got = df.select("a", "b", fingerprint.likeness(a, b, fingerprint.sketch(a, 5), fingerprint.sketch(b, 5)).alias("x"), fingerprint.retried(a, b, 16, 1).alias("d1"), fingerprint.retried(a, b, 40, 2).alias("d2")).collect()
-    for r in got:
-        sa, sb = set(r["a"]), set(r["b"])
-        assert r["x"] == pytest.approx(1 - len(sa ^ sb) / (len(sa) + len(sb)) if sa or sb else 1.0)
-        assert r["d1"] in (None, len(sa ^ sb)) and r["d2"] in (None, len(sa ^ sb)) and (r["d1"] is not None or r["d2"] is not None)
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def read(fingerprint):
+    """width and {place: [count, digest, check]} of a written sketch."""
+    width, cells = fingerprint.split("|")
+    parts = [c.split(".") for c in cells.split(";") if c]
+    return int(width, 16), {int(i, 16): [int(n), int(k, 16), int(c, 16)] for i, n, k, c in parts}
+
+
+def places_of(spark, keys):
+    """{digest: (check, three hashes)}"""
+    rows = spark.createDataFrame([(signed(k),) for k in keys], "k long").select("k", fingerprint.check(F.col("k")).alias("c"), *[F.xxhash64("k", F.lit(j)).alias(f"h{j}") for j in range(3)]).collect()
+    return {r["k"] & ((1 << 64) - 1): (r["c"], (r["h0"], r["h1"], r["h2"])) for r in rows}
+
+
+def plain_likeness(a, b, places):
+    """From two written sketches alone: (likeness, whether peeling ended)."""
+    (wa, ca), (wb, cb) = read(a), read(b)
+    ta, tb = (sum(c[0] for c in cells.values()) // 3 for cells in (ca, cb))
+    if ta + tb == 0:
+        return 1.0, True
+
+    def joint(width):
+        out = {}
+        for own, cells, sign in ((wa, ca, 1), (wb, cb, -1)):
+            for i, (n, k, c) in cells.items():
+                at = out.setdefault(i // own * width + i % width, [0, 0, 0])
+                at[0], at[1], at[2] = at[0] + sign * n, at[1] ^ k, at[2] ^ c
+        return {i: c for i, c in out.items() if any(c)}
+
+    width = min(wa, wb)
+    d = ta - tb
+    guess = (sum(n * n for n, _, _ in joint(width).values()) / 3 - d * d / width) / (1 - 1 / width)
+    guess = min(max(guess, abs(d)), ta + tb)
+    for w in sorted({fingerprint.LEAST, width}):
+        cells, found = joint(w), 0
+        for _ in range(fingerprint.ROUNDS if guess <= fingerprint.HOPELESS * w else 0):
+            pure = {k: n for n, k, c in cells.values() if abs(n) == 1 and k in places and places[k][0] == c}
+            found += len(pure)
+            for k, n in pure.items():
+                for j in range(3):
+                    at = cells.setdefault((places[k][1][j] & (w - 1)) + j * w, [0, 0, 0])
+                    at[0], at[1], at[2] = at[0] - n, at[1] ^ k, at[2] ^ places[k][0]
+            cells = {i: c for i, c in cells.items() if any(c)}
+            if not pure or not cells:
+                break
+        if not cells:
+            return 1 - found / (ta + tb), True
+    return 1 - guess / (ta + tb), False
+
+
+def test_likeness_follows_from_the_fingerprints(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))
+    texts = ["\n".join(line() for _ in range(rng.choice([0, 1, 3, 10, 17, 30, 60, 150, 600]))) for _ in range(120)]
+    texts = [t for text in texts for t in (text, text.replace(words[0], "new", 2))]
+    docs = documents(spark, texts)
+    got = sorted(fingerprint.fingerprints(docs).collect(), key=lambda r: r["doc_id"])
+    keys = {k & ((1 << 64) - 1) for r in docs.select(fingerprint.digests(F.col("text")).alias("k")).collect() for k in r["k"]}
+    all_edited = documents(spark, [edited(t, texts[(i + 1) % len(texts)]) for i, t in enumerate(texts)])
+    keys |= {k & ((1 << 64) - 1) for r in all_edited.select(fingerprint.digests(F.col("text")).alias("k")).collect() for k in r["k"]}
+    places, ended = places_of(spark, keys), []
+    sets = [{k for k in r["k"]} for r in docs.select(fingerprint.digests(F.col("text")).alias("k")).collect()]
+    for i, r in enumerate(got):
+        near, whole = plain_likeness(r["fingerprint"], r["edited_fingerprint"], places)
+        assert r["near_edited"] == pytest.approx(near)
+        ended.append(whole)
+        after, peeled = plain_likeness(r["fingerprint"], got[(i + 1) % len(got)]["fingerprint"], places)
+        assert r["near_next"] == pytest.approx(after)
+        exact = 1 - len(sets[i] ^ sets[(i + 1) % len(got)]) / max(1, len(sets[i]) + len(sets[(i + 1) % len(got)]))
+        assert not peeled or after == pytest.approx(exact)
+        assert abs(after - exact) < 0.35
+    assert np.mean(ended) >= 0.95
 
 
 def test_fingerprints_of_few_rows(spark):

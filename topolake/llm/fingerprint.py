@@ -2,22 +2,26 @@
 
 A text's paragraphs (lines, long ones cut at sentence ends) become 64-bit digests.  A sketch
 adds each digest to one cell of each of three tables: cells hold a count and XORs of digests and of
-check hashes.  Subtracting the sketches of two versions leaves what differs;
-peeling cells with one digest recovers it.  Where peeling stalls, larger sketches,
-split by digest so that work stays linear, are tried.  DataFrame functions only.
+check hashes.  The tables are as wide as the text asks for and fold to any smaller power of two, so
+sketches of two texts subtract at the width of the narrower one.  Subtracting leaves what differs; peeling
+cells with one digest recovers it, first in folded tables, on failure in larger ones.
+Where the largest stall, squared counts tell how much differs.  Likeness follows from the two
+fingerprints alone.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Cells in each of the three tables of a fingerprint.
-BASE = 5
-#: Digests in a part of a larger sketch, and cells of each table there, by retry.
-PART, RETRIES = 32, (16, 40)
-ROUNDS = 24
+#: Cells in each of the three tables, at least.
+LEAST = 16
+#: Of the paragraphs of a text, and on top of that, so many cells in each table: room for as many differing digests as two thirds of them.
+ROOM, MORE = 0.3, 4
+#: Peeling isn't tried where about so many differing digests stand against one cell of a table; it can't end beyond 2.5.
+HOPELESS = 3.6
+ROUNDS = 32
 PARAGRAPH = "[^\\n]{0,120}[^\\n.!?]*[.!?]*"
-CELL = "struct<n:int,k:bigint,c:bigint>"
+CELLS = "array<struct<i:int,n:int,k:bigint,c:bigint>>"
 
 
 def let(value: Column, use) -> Column:
@@ -27,69 +31,89 @@ def let(value: Column, use) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct digests of non-empty paragraphs, in order."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: p != ""), lambda p: F.xxhash64(p))))
+    return F.sort_array(F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: p != ""), lambda p: F.xxhash64(p))))
 
 
-def _place(key: Column, table: int, width: int, salt: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(3 * salt + table)), F.lit(width)).cast("int")
+def check(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(-1)).bitwiseAND(F.lit((1 << 32) - 1))
 
 
-def _placed(keys: Column, width: int, salt: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(-1)).alias("c"), *[_place(k, j, width, salt).alias(f"p{j}") for j in range(3)]))
+def cell(i: Column, n: Column, k: Column, c: Column) -> Column:
+    return F.struct(i.cast("int").alias("i"), n.cast("int").alias("n"), k.alias("k"), c.alias("c"))
 
 
-def sketch(keys: Column, width: int, salt: int = 0) -> Column:
-    """3 * width cells (n, k, c)."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    add = lambda a, r: F.struct((a.n + 1).alias("n"), a.k.bitwiseXOR(r.k).alias("k"), a.c.bitwiseXOR(r.c).alias("c"))
-    table = lambda placed, j: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(placed, lambda r: r[f"p{j}"] == i), zero, add))
-    return let(_placed(keys, width, salt), lambda placed: F.concat(*[table(placed, j) for j in range(3)]))
+def spots(keys: Column, width: Column) -> Column:
+    """Three cells for each of keys (n, k, c)."""
+    place = lambda k, j: F.xxhash64(k, F.lit(j)).bitwiseAND((width - 1).cast("long")) + j * width
+    return F.flatten(F.transform(keys, lambda x: F.array(*[cell(place(x.k, j), x.n, x.k, x.c) for j in range(3)])))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x.n - y.n).alias("n"), x.k.bitwiseXOR(y.k).alias("k"), x.c.bitwiseXOR(y.c).alias("c")))
+def summed(cells: Column) -> Column:
+    """Cells in order, those of one place added up and empty ones left out."""
+    add = lambda a, x: cell(x.i, a.n + x.n, a.k.bitwiseXOR(x.k), a.c.bitwiseXOR(x.c))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
 
+    def grouped(all_: Column) -> Column:
+        first = lambda x, j: F.when((j == 0) | (F.get(all_, j - 1).i != x.i), j)
+        ends = lambda starts, j: F.coalesce(F.get(starts, j + 1), F.size(all_))
+        of = lambda starts: F.transform(starts, lambda s, j: F.aggregate(F.slice(all_, s + 1, ends(starts, j) - s), zero, add))
+        return let(F.filter(F.transform(all_, first), lambda j: j.isNotNull()), of)
 
-def peel(cells: Column, width: int, salt: int = 0) -> Column:
-    """The number of digests recovered, or null where peeling stalls."""
-    pure = lambda cs: F.array_distinct(F.filter(cs, lambda x: (F.abs(x.n) == 1) & (x.c == F.xxhash64(x.k, F.lit(-1)))))
-    spots = lambda found: F.transform(found, lambda x: F.struct(x.n.alias("n"), x.k.alias("k"), x.c.alias("c"), *[(_place(x.k, j, width, salt) + j * width).alias(f"p{j}") for j in range(3)]))
-    here = lambda r, i: (r.p0 == i) | (r.p1 == i) | (r.p2 == i)
-    remove = lambda a, r: F.struct((a.n - r.n).alias("n"), a.k.bitwiseXOR(r.k).alias("k"), a.c.bitwiseXOR(r.c).alias("c"))
-    state = F.struct(cells.cast(f"array<{CELL}>").alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("over"))
-    peeled = lambda s, found: F.struct(
-        let(spots(found), lambda at: F.transform(s.cells, lambda x, i: F.aggregate(F.filter(at, lambda r: here(r, i)), x, remove))).cast(f"array<{CELL}>").alias("cells"),
-        (s.found + F.size(found)).alias("found"),
-        (F.size(found) == 0).alias("over"),
+    return F.filter(let(F.sort_array(cells), grouped), lambda x: (x.n != 0) | (x.k != 0) | (x.c != 0)).cast(CELLS)
+
+
+def sketch(keys: Column) -> Column:
+    """(width, total, cells) of distinct digests."""
+    wanted = F.greatest(F.lit(LEAST), F.ceil(F.size(keys) * F.lit(ROOM) + MORE))
+    width = F.pow(F.lit(2.0), F.ceil(F.log2(wanted.cast("double")))).cast("int")
+    ones = F.transform(keys, lambda k: F.struct(F.lit(1).alias("n"), k.alias("k"), check(k).alias("c")))
+    return let(width, lambda w: F.struct(w.alias("width"), F.size(keys).alias("total"), summed(spots(ones, w)).alias("cells")))
+
+
+def folded(cells: Column, old: Column, new: Column, sign: int = 1) -> Column:
+    return F.transform(cells, lambda x: cell(F.floor(x.i / old) * new + x.i.bitwiseAND(new - 1), x.n * sign, x.k, x.c))
+
+
+def peel(cells: Column, width: Column) -> Column:
+    """The number of digests in the difference ``cells``, or null where peeling stalls."""
+    pure = lambda cs: F.array_distinct(F.transform(F.filter(cs, lambda x: (F.abs(x.n) == 1) & (x.c == check(x.k))), lambda x: F.struct((-x.n).alias("n"), x.k.alias("k"), x.c.alias("c"))))
+    state = lambda cs, found, over: F.struct(cs.cast(CELLS).alias("cells"), found.alias("found"), over.alias("over"))
+    taken = lambda s, found: F.when(F.size(found) == 0, state(s.cells, s.found, F.lit(True))).otherwise(
+        let(summed(F.concat(s.cells, spots(found, width))), lambda left: state(left, s.found + F.size(found), F.size(left) == 0))
     )
-    step = lambda s, _: F.when(s["over"], s).otherwise(let(pure(s.cells), lambda found: F.when(F.size(found) == 0, F.struct(s.cells.alias("cells"), s.found.alias("found"), F.lit(True).alias("over"))).otherwise(peeled(s, found))))
-    clean = lambda s: ~F.exists(s.cells, lambda x: (x.n != 0) | (x.k != 0) | (x.c != 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, step, lambda s: F.when(clean(s), s.found))
+    step = lambda s, _: F.when(s["over"], s).otherwise(let(pure(s.cells), lambda found: taken(s, found)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, F.lit(0), F.size(cells) == 0), step, lambda s: F.when(F.size(s.cells) == 0, s.found))
+
+
+def estimate(cells: Column, width: Column, more: Column) -> Column:
+    """About how many digests differ, from the squared counts: the mean of a table's sum is their number and what its ``more`` digests on one side add."""
+    squares = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x.n * x.n)
+    return (squares / 3 - more * more / width) / (1 - 1 / width)
 
 
-def retried(a: Column, b: Column, width: int, salt: int) -> Column:
-    """Digests that differ by sketches in parts of about PART digests; null if one stalls."""
-    parts = F.ceil((F.size(a) + F.size(b) + 1) / PART).cast("int")
-    part = lambda keys, p: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(7)), parts) == p)
-    each = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: peel(subtract(sketch(part(a, p), width, salt), sketch(part(b, p), width, salt)), width, salt))
-    return F.aggregate(each, F.lit(0), lambda s, x: s + x)
+def likeness(a: Column, b: Column) -> Column:
+    """1 less the share of digests that only one of two sketches holds; two without any are alike."""
+    total, more = a.total + b.total, (a.total - b.total).cast("double")
 
+    def compared(x: Column) -> Column:
+        widths = F.array_distinct(F.array(F.lit(LEAST), x.width))
+        at = lambda w: F.when(w == x.width, x.cells).otherwise(summed(folded(x.cells, x.width, w)))
+        tried = lambda guess: F.aggregate(widths, F.lit(None).cast("int"), lambda found, w: F.coalesce(found, F.when(guess <= HOPELESS * w, peel(at(w), w))))
+        about = F.least(F.greatest(estimate(x.cells, x.width, more), F.abs(more)), total.cast("double"))
+        return let(about, lambda guess: F.coalesce(tried(guess), guess))
 
-def likeness(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
-    """1 less the share of digests that only one side has; two texts without any are alike."""
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))  # if every retry stalls
-    differ = F.coalesce(peel(subtract(base_a, base_b), BASE), *[retried(a, b, w, 1 + i) for i, w in enumerate(RETRIES)], exact)
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).when((total > 0) & (base_a == base_b) & (a == b), F.lit(1.0)).otherwise(1 - differ / total)
+    joint = let(F.least(a.width, b.width), lambda w: F.struct(w.alias("width"), summed(F.concat(folded(a.cells, a.width, w), folded(b.cells, b.width, w, -1))).alias("cells")))
+    return F.when(total == 0, F.lit(1.0)).otherwise(1 - let(joint, compared) / total)
 
 
-def written(cells: Column) -> Column:
-    """count.digest.check of each cell in hexadecimal, empty cells as nothing."""
-    return F.array_join(F.transform(cells, lambda x: F.when((x.n == 0) & (x.k == 0), "").otherwise(F.concat_ws(".", x.n.cast("string"), F.lower(F.hex(x.k)), F.lower(F.hex(x.c))))), ";")
+def written(sketch: Column) -> Column:
+    """The width, then place.count.digest.check of each cell that isn't empty, in hexadecimal but for the counts."""
+    hexed = lambda x: F.lower(F.hex(x))
+    return F.concat(hexed(sketch.width), F.lit("|"), F.array_join(F.transform(sketch.cells, lambda x: F.concat_ws(".", hexed(x.i), x.n.cast("string"), hexed(x.k), hexed(x.c))), ";"))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, next_text, keys, next_keys): each text with that of the next key, the last one's with the first's.
+    """(key, text, next_text, sketch, next_sketch): each text with that of the next key, the last one's with the first's.
 
     Keys are dealt into ranges between quantiles that are keys themselves, so the first row of a
     range is known beforehand and also goes, as a guest, to the end of the range before.  One
@@ -113,10 +137,11 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     spots = F.array(spot(F.col("bucket"), 0, False), F.when(first, spot(F.col("bucket") - 1, 1, True)), F.when(F.col("key") == bounds[0], spot(F.lit(len(bounds) - 1), 2, True)))
     dealt = rows.withColumn("outer", outer).withColumn("inner", inner).withColumn("bucket", bucket).select("key", "text", F.explode(F.filter(spots, lambda s: s.isNotNull())).alias("spot")).select("key", "text", "spot.*")
     order = Window.partitionBy("bucket").orderBy(F.col("key").isNull(), "turn", "key", "text")
-    held = dealt.repartition(partitions, "bucket").withColumn("keys", digests(F.col("text")))
-    led = held.select("key", "text", "keys", "guest", F.lead("text").over(order).alias("after"), F.lead("keys").over(order).alias("after_keys"))
+    held = dealt.repartition(partitions, "bucket").withColumn("sketch", let(digests(F.col("text")), sketch))
+    led = held.select("key", "text", "sketch", "guest", F.lead("text").over(order).alias("after"), F.lead("sketch").over(order).alias("after_sketch"))
     placed = F.col("key").isNotNull()
-    return led.filter(~F.col("guest")).select(F.col("key"), "text", "keys", F.when(placed, F.col("after")).otherwise("").alias("next_text"), F.when(placed, F.col("after_keys")).otherwise(F.array().cast("array<bigint>")).alias("next_keys"))
+    none = F.struct(F.lit(LEAST).alias("width"), F.lit(0).alias("total"), F.array().cast(CELLS).alias("cells"))
+    return led.filter(~F.col("guest")).select("key", "text", "sketch", F.when(placed, F.col("after")).otherwise("").alias("next_text"), F.when(placed, F.col("after_sketch")).otherwise(none).alias("next_sketch"))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,14 +153,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     rows = with_next(docs, key, text).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), cut)))
-    rows = rows.select("key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys", digests(F.col("edited")).alias("edited_keys"))
-    rows = rows.withColumns({"base": sketch(F.col("keys"), BASE), "edited_base": sketch(F.col("edited_keys"), BASE), "next_base": sketch(F.col("next_keys"), BASE)})
+    rows = rows.select("key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", let(digests(F.col("edited")), sketch).alias("edited_sketch"))
+    others = F.array(F.struct(F.col("sketch").alias("a"), F.col("edited_sketch").alias("b")), F.struct(F.col("sketch").alias("a"), F.col("next_sketch").alias("b")))
+    rows = rows.withColumn("near", F.transform(others, lambda p: likeness(p.a, p.b)))
     return rows.select(
         F.col("key").alias(key),
         "n_chars",
         "edited_sha256",
-        written(F.col("base")).alias("fingerprint"),
-        written(F.col("edited_base")).alias("edited_fingerprint"),
-        likeness(F.col("keys"), F.col("edited_keys"), F.col("base"), F.col("edited_base")).alias("near_edited"),
-        likeness(F.col("keys"), F.col("next_keys"), F.col("base"), F.col("next_base")).alias("near_next"),
+        written(F.col("sketch")).alias("fingerprint"),
+        written(F.col("edited_sketch")).alias("edited_fingerprint"),
+        F.col("near")[0].alias("near_edited"),
+        F.col("near")[1].alias("near_next"),
     )

@@ -146,7 +146,7 @@ def of_kind(spans: Column, kind: str) -> Column:
 def in_order(spans: Column) -> Column:
     """By start, then kind as listed, then end."""
     place = lambda s: F.when(s.kind == "assign", 0).when(s.kind == "access", 1).when(s.kind == "hex", 2).otherwise(3)
-    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), place(s).alias("place"), s.end.alias("end"), s.kind.alias("kind"))))
+    keyed = F.sort_array(F.transform(spans, lambda s: F.struct(s.start.alias("start"), place(s).alias("place"), s.end.alias("end"), s.kind.alias("kind"))))
     return F.transform(keyed, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
 
 
