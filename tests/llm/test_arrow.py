@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -60,6 +61,17 @@ def test_automaton_with_few_pieces():
     assert token_count.Automaton(pieces).counts(words).tolist() == [greedy(w) for w in words]
 
 
+def test_long_words_in_a_loop():
+    rng = random.Random(2)
+    pieces = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))).encode() for _ in range(80)]
+    automaton = token_count.Automaton(pieces)
+    words = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (0, 1, 7, 900, 5000)]
+    assert automaton.counts(words).tolist() == [automaton.count(w) for w in words]
+    began = time.perf_counter()
+    automaton.count(b"abcab" * 200_000)
+    assert time.perf_counter() - began < 5
+
+
 # --- 4 and 5 ------------------------------------------------------------------
 
 

@@ -31,11 +31,8 @@ MISS = 1e-5
 DOUBT = 5.0
 #: Rounds in which nodes meet a leader of the commonest component in their buckets, before all pairs of components do.
 MORE_LEADERS = 2
-#: Bytes hashed at once, and shingles in one side of a comparison unit.
-CHUNK, UNIT = 1 << 20, 50_000
-#: Ids of documents to be read again are broadcast up to this many; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-
+#: Bytes hashed at once, shingles in one side of a comparison unit, and what a document weighs there beyond its shingles.
+CHUNK, UNIT, ROW = 1 << 20, 50_000, 200
 _random = np.random.default_rng(20_240_607)
 BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 BYTE[ord("A") : ord("Z") + 1] = BYTE[ord("a") : ord("z") + 1]
@@ -276,16 +273,12 @@ def judged(docs: DataFrame, width: int, percent: int, key: str, text: str, ws: W
     keyed = classes.select("node", F.explode(slices).alias("bucket"))  # the band is in the lowest bits
     members = ws.keep(shared_buckets(keyed), "members")
 
-    wanted = members.select("node").distinct().join(classes.select("node", "key"), "node")
-    wanted = ws.keep(wanted, "wanted")
-    ids = wanted.select("key").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = sketch(rows.join(ids, "key", "left_semi"), width, used, True).select("node", "n", "regs", "shingles").dropDuplicates(["node"])
+    wanted = ws.keep(members.select("node").distinct().join(classes.select("node", "key"), "node").select("key").distinct(), "wanted")
+    sets = sketch(rows.join(wanted, "key", "left_semi"), width, used, True).select("node", "n", "regs", "shingles").dropDuplicates(["node"])
     sets = ws.keep(sets, "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        stars = star_units(pairs, sets.select("node", F.col("n").alias("weight")), UNIT)
+        stars = star_units(pairs, sets.select("node", (F.col("n") + ROW).alias("weight")), UNIT)
         return ws.keep(star_links(stars.join(sets.select("node", "shingles"), "node"), percent), "links")
 
     links = compared(best_leaders(members))

@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import json
 import random
+from array import array
 from collections import deque
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 OUT = "key long, n_words long, n_tokens long, n_bytes long"
-#: Words whose counts a worker remembers.
-CACHE = 500_000
+#: Words whose counts a worker remembers, and bytes from which a word is counted by itself and forgotten.
+CACHE, LONG = 500_000, 2_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -96,6 +97,23 @@ class Automaton:
                     owner[at + c], target[at + c] = v, child
         return base, owner, target
 
+    def count(self, word: bytes) -> int:
+        """Pieces of one word, in a plain loop: for long ones, where few others would advance with it."""
+        base, owner, target, fail, pops = self.plain
+        at = total = 0
+        for c in word:
+            place = base[at] + c
+            while owner[place] != at:
+                total += pops[at]
+                at = fail[at]
+                place = base[at] + c
+            at = target[place]
+        return total + int(self.rest[at])
+
+    @cached_property
+    def plain(self) -> list[array]:
+        return [array("i", x.tobytes()) for x in (self.base, self.owner, self.target, self.fail, self.pops)]
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Pieces of each word, all words a byte at a time."""
         lengths = np.array([len(w) for w in words])
@@ -140,12 +158,15 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             for at in range(0, batch.num_rows, 256):
                 texts = [(t.as_py() or "").encode() for t in batch.column(1)[at : at + 256]]
                 split = [t.split() for t in texts]
+                long = [[w for w in words if len(w) >= LONG] for words in split]
+                short = [[w for w in words if len(w) < LONG] if some else words for words, some in zip(split, long, strict=True)]
                 if len(counts) > CACHE:
                     counts = {}
-                new = list(set().union(*split) - counts.keys())
+                new = list(set().union(*short) - counts.keys())
                 if new:
                     counts.update(zip(new, automaton(path).counts([b" " + w for w in new]).tolist(), strict=True))
-                found += [(len(words), sum(map(counts.__getitem__, words)), len(t)) for words, t in zip(split, texts, strict=True)]
+                extra = [sum(automaton(path).count(b" " + w) for w in words) for words in long]
+                found += [(len(words), sum(map(counts.__getitem__, few)) + more, len(t)) for words, few, more, t in zip(split, short, extra, texts, strict=True)]
             words, tokens, sizes = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (words, tokens, sizes)]], ["key", "n_words", "n_tokens", "n_bytes"])
 
