@@ -12,19 +12,12 @@ from topolake.plans import q_relations
 from topolake.plans.catalog import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-CHOSEN = [
-    "q_topology", "q_priority_dedup", "q_resolve_targets", "q_wrapper_suppress", "q_service_merge", "q_scope_nearest", "q_payload_nest", "q_env_layers", "q_infer_root", "q_override_rename",
-    "q_docstring_fold", "q_env_default_window", "q_rule_apply", "q_wrapper_fixpoint", "q_wrapper_calls", "q_libres_dedup", "q_openapi_schemas", "q_compose", "q_k8s", "q_spring", "q_proto", "q_graphql",
-    "q_express", "q_fastapi", "q_springmvc", "q_rails_resources", "q_deps_go", "q_centroid", "q_parse_url", "q_setting_targets",
-]
-
-
 def plain(value):
     return ("nan" if math.isnan(value) else repr(round(value, 9))) if isinstance(value, float) else repr(value)
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(ORACLES)))
 def test_query(spark, name):
     con = duckdb.connect()
     for file in os.listdir(DIR):

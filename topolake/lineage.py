@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the folder of ``spark.checkpoint.dir``; only where that is unset, from a temporary one.
+    """df computed once and read back from the folder of ``spark.checkpoint.dir``; where that is unset, from a temporary one of a local master.
 
     What follows plans from the stored rows, so several uses cost neither its computation nor its plan again,
     and a lost executor doesn't either.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='topolake-')}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='topolake-')}")
     return df.checkpoint()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -20,33 +21,41 @@ NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function"}
 
 
 def _indented(lines: list[str]) -> list[tuple[str, str]]:
-    found = []
-    for i, line in enumerate(lines):
+    """Bodies by indentation, in one pass: a line that isn't blank closes the open functions that are indented as far as it or farther."""
+    found, open_ = [], []
+    for i, line in enumerate([*lines, ""]):
+        if i < len(lines) and not line.strip():
+            continue
+        indent = len(line) - len(line.lstrip())
+        while open_ and (indent <= open_[-1][0] or i == len(lines)):
+            _, name, start = open_.pop()
+            found.append((start, name, i))
         head = re.match(r"(\s*)(?:async\s+)?def\s+([A-Za-z0-9_]+)", line)
         if head:
-            end = i + 1
-            while end < len(lines) and (not lines[end].strip() or len(lines[end]) - len(lines[end].lstrip()) > len(head[1])):
-                end += 1
-            found.append((head[2], "\n".join(lines[i:end])))
-    return found
+            open_.append((indent, head[2], i))
+    return [(name, "\n".join(lines[start:end])) for start, name, end in sorted(found)]
 
 
 def _braced(lines: list[str], head: str) -> list[tuple[str, str]]:
-    """Bodies by counting braces; one that never closes is none."""
-    found = []
+    """Bodies by counting braces, in one pass; one that never closes is none.
+
+    A function is over at the first line from its head on that has seen a brace since and after which no more are open than before the head.
+    """
+    found, open_, waiting, depth = [], [], [], 0  # waiting: heads that no brace has followed yet
     for i, line in enumerate(lines):
         at = re.search(head, line)
         name = at and next(g for g in at.groups() if g)
-        if not at or name in NOT_NAMES:
-            continue
-        depth, opened = 0, False
-        for end in range(i, len(lines)):
-            depth += lines[end].count("{") - lines[end].count("}")
-            opened = opened or "{" in lines[end]
-            if opened and depth <= 0:
-                found.append((name, "\n".join(lines[i : end + 1])))
-                break
-    return found
+        if at and name not in NOT_NAMES:
+            waiting.append((-depth, i, name))
+        depth += line.count("{") - line.count("}")
+        if "{" in line:
+            for f in waiting:
+                heappush(open_, f)
+            waiting = []
+        while open_ and depth <= -open_[0][0]:  # the deepest first
+            _, start, name = heappop(open_)
+            found.append((start, name, i + 1))
+    return [(name, "\n".join(lines[start:end])) for start, name, end in sorted(found)]
 
 
 FUNCTION = T.StructType([T.StructField("name", T.StringType()), T.StructField("body", T.StringType())])

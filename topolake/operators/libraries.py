@@ -8,6 +8,10 @@ from topolake.functions import strings as S
 from topolake.operators.lines import lines_of
 
 
+#: Libraries with protocols that are broadcast, at most; more are joined by shuffle.
+MOST_LIBRARIES = 20_000
+
+
 def resolve(deps: DataFrame, scanned: DataFrame, locked: DataFrame) -> DataFrame:
     """(language, dep, protocols): what the library's sources show, else what its locked dependencies suggest.
 
@@ -22,9 +26,16 @@ def resolve(deps: DataFrame, scanned: DataFrame, locked: DataFrame) -> DataFrame
 
 
 def import_connections(files: DataFrame, libraries: DataFrame) -> DataFrame:
-    """One connection a library, protocol and service: the first file in order that imports it, its first such line."""
+    """One connection a library, protocol and service: the first file in order that imports it, its first such line.
+
+    A line meets the libraries of its language as one array, so no language gathers its lines in one task.
+    """
     lines = lines_of(files.filter("language is not null")).select("rel_path", "file_ord", "language", "service", "line_no", "line").filter(F.col("line").rlike("import |from |require|use |extern crate |^\\s*\""))
-    hits = lines.join(libraries, "language").filter(S.imports(F.col("line"), F.col("dep"))).select("*", F.explode("protocols").alias("protocol"))
+    known = libraries.groupBy("language").agg(F.collect_list(F.struct("dep", "protocols")).alias("known"))
+    if libraries.limit(MOST_LIBRARIES + 1).count() <= MOST_LIBRARIES:
+        known = F.broadcast(known)
+    met = lines.join(known, "language").withColumn("lib", F.explode(F.filter("known", lambda k: S.imports(F.col("line"), k.dep)))).drop("known")
+    hits = met.select("*", "lib.dep", F.explode("lib.protocols").alias("protocol"))
     best = hits.groupBy("dep", "protocol", F.coalesce("service", F.lit("")).alias("source_service")).agg(F.min(F.struct("file_ord", "line_no", "rel_path", "line")).alias("m"))
     return best.select(
         "source_service", F.lit("").alias("target_name"), "protocol", F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("path"),

@@ -13,6 +13,25 @@ COMMENT = "^(//|#|/\\*|\\*|r#\"|r\")"
 COMMENT_ONLY = "^(//|#|/\\*|\\*)"
 
 
+#: A string in double or single quotes on one line, or in backticks, and what to blank: comments of C's kind and scripts', and texts in triple quotes.
+_DOUBLE, _SINGLE, _TICKS = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'", r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+_BLOCK, _LINE, _HASH, _TRIPLE = r"/\*[\s\S]*?\*/", r"//[^\n]*+", r"#[^\n]*+", r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\''
+_CODE = {
+    r"\.py$": f"{_TRIPLE}|({_DOUBLE}|{_SINGLE})|{_HASH}",
+    r"\.rb$": f"({_DOUBLE}|{_SINGLE})|{_HASH}",
+    r"\.rs$": rf"({_DOUBLE}|'(?:\\.|[^'\\\n])')|{_BLOCK}|{_LINE}",
+    r"\.(ts|tsx|js|jsx|go|java|cs)$": f"({_DOUBLE}|{_SINGLE}|{_TICKS})|{_BLOCK}|{_LINE}",
+}
+
+
+def without_comments(content: Column, path: Column) -> Column:
+    """A source text without its comments and, in Python, texts in triple quotes; strings stay as they are.  Other files stay whole."""
+    out = content
+    for names, pattern in _CODE.items():
+        out = F.when(path.rlike(names), F.regexp_replace(content, pattern, "$1")).otherwise(out)
+    return out
+
+
 def split_lines(content: Column) -> Column:
     """Lines without their ends; a final line end opens no line, and an empty text has none."""
     return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(content, r"\r?\n\z", ""), "\r?\n"))

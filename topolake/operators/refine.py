@@ -6,11 +6,15 @@ from a function that the caller gives; without either, findings pass unchanged.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from topolake.functions.strings import cosine
+from topolake.lineage import cut
+
+log = logging.getLogger("topolake")
 
 HIGH, MEDIUM = 0.68, 0.42
 
@@ -50,8 +54,16 @@ def refine(connections: DataFrame, service: list[float], noise: list[float], vec
 
 
 def refine_with(connections: DataFrame, embed: Callable[[DataFrame, str], DataFrame] | None, service: list[float], noise: list[float]) -> DataFrame:
-    """embed(df, text column) adds an ``embedding`` column; None or a failure leaves connections as they are."""
+    """embed(df, text column) adds an ``embedding`` column; None or a failure, then or in a task, leaves connections as they are.
+
+    Vectors are computed and stored here, so that a failure shows while there is another way.
+    """
     if embed is None:
         return connections
     texts = connections.withColumn("_text", evidence_text(F.col("protocol"), F.col("dependency"), F.col("evidence")))
-    return refine(embed(texts, "_text"), service, noise).drop("_text", "embedding")
+    try:
+        embedded = cut(embed(texts, "_text"))
+    except Exception as error:  # whatever the caller's function raises
+        log.warning("no refinement: %s", str(error).splitlines()[0] if str(error) else type(error).__name__)
+        return connections
+    return refine(embedded, service, noise).drop("_text", "embedding")

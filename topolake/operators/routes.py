@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from topolake.functions import strings as S
-from topolake.operators.lines import lines_of
+from topolake.operators.lines import lines_of, without_comments
 
 Q = "[\"'`]"
 #: Verbs of each framework.
@@ -131,12 +131,13 @@ def resource_routes(files: DataFrame, service: Column) -> DataFrame:
 
 
 def routes(files: DataFrame) -> DataFrame:
-    """Endpoints of files (rel_path, service, content) in every framework whose gate is open."""
+    """Endpoints of files (rel_path, service, content) in every framework whose gate is open; comments aren't read."""
     service = F.col("service")
+    opened = gates(files).withColumn("open", F.lit(True))
+    files = files.withColumn("content", without_comments(F.col("content"), F.col("rel_path")))
     found = next_routes(files, service).withColumn("gated", F.lit(False)).unionByName(resource_routes(files, service).withColumn("gated", F.lit(True)))
     for f in FRAMEWORKS:
         found = found.unionByName(_routes(files, f, service).withColumn("gated", F.lit(True)))
-    opened = gates(files).withColumn("open", F.lit(True))
     twice = opened.filter("framework = 'sinatra'").select(F.lit("rails").alias("framework"), F.lit("ast_rails_route").alias("extraction_method"))
     found = found.join(F.broadcast(twice), ["framework", "extraction_method"], "left_anti")  # Sinatra reads every file
     return found.join(F.broadcast(opened), "framework", "left").filter("open or not gated").drop("open", "gated", "framework")  # a row a framework at most

@@ -16,6 +16,8 @@ RULE = (
     "id string, languages array<string>, file_patterns array<string>, import_gate array<string>, "
     "detections array<struct<match:string,protocol:string,confidence:string,target_extraction:string>>, ord int"
 )
+#: Rules that are broadcast, at most; more are joined by shuffle.
+MOST_RULES = 20_000
 #: Lines looked back for a default, and ahead for a string.
 BACK, AHEAD = 20, 5
 
@@ -81,15 +83,24 @@ def target(strategy: Column, line: Column, env_default: Column) -> Column:
     return F.when(strategy == "first_string_arg", S.first_string(line)).when(strategy.startswith("named_arg:"), named).when(strategy == "url_hostname", S.string_hostname(line)).when(strategy == "env_default", env_default)
 
 
+def by_language(rules: DataFrame, columns: list[str]) -> DataFrame:
+    """(language, rules): the rules of each language as one array, broadcast where they are at most MOST_RULES; ``languages`` is exploded."""
+    keyed = rules.withColumn("language", F.explode("languages")).groupBy("language").agg(F.collect_list(F.struct(*columns)).alias("rules"))
+    return F.broadcast(keyed) if rules.limit(MOST_RULES + 1).count() <= MOST_RULES else keyed
+
+
 def gated(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rel_path, rule columns) of files (rel_path, language, content) and rules whose language, globs and import gate agree."""
-    globs = lambda g: F.rlike("rel_path", g)
-    compiled = rules.withColumn("_globs", F.transform(F.coalesce("file_patterns", F.array().cast("array<string>")), glob_pattern))
-    keyed = compiled.select("*", F.explode("languages").alias("language")).drop("languages")
-    met = files.join(keyed, "language")
-    passes = (F.size("_globs") == 0) | F.exists("_globs", globs)
-    gate = F.coalesce(F.size("import_gate"), F.lit(0)) <= 0
-    return met.filter(passes & (gate | F.exists("import_gate", lambda g: F.contains(F.col("content"), g)))).drop("_globs", "content")
+    """(rel_path, rule columns) of files (rel_path, language, content) and rules whose language, globs and import gate agree.
+
+    A file meets all rules of its language in one row; only those that pass become rows, without the text.
+    """
+    own = [c for c in rules.columns if c != "languages"]
+    compiled = rules.withColumn("globs", F.transform(F.coalesce("file_patterns", F.array().cast("array<string>")), glob_pattern))
+    passes = lambda r: (F.size(r.globs) == 0) | F.exists(r.globs, lambda g: F.rlike("rel_path", g))
+    gate = lambda r: (F.coalesce(F.size(r.import_gate), F.lit(0)) <= 0) | F.exists(r.import_gate, lambda g: F.contains(F.col("content"), g))
+    met = files.join(by_language(compiled, [*own, "globs"]), "language")
+    kept = [c for c in files.columns if c != "content"]
+    return met.select(*kept, F.explode(F.filter("rules", lambda r: passes(r) & gate(r))).alias("rule")).select(*kept, *[F.col(f"rule.{c}") for c in own])
 
 
 def glob_pattern(glob: Column) -> Column:

@@ -19,6 +19,8 @@ GENERAL = (
     "configure", "register", "exists", "resolve", "get", "set", "keys", "values", "items", "load", "save", "push", "pop",
 )
 LONGEST_BODY, DEPTH = 200, 2
+#: Gates that are broadcast, at most; more are joined by shuffle.
+MOST_GATES = 20_000
 SITE = r"([^\s()]+)\("
 
 
@@ -30,8 +32,11 @@ def seeds(rules: DataFrame, files: DataFrame) -> DataFrame:
     placed = own.join(languages, "language", "left_semi").unionByName(of_all.join(languages, F.lit(True)).select(own.columns))  # a few languages
     ungated = F.coalesce(F.size("import_gate"), F.lit(0)) <= 0
     gates = placed.filter(~ungated).select("language", "id", F.explode("import_gate").alias("gate"))
-    texts = files.select("language", "content")
-    opened = gates.select("language", "gate").distinct().join(texts, (texts["language"] == gates["language"]) & F.contains(F.col("content"), F.col("gate")), "left_semi").join(gates, ["language", "gate"]).select("language", "id").distinct()
+    asked = gates.groupBy("language").agg(F.collect_set("gate").alias("gates"))
+    if gates.limit(MOST_GATES + 1).count() <= MOST_GATES:
+        asked = F.broadcast(asked)
+    shown = files.join(asked, "language").select("language", F.explode(F.filter("gates", lambda g: F.contains(F.col("content"), g))).alias("gate")).distinct()
+    opened = shown.join(gates, ["language", "gate"]).select("language", "id").distinct()
     passed = placed.filter(ungated).unionByName(placed.filter(~ungated).join(opened, ["language", "id"], "left_semi").select(placed.columns))
     named = passed.select("language", "id", "ord", F.posexplode("detections").alias("d_ord", "d")).withColumn("name", F.regexp_replace("d.match", r"\(+$", ""))
     fit = named.filter((F.octet_length("name") >= 4) & ~F.col("name").startswith("."))
