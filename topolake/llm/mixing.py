@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+#: A table of sources of at most this many rows is broadcast, so that no source gathers its rows in one task; a larger one is joined by shuffle.
+BROADCAST_SOURCES = 100_000
 #: exp(-rate) is a normal double up to here: greater rates are the sum of several draws of equal means.
 MAX_RATE = 708.0
 #: Equal rows are numbered so many at a time.
@@ -90,6 +92,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     own = [f"c{i}" for i in range(len(docs.columns))]
     key, of = (own[docs.columns.index(c)] for c in (key, source))
     rates = mixing_rates(docs, weights, total, source).select(F.col("source").alias("name"), "levels", "draws")
+    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     rows = numbered(docs.toDF(*own))
     identity = [F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("mark"), F.col("twin").cast("string")]
     reached = lambda u: F.size(F.filter("levels", lambda c: c <= u)).cast("long")
