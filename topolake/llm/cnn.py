@@ -69,17 +69,19 @@ class Adam:
             p -= (self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)).astype(p.dtype)
 
 
-def labelled_sample(rows: DataFrame, most: int, piece: int, seed: int) -> list[tuple[str, object]]:
-    """(text, label) of the ``most`` pieces of least hash, of rows (key, text, label) cut into pieces of at most ``piece`` characters.
+def labelled_sample(rows: DataFrame, labels: DataFrame | None, most: int, piece: int, seed: int) -> list[tuple[str, object]]:
+    """(text, label) of the ``most`` pieces of least hash, of rows (key, text) with labels (key, label), or rows (key, text, label), cut into pieces of at most ``piece`` characters.
 
     Texts of every length take part, long ones with more pieces; most * piece bounds what comes to the driver.
-    The hashes are chosen first, so that no other text moves.
+    The hashes are chosen first, without the texts, and then only the chosen texts meet their labels.
     """
     numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / piece).cast("int")))
-    cut = rows.filter("label is not null").select("key", F.coalesce("text", F.lit("")).alias("text"), "label").withColumn("n", F.explode(numbers))
-    hashed = cut.select(F.xxhash64(F.lit(seed), "key", "text", "n").alias("h"), "text", "label", "n")
-    last = hashed.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    cut = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n", F.explode(numbers))
+    hashed = cut.withColumn("h", F.xxhash64(F.lit(seed), "key", "text", "n"))
+    named = lambda part: (part if labels is None else part.join(labels, "key")).filter("label is not null")
+    last = named(hashed.drop("text", "n")).select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if last is None:
         return []
-    found = hashed.filter(F.col("h") <= last).select("h", F.substring(F.col("text"), F.col("n") * piece + 1, F.lit(piece)).alias("text"), "label").limit(most).collect()
+    chosen = hashed.filter(F.col("h") <= last).withColumn("text", F.substring(F.col("text"), F.col("n") * piece + 1, F.lit(piece)))
+    found = named(chosen).select("h", "text", "label").limit(most).collect()
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["h"], r["text"], str(r["label"])))]

@@ -109,7 +109,7 @@ def held_out(key: str):
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """Learns from rows with a language outside the held-out fifth (crc32 of the key modulo 5 is 0).  None without any."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("label"))
-    sample = [(t, y) for t, y in labelled_sample(rows.filter(F.col("key").isNotNull() & ~held_out("key")), SAMPLE, PIECE, SEED) if t]
+    sample = [(t, y) for t, y in labelled_sample(rows.filter(F.col("key").isNotNull() & ~held_out("key")), None, SAMPLE, PIECE, SEED) if t]
     return LanguageModel(sorted({y for _, y in sample})).fit(sample) if sample else None
 
 

@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Learns from labelled rows outside the held-out third (crc32 of the key modulo 3 is 1).  None without labels."""
     marks = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out("key"))
     sized = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    sample = labelled_sample(sized.join(marks, "key"), SAMPLE, PIECE, SEED)
+    sample = labelled_sample(sized, marks, SAMPLE, PIECE, SEED)
     return QualityModel().fit(sample) if sample else None
 
 
