@@ -47,7 +47,7 @@ DERIVED = {
                CASE user_id % 6 WHEN 0 THEN 'postgres://u:p@db' || CAST(user_id % 9 AS STRING) || ':5432/app' WHEN 1 THEN 'http://{{host}}/v1' WHEN 2 THEN 'redis.internal.example'
                     WHEN 3 THEN 'k1:9092, k2:9092' WHEN 4 THEN 'jdbc:mysql://my' || CAST(user_id % 9 AS STRING) || ':3306/x' ELSE 'HTTPS://API.Example.COM:8443/x?y#z' END AS value FROM {events}""",
     "code": """
-        SELECT CAST(o_orderkey AS BIGINT) AS line_id, CAST(o_custkey % 40 AS BIGINT) AS file_id, CASE o_orderkey % 12
+        SELECT CAST(o_orderkey AS BIGINT) AS line_id, CAST(o_orderkey - o_orderkey % 400 AS BIGINT) AS file_id, CASE o_orderkey % 12
             WHEN 0 THEN '  db = connect("postgres://user:pw@db' || CAST(o_custkey % 7 AS STRING) || '.internal:5432/app", timeout=5)'
             WHEN 1 THEN 'const u = process.env.API_URL ?? "http://api' || CAST(o_custkey % 7 AS STRING) || '.local:8080/v1";'
             WHEN 2 THEN 'let v = env::var("PORT").unwrap_or("svc' || CAST(o_custkey % 7 AS STRING) || '");'

@@ -78,21 +78,27 @@ def q_env_hint_ahead(spark, sf_dir):
 
 
 def code_files(spark, sf_dir):
-    """The derived code as files: every file's lines in order."""
-    code = derive(spark, sf_dir, "code").filter("line not like '%\"\"\"%'")
-    grouped = code.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "line"))), lambda x: x.line), "\n").alias("content"))
+    """The derived code as files: every file's lines in order; there are more files, not longer ones, in a larger table."""
+    grouped = derive(spark, sf_dir, "code").groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "line"))), lambda x: x.line), "\n").alias("content"))
     return grouped.select(F.concat(F.lit("src/f"), F.col("file_id").cast("string"), F.lit(".py")).alias("rel_path"), F.lit("python").alias("language"), F.lit("svc").alias("service"), F.col("file_id").alias("file_ord"), "content")
 
 
-@query("q_rule_apply", f"""{ctes('code')}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_id) AS line_no FROM code WHERE NOT contains(line, '\"\"\"')),
+#: Lines with their numbers and the state of docstrings by the fold (``in_doc``) and by parity (``in_par``).
+_NUMBERED = f"""{ctes('code')}, m AS (SELECT *, (len(line) - len(replace(line, '\"\"\"', ''))) / 3 AS m FROM code),
+  n AS (SELECT *, row_number() OVER w AS line_no, (sum(CASE WHEN m = 1 THEN 1 ELSE 0 END) OVER w) % 2 = 1 OR m > 0 AS in_doc, CAST(sum(m) OVER w AS BIGINT) % 2 = 1 OR m > 0 AS in_par
+    FROM m WINDOW w AS (PARTITION BY file_id ORDER BY line_id))"""
+
+
+@query("q_rule_apply", f"""{_NUMBERED},
   hits AS (
     SELECT n.*, 'py-http' AS id, 'rest' AS protocol, CASE WHEN contains({first_sql('line')}, '://') THEN regexp_extract({first_sql('line')}, '://([^/]*)', 1) END AS t, 'high' AS c FROM n WHERE contains(line, 'requests.get(')
     UNION ALL SELECT n.*, 'py-db', 'postgresql', {first_sql('line')}, 'high' FROM n WHERE contains(line, 'connect(')
-    UNION ALL SELECT n.*, 'py-call', 'rpc', {first_sql("substr(line, strpos(line, 'target=') + 7)")}, 'low' FROM n WHERE contains(line, 'client.call('))
+    UNION ALL SELECT n.*, 'py-call', 'rpc', {first_sql("substr(line, strpos(line, 'target=') + 7)")}, 'low' FROM n WHERE contains(line, 'client.call(')
+    UNION ALL SELECT n.*, 'py-env', 'env', 'env:' || {first_sql('line')}, 'high' FROM n WHERE contains(line, 'unwrap_or('))
   SELECT 'src/f' || file_id || '.py:' || line_no AS source_file, protocol, coalesce(t, '') AS target_name, CASE WHEN coalesce(t, '') = '' THEN 'medium' ELSE c END AS confidence, 'pattern:' || id AS extraction_method, trim(line) AS evidence
-  FROM hits WHERE NOT regexp_matches(trim(line), '^(//|#)')""")
+  FROM hits WHERE NOT in_doc AND NOT regexp_matches(trim(line), '^(//|#)')""")
 def q_rule_apply(spark, sf_dir):
-    found = rule_ops.apply_rules(code_files(spark, sf_dir), rules(spark)).filter("dependency != 'py-env'")
+    found = rule_ops.apply_rules(code_files(spark, sf_dir), rules(spark))
     return found.select("source_file", "protocol", "target_name", "confidence", "extraction_method", "evidence")
 
 
@@ -107,7 +113,7 @@ def q_rule_disable(spark, sf_dir):
     return rule_ops.disable_rules(rules(spark), ["py-db", "py-gated"]).select("id")
 
 
-@query("q_import_gate", f"{ctes('code')} SELECT DISTINCT 'src/f' || file_id || '.py' AS rel_path, 'py-http' AS id FROM code WHERE contains(line, 'requests') UNION ALL SELECT DISTINCT 'src/f' || file_id || '.py', r FROM code, (VALUES ('py-db'), ('py-call'), ('py-env')) t(r) WHERE NOT contains(line, '\"\"\"')")
+@query("q_import_gate", f"{ctes('code')} SELECT DISTINCT 'src/f' || file_id || '.py' AS rel_path, 'py-http' AS id FROM code WHERE contains(line, 'requests') UNION ALL SELECT DISTINCT 'src/f' || file_id || '.py', r FROM code, (VALUES ('py-db'), ('py-call'), ('py-env')) t(r)")
 def q_import_gate(spark, sf_dir):
     return rule_ops.gated(code_files(spark, sf_dir).select("rel_path", "language", "content"), rules(spark)).select("rel_path", "id")
 
@@ -157,8 +163,8 @@ def q_wrapper_seeds(spark, sf_dir):
     return wrappers.seeds(rules(spark), code_files(spark, sf_dir)).select("name", "protocol")
 
 
-@query("q_wrapper_calls", f"""{ctes('code')}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_id) AS line_no FROM code WHERE NOT contains(line, '\"\"\"'))
-  SELECT 'src/f' || file_id || '.py:' || line_no AS source_file, 'rest' AS protocol, {first_sql('line')} AS path, 'wrapper_trace:ests.get→httpx.get' AS extraction_method FROM n WHERE contains(line, 'requests.get(') AND NOT starts_with(line, '#')""")
+@query("q_wrapper_calls", f"""{_NUMBERED}
+  SELECT 'src/f' || file_id || '.py:' || line_no AS source_file, 'rest' AS protocol, {first_sql('line')} AS path, 'wrapper_trace:ests.get→httpx.get' AS extraction_method FROM n WHERE contains(line, 'requests.get(') AND NOT in_par AND NOT starts_with(line, '#')""")
 def q_wrapper_calls(spark, sf_dir):
     known = spark.createDataFrame([("python", "ests.get", "rest", 1, ["ests.get", "httpx.get"], "py-httpx")], seed_table(spark).schema)
     return wrappers.wrapper_calls(code_files(spark, sf_dir), known).select("source_file", "protocol", "path", "extraction_method")
@@ -171,7 +177,7 @@ def q_infer_protocols(spark, sf_dir):
     return named.groupBy("k").agg(F.array_join(F.sort_array(F.collect_set("p")), ",").alias("protocols"))
 
 
-@query("q_libres_dedup", f"""{ctes('code')}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_id) AS line_no FROM code WHERE NOT contains(line, '\"\"\"'))
+@query("q_libres_dedup", f"""{_NUMBERED}
   SELECT 'src/f' || file_id || '.py' AS source_file, p AS protocol, 'library_resolution:lib_http→' || p AS extraction_method, trim(line) AS evidence FROM (SELECT * FROM n WHERE contains(line, 'lib-http') ORDER BY file_id, line_no LIMIT 1), (VALUES ('http2'), ('rest')) t(p)""")
 def q_libres_dedup(spark, sf_dir):
     known = spark.createDataFrame([("python", "lib_http", ["http2", "rest"])], "language string, dep string, protocols array<string>")
