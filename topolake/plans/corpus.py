@@ -1,9 +1,10 @@
-"""A small repository of our own, for queries whose input is source text."""
+"""A small repository of our own, for queries whose input is source text; a folder of tables holds it as many times as it has suppliers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from topolake.plans.registry import table
 from topolake.shipping import ship
 
 FILES = {
@@ -49,9 +50,12 @@ FILES = {
 TOPS = {name: "web/package.json" for name in ("package.json",)} | {"requirements.txt": "shop/requirements.txt", "go.mod": "gw/go.mod", "pom.xml": "pay/pom.xml", "bill.csproj": "bill/bill.csproj", "Cargo.toml": "rs/Cargo.toml", "Gemfile": "rb/Gemfile"}
 
 
-def corpus(spark: SparkSession, *names: str) -> DataFrame:
-    """files (rel_path, content): all, or those named."""
-    return ship(spark).createDataFrame([(p, c) for p, c in FILES.items() if not names or p in names], "rel_path string, content string")
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files (rel_path, content): all, once below the root ``c<n>`` of each supplier, so there are more in a larger folder."""
+    roots = table(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("root"))
+    each = F.explode(F.create_map(*[F.lit(x) for file in FILES.items() for x in file])).alias("path", "content")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return roots.repartition(parts, "root").select("root", each).select(F.concat_ws("/", "root", "path").alias("rel_path"), "content")
 
 
 def tops(spark: SparkSession) -> DataFrame:

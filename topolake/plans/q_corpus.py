@@ -1,4 +1,4 @@
-"""Queries over the embedded repository; the oracles are rows written by hand from what each file says."""
+"""Queries over the embedded repository, once a supplier; the oracles are rows written by hand from what each file says."""
 
 from __future__ import annotations
 
@@ -17,22 +17,29 @@ def values(columns: str, *rows: tuple) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})"
 
 
+def copied(columns: str, *rows: tuple) -> str:
+    """The rows once a supplier, with its root in place of ``{root}``."""
+    rooted = {i for r in rows for i, v in enumerate(r) if isinstance(v, str) and "{root}" in v}
+    shown = [f"replace({c}, '{{root}}', 'c' || s_suppkey) AS {c}" if i in rooted else c for i, c in enumerate(columns.split(", "))]
+    return f"SELECT {', '.join(shown)} FROM ({values(columns, *rows)}) v CROSS JOIN supplier"
+
+
 ENDPOINT, LINK, SERVICE, SCHEMA = ["service_name", "method", "path", "handler"], ["source_service", "target_name", "protocol", "evidence"], ["name", "root_path", "boundary_entry"], ["name", "fields"]
 
 
 def config(name: str, kind: str, part: str, *rows: tuple) -> None:
     columns = {"endpoints": ENDPOINT, "connections": LINK, "services": SERVICE, "schemas": SCHEMA}[part]
 
-    @query(name, values(", ".join(columns), *rows))
+    @query(name, copied(", ".join(columns), *rows))
     def run(spark, sf_dir):
-        found = C.EXTRACTORS[kind](corpus(spark))[part]
+        found = C.EXTRACTORS[kind](corpus(spark, sf_dir))[part]
         if part == "schemas":
             found = found.withColumn("fields", F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit(" "), f.field_type, F.when(f.required, "!").otherwise(""))), ","))
         return found.select(*columns)
 
 
 config("q_openapi", "openapi", "endpoints", ("Catalog", "GET", "/things", "listThings"), ("Catalog", "POST", "/things", None), ("swagger", "GET", "/old", "old"))
-config("q_openapi_services", "openapi", "services", ("Catalog", "", "api/openapi.yaml"), ("swagger", "", "api/swagger.json"))
+config("q_openapi_services", "openapi", "services", ("Catalog", "", "{root}/api/openapi.yaml"), ("swagger", "", "{root}/api/swagger.json"))
 config("q_openapi_schemas", "openapi", "schemas", ("Thing", "id string!,owner unknown,tags array[string]"))
 config("q_swagger", "openapi", "connections", ("Catalog", "catalog.example.com", "http", None), ("swagger", "old.example.com", "http", None))
 config("q_asyncapi", "asyncapi", "endpoints", ("Bus", "publish", "orders", None), ("Bus", "subscribe", "orders", "onOrder"))
@@ -41,29 +48,29 @@ config("q_proto_schemas", "proto", "schemas", ("Req", "id string,int32 repeated"
 config("q_graphql", "graphql", "endpoints", ("shop", "query", "item", None))
 config("q_graphql_schemas", "graphql", "schemas", ("Item", "name unknown"))
 config("q_compose", "compose", "connections", ("web", "db", "compose-depends_on", "web depends_on db"), ("db", "vol", "compose-depends_on", "db depends_on vol"), ("web", "db", "postgresql", "DATABASE_URL=postgres://u:p@db:5432/x"), ("db", "cache", "redis", "REDIS_URL=redis://cache"))
-config("q_compose_services", "compose", "services", ("db", "deploy", None), ("web", "deploy", None))
+config("q_compose_services", "compose", "services", ("db", "{root}/deploy", None), ("web", "{root}/deploy", None))
 config("q_k8s", "kubernetes", "connections", ("web-deploy", "db.internal", "tcp", "DB_HOST=db.internal"), ("web-deploy", "api", "http", "API_URL=http://api:80/x"))
-config("q_k8s_services", "kubernetes", "services", ("web-deploy", "k8s", None), ("web-svc", "k8s", None))
-config("q_dockerfile", "dockerfile", "services", *[(n, n, f"{n}/Dockerfile") for n in ("shop", "web", "gw", "pay")])
-config("q_env", "env", "connections", ("conf", "n", "mysql", "DATABASE_URL=mysql://n/x"), ("conf", "k1", "kafka", "KAFKA_BROKERS=k1:9092,k2:9092"))
-config("q_spring", "spring", "connections", ("conf", "pg", "postgresql", "spring.datasource.url=jdbc:postgresql://pg:5432/x"), ("conf", "mq", "rabbitmq", "spring.rabbitmq.host=mq"), ("conf", "cache", "redis", "spring.data.redis.host=cache"), ("conf", "kb", "kafka", "spring.kafka.bootstrap-servers=kb:1,kc:2"))
+config("q_k8s_services", "kubernetes", "services", ("web-deploy", "{root}/k8s", None), ("web-svc", "{root}/k8s", None))
+config("q_dockerfile", "dockerfile", "services", *[(n, f"{{root}}/{n}", f"{{root}}/{n}/Dockerfile") for n in ("shop", "web", "gw", "pay")])
+config("q_env", "env", "connections", ("{root}/conf", "n", "mysql", "DATABASE_URL=mysql://n/x"), ("{root}/conf", "k1", "kafka", "KAFKA_BROKERS=k1:9092,k2:9092"))
+config("q_spring", "spring", "connections", ("{root}/conf", "pg", "postgresql", "spring.datasource.url=jdbc:postgresql://pg:5432/x"), ("{root}/conf", "mq", "rabbitmq", "spring.rabbitmq.host=mq"), ("{root}/conf", "cache", "redis", "spring.data.redis.host=cache"), ("{root}/conf", "kb", "kafka", "spring.kafka.bootstrap-servers=kb:1,kc:2"))
 
 
-def scoped(spark):
-    files = corpus(spark)
+def scoped(spark, sf_dir):
+    files = corpus(spark, sf_dir)
     return relations.scope(files, C.dockerfile(files)["services"].withColumn("seq", F.xxhash64("rel_path")))
 
 
 def route(name: str, tag: str, *rows: tuple) -> None:
-    @query(name, values(", ".join(ENDPOINT), *rows))
+    @query(name, copied(", ".join(ENDPOINT), *rows))
     def run(spark, sf_dir):
-        return R.routes(scoped(spark)).filter(F.col("extraction_method") == tag).select(*ENDPOINT)
+        return R.routes(scoped(spark, sf_dir)).filter(F.col("extraction_method") == tag).select(*ENDPOINT)
 
 
 route("q_express", "ast_express", ("web", "GET", "/health", None), ("web", "POST", "/orders", "createOrder"))
 route("q_nest", "ast_nestjs_two_phase", ("web", "GET", "/pets/:id", None), ("web", "POST", "/pets", None))
 route("q_fastify", "ast_fastify", ("web", "PUT", "/fast", "handlePut"))
-route("q_next", "nextjs_api_routes", ("", "GET", "/users", None), ("", "GET", "/pay/[id]", None))
+route("q_next", "nextjs_api_routes", ("", "GET", "/{root}/app/users", None), ("", "GET", "/{root}/pages/api/pay/[id]", None))
 route("q_fastapi", "python_fastapi_flask_decorator", ("shop", "GET", "/items", "list_items"), ("shop", "POST", "/items/{id}", "add_item"))
 route("q_django", "python_django_urlpatterns", ("shop", "GET", "about/", "views.about"), ("shop", "GET", "^team/$", "views.team"))
 route("q_gin", "go-gin-echo-fiber-route", ("gw", "GET", "/ping", "ping"), ("gw", "HANDLEFUNC", "/raw", "raw"))
@@ -83,7 +90,7 @@ route("q_rails_resource", "ast_rails_resource", *[("", v, f"/profile{s}", None)
 
 @query("q_framework_gates", values("framework", *[(n,) for n in ("express", "nestjs", "fastify", "fastapi", "django", "gin", "chi", "gorilla", "nethttp", "spring", "aspnet", "minimal_api", "actix", "axum", "rails", "sinatra")]))
 def q_framework_gates(spark, sf_dir):
-    return R.gates(corpus(spark))
+    return R.gates(corpus(spark, sf_dir))
 
 
 def deps(name: str, *found: str) -> None:
@@ -106,9 +113,9 @@ def q_lock_graphs(spark, sf_dir):
     return M.cargo_lock(tops(spark)).unionByName(M.gemfile_lock(tops(spark)))
 
 
-@query("q_functions", values("rel_path, name", ("shop/app.py", "list_items"), ("shop/app.py", "add_item"), ("shop/app.py", "fetch_all"), ("rs/main.rs", "one"), ("app/users/route.ts", "GET"), ("app/users/route.ts", "POST"), ("pages/api/pay/[id].js", "getPay"), ("web/src/pets.ts", "one"), ("web/src/pets.ts", "add"), ("bill/Bills.cs", "All")))
+@query("q_functions", copied("rel_path, name", ("{root}/shop/app.py", "list_items"), ("{root}/shop/app.py", "add_item"), ("{root}/shop/app.py", "fetch_all"), ("{root}/rs/main.rs", "one"), ("{root}/app/users/route.ts", "GET"), ("{root}/app/users/route.ts", "POST"), ("{root}/pages/api/pay/[id].js", "getPay"), ("{root}/web/src/pets.ts", "one"), ("{root}/web/src/pets.ts", "add"), ("{root}/bill/Bills.cs", "All")))
 def q_functions(spark, sf_dir):
-    files = corpus(spark).withColumns({"language": scans.language_of(F.col("rel_path")), "file_ord": F.lit(0)})
+    files = corpus(spark, sf_dir).withColumns({"language": scans.language_of(F.col("rel_path")), "file_ord": F.lit(0)})
     return functions(files).select("rel_path", "name")
 
 
@@ -116,30 +123,34 @@ def own_rules(spark):
     return spark.createDataFrame([("py-httpx", ["python"], None, ["httpx"], [("httpx.get(", "rest", "high", "url_hostname")], 0)], rule_ops.RULE)
 
 
-@query("q_scan", values("source_service, target_name, protocol, extraction_method, confidence", ("shop", "stock", "rest", "pattern:py-httpx", "high"), ("shop", "stock", "rest", "pattern:py-httpx", "high")))
+@query("q_scan", copied("source_service, target_name, protocol, extraction_method, confidence", ("shop", "stock", "rest", "pattern:py-httpx", "high"), ("shop", "stock", "rest", "pattern:py-httpx", "high")))
 def q_scan(spark, sf_dir):
     """Code connections of the whole scan; wrapper calls go, as a rule has found the file's protocol."""
-    found = scans.scan(spark, corpus(spark), own_rules(spark))["connections"].filter("extraction_method like 'pattern:%' or extraction_method like 'wrapper%'")
+    found = scans.scan(spark, corpus(spark, sf_dir), own_rules(spark))["connections"].filter("extraction_method like 'pattern:%' or extraction_method like 'wrapper%'")
     return found.select("source_service", "target_name", "protocol", "extraction_method", "confidence")
 
 
-@query("q_scan_services", values("name, root_path, n", ("shop", "shop", 5), ("web", "web", 5), ("gw", "gw", 7), ("pay", "pay", 2), ("Catalog", "", 2), ("db", "deploy", 0), ("web-deploy", "k8s", 0)))
+_PLACES = values("name, root, n", ("shop", "/shop", 5), ("web", "/web", 5), ("gw", "/gw", 7), ("pay", "/pay", 2), ("db", "/deploy", 0), ("web-deploy", "/k8s", 0))
+
+
+@query("q_scan_services", f"""SELECT name, 'c' || s_suppkey || root AS root_path, CASE WHEN 'c' || s_suppkey = (SELECT min('c' || s_suppkey) FROM supplier) THEN n * (SELECT count(*) FROM supplier) ELSE 0 END AS n FROM ({_PLACES}) p CROSS JOIN supplier
+  UNION ALL SELECT 'Catalog', '', 2 * count(*) FROM supplier""")
 def q_scan_services(spark, sf_dir):
-    found = scans.scan(spark, corpus(spark))
+    """Of services of one name the first exposes the endpoints of all; specifications stand at the top."""
+    found = scans.scan(spark, corpus(spark, sf_dir))
     nested = relations.exposed(found["services"], found["endpoints"])
-    ordered = nested.withColumn("name", F.when(F.col("root_path") == "deploy", "db").when(F.col("root_path") == "k8s", "web-deploy").when(F.col("root_path") == "", "Catalog").otherwise(F.col("name")))
-    return ordered.select("name", "root_path", F.size("exposes").cast("long").alias("n"))
+    return nested.select("name", "root_path", F.size("exposes").cast("long").alias("n"))
 
 
-@query("q_var_store", values("layer, key, value", (0, "DATABASE_URL", "mysql://m/x"), (0, "KAFKA_BROKERS", "k1:9092,k2:9092"), (0, "NAME", "x"), (0, "DATABASE_URL", "mysql://n/x"), (1, "DATABASE_URL", "postgres://u:p@db:5432/x"), (1, "REDIS_URL", "redis://cache"), (2, "DATABASE_URL", "postgres://cm/x"), (2, "CACHE_URL", "redis://cm:6379")))
+@query("q_var_store", copied("layer, key, value", (0, "DATABASE_URL", "mysql://m/x"), (0, "KAFKA_BROKERS", "k1:9092,k2:9092"), (0, "NAME", "x"), (0, "DATABASE_URL", "mysql://n/x"), (1, "DATABASE_URL", "postgres://u:p@db:5432/x"), (1, "REDIS_URL", "redis://cache"), (2, "DATABASE_URL", "postgres://cm/x"), (2, "CACHE_URL", "redis://cm:6379")))
 def q_var_store(spark, sf_dir):
-    return V.settings_of(corpus(spark)).select(F.col("layer").cast("int").alias("layer"), "key", "value")
+    return V.settings_of(corpus(spark, sf_dir)).select(F.col("layer").cast("int").alias("layer"), "key", "value")
 
 
 @query("q_var_resolve", values("key, value, host, port", ("DATABASE_URL", "mysql://n/x", "n", None), ("CACHE_URL", "redis://cm:6379", "cm", 6379)))
 def q_var_resolve(spark, sf_dir):
     keys = spark.createDataFrame([("DATABASE_URL",), ("CACHE_URL",), ("NONE",)], "key string")
-    return V.resolve(V.settings_of(corpus(spark)), keys)
+    return V.resolve(V.settings_of(corpus(spark, sf_dir)), keys)
 
 
 @query("q_installed_libraries", values("dep, protocol", ("own-http", "rest"),))
