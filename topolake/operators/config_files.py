@@ -227,3 +227,15 @@ def spring(files: DataFrame) -> dict[str, DataFrame]:
 
 #: In the order in which their findings count.
 EXTRACTORS = {"openapi": openapi, "proto": proto, "graphql": graphql, "asyncapi": asyncapi, "compose": compose, "kubernetes": kubernetes, "dockerfile": dockerfile, "env": env, "spring": spring}
+
+
+def faults(files: DataFrame) -> DataFrame:
+    """(rel_path, extractor, error) of files that an extractor of whole documents picks but that aren't JSON or YAML; each extractor passes them over."""
+    text, brace = F.col("content"), F.regexp_replace("part", r"^\s+", "").startswith("{")
+    yaml = ~F.col("rel_path").endswith(".properties")
+    asked = F.filter(F.array(*[F.when(S.matches_globs(F.col("rel_path"), GLOBS[kind]) & yaml, kind) for kind in ("openapi", "asyncapi", "compose", "spring")]), lambda k: k.isNotNull())
+    whole = files.select("rel_path", text.alias("part"), asked.alias("kinds")).filter((F.size("kinds") > 0) & text.isNotNull())
+    manifests = picked(files, "kubernetes").filter(text.contains("apiVersion:") & text.contains("kind:"))
+    parts = manifests.select("rel_path", F.explode(F.split("content", "---")).alias("part"), F.array(F.lit("kubernetes")).alias("kinds"))
+    unread = whole.unionByName(parts).withColumn("doc", structured(F.col("part"))).filter("doc is null")
+    return unread.select("rel_path", F.explode("kinds").alias("extractor"), F.when(brace, "malformed JSON").otherwise("malformed YAML").alias("error")).distinct()

@@ -48,7 +48,7 @@ def installed(sources: DataFrame, deps: DataFrame, rules: DataFrame) -> DataFram
 
 
 def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None, overrides: DataFrame | None = None, repo_name: str = "repo", only: list[str] | None = None, embed: Callable | None = None, anchors: tuple[list[float], list[float]] = ([], []), libraries_at: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Relations of files (rel_path, content).  only: names of config extractors to run, or all.
+    """Relations of files (rel_path, content), with ``faults``, the files that extractors couldn't read.  only: names of config extractors to run, or all.
     libraries_at: sources (rel_path, content) of installed libraries.
 
     What several relations start from is checkpointed, so it is computed once and survives lost executors.
@@ -87,7 +87,7 @@ def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None,
         connections = relations.rename_services(connections, overrides, "source_service", "source_service")
     connections = relations.resolve_targets(relations.dedupe_connections(connections), endpoints)
     connections = refine.refine_with(connections, embed, *anchors)
-    return {"services": services.drop("rel_path"), "endpoints": endpoints.drop("rel_path"), "connections": connections, "schemas": schemas.drop("rel_path")}
+    return {"services": services.drop("rel_path"), "endpoints": endpoints.drop("rel_path"), "connections": connections, "schemas": schemas.drop("rel_path"), "faults": config_files.faults(files)}
 
 
 def document(found: dict[str, DataFrame], metadata: dict[str, object]) -> DataFrame:
