@@ -169,6 +169,17 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3] and kept.columns == documents(spark, []).columns
 
 
+def test_sets_that_share_a_node(spark):
+    """Nodes of 6 bits, which unlike sets share."""
+    texts = near_texts(3)
+    rows = documents(spark, texts, False).select(F.col("doc_id").alias("key"), "text")
+    got = {r["key"]: (r["n"], r["least"] if r["node"] is not None else r["key"]) for r in minhash.judged(rows, 3, 85, "key", "text", Workspace(spark, "test"), bits=6).collect()}
+    sets = {i: shingles(t, 3) for i, t in enumerate(texts)}
+    label = components(sets, 85)
+    assert len({frozenset(s) for s in sets.values()}) > 64
+    assert got == {i: (len(sets[i]), label[i]) for i in sets}
+
+
 def test_one_of_each_with_repeated_ids(spark):
     same = "a b c d e f g"
     rows = [(3, same, "x"), (7, same, "x"), (7, "other words here now", "x"), (7, "other words here now", "y"), (5, "p q r s t", "x"), (5, "P q  r s t", "x"), (8, "p q r s t", "x")]

@@ -149,12 +149,16 @@ def _hashed(batches, width: int):
         yield batch.column(0).to_pylist(), batch.column(2).to_pylist(), [shingle_set(w, width) for w in document_words(texts)]
 
 
-def _node(s: np.ndarray) -> int | None:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+def _identity(s: np.ndarray, bits: int) -> tuple[int, int] | tuple[None, None]:
+    """The first bits of a 128-bit digest, and its second half."""
+    if not len(s):
+        return None, None
+    digest = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (digest >> 128 - bits) - (1 << bits - 1), (digest & (1 << 64) - 1) - (1 << 63)
 
 
-def sketch(docs: DataFrame, width: int, used: int, with_sets: bool = False) -> DataFrame:
-    """(key, n, node, regs, mark[, shingles]) of each document (key, text, mark).  node: a hash of the set, null for an empty one."""
+def sketch(docs: DataFrame, width: int, used: int, with_sets: bool = False, bits: int = 64) -> DataFrame:
+    """(key, n, node, rest, regs, mark[, shingles]) of each document (key, text, mark).  node and rest: a digest of the set, null for an empty one."""
 
     def run(batches):
         for keys, marks, sets in _hashed(batches, width):
@@ -165,15 +169,22 @@ def sketch(docs: DataFrame, width: int, used: int, with_sets: bool = False) -> D
                 if some:
                     for i, row in zip(some, registers([part[i] for i in some])[:, :used], strict=True):
                         regs[i] = row.tobytes()
-                columns = [pa.array(keys[at : at + 512], pa.int64()), pa.array([len(s) for s in part], pa.int64()), pa.array([_node(s) for s in part], pa.int64()), pa.array(regs, pa.binary()), pa.array(marks[at : at + 512], pa.int64())]
+                nodes, rests = zip(*(_identity(s, bits) for s in part), strict=True)
+                columns = [pa.array(keys[at : at + 512], pa.int64()), pa.array([len(s) for s in part], pa.int64()), pa.array(nodes, pa.int64()), pa.array(rests, pa.int64()), pa.array(regs, pa.binary()), pa.array(marks[at : at + 512], pa.int64())]
                 if with_sets:
                     columns.append(pa.array([s.tobytes() for s in part], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "node", "regs", "mark", "shingles"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "node", "rest", "regs", "mark", "shingles"][: len(columns)])
 
-    schema = "key long, n long, node long, regs binary, mark long" + ", shingles binary" * with_sets
+    schema = "key long, n long, node long, rest long, regs binary, mark long" + ", shingles binary" * with_sets
     return docs.mapInArrow(run, schema)
 
 
+def apart(rows: DataFrame, clashes: DataFrame) -> DataFrame:
+    """rows (node, rest, ...) with new nodes for unlike sets that share one of clashes."""
+    own = F.when(F.col("clash"), F.xxhash64("node", "rest")).otherwise(F.col("node"))
+    return rows.join(clashes.withColumn("clash", F.lit(True)), "node", "left").withColumn("node", own).select(*rows.columns)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Jaccard similarity of rows of a and rows of b from equal registers, less the chance collisions (HyperMinHash, eq. for equal orders)."""
     same = np.stack([(row == b).mean(1) for row in a])
@@ -260,22 +271,34 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(text.isNull(), text)
 
 
-def judged(docs: DataFrame, width: int, percent: int, key: str, text: str, ws: Workspace) -> DataFrame:
-    """(key, mark, n, node, least, least_mark) of every row: the smallest key reachable, and of the rows with it and their texts the smallest mark."""
+def judged(docs: DataFrame, width: int, percent: int, key: str, text: str, ws: Workspace, bits: int = 64) -> DataFrame:
+    """(key, mark, n, node, least, least_mark) of every row: the smallest key reachable, and of the rows with it and their texts the smallest mark.
+
+    Sets are told apart by 128-bit digests: joins use a node of so many bits, and nodes that unlike sets share are given anew.
+    """
     per_band = rows_per_band(percent)
     used = per_band * BANDS
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).withColumn("mark", text_mark(F.col("text")))
-    sketches = ws.keep(sketch(rows, width, used), "sketches")
-    placed = sketches.filter("node is not null and key is not null")
-    classes = ws.keep(placed.groupBy("node").agg(F.min(F.struct("key", "mark", "n", "regs")).alias("c")).select("node", "c.*"), "classes")
+    sketches = ws.keep(sketch(rows, width, used, bits=bits), "sketches")
+
+    def classed() -> DataFrame:
+        placed = sketches.filter("node is not null and key is not null").groupBy("node")
+        return ws.keep(placed.agg(F.min(F.struct("key", "mark", "n", "regs")).alias("c"), (F.min("rest") != F.max("rest")).alias("clash")).select("node", "c.*", "clash"), "classes")
+
+    classes = classed()
+    clashes = classes.filter("clash").select("node")
+    clashed = not clashes.isEmpty()
+    if clashed:
+        sketches = ws.keep(apart(sketches, clashes), "sketches")
+        classes = classed()
 
     slices = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("regs"), b * (2 * per_band) + 1, F.lit(2 * per_band))).bitwiseAND(F.lit(~(BANDS - 1))).bitwiseOR(b))
     keyed = classes.select("node", F.explode(slices).alias("bucket"))  # the band is in the lowest bits
     members = ws.keep(shared_buckets(keyed), "members")
 
     wanted = ws.keep(members.select("node").distinct().join(classes.select("node", "key"), "node").select("key").distinct(), "wanted")
-    sets = sketch(rows.join(wanted, "key", "left_semi"), width, used, True).select("node", "n", "regs", "shingles").dropDuplicates(["node"])
-    sets = ws.keep(sets, "sets")
+    sets = sketch(rows.join(wanted, "key", "left_semi"), width, used, True, bits)
+    sets = ws.keep((apart(sets, clashes) if clashed else sets).select("node", "n", "regs", "shingles").dropDuplicates(["node"]), "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
         stars = star_units(pairs, sets.select("node", (F.col("n") + ROW).alias("weight")), UNIT)
