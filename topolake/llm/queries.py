@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topolake.llm import embed_dedup, fingerprint, langid, minhash, mixing, packing, quality, secret_scan, token_count, url_filter
+from topolake.llm import embed_dedup, fingerprint, langid, lexical, minhash, mixing, packing, pieces, quality, secret_scan, token_count, url_filter, whitening
 from topolake.shipping import ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -135,11 +135,57 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(n)) AS copy_no FROM cop
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", whitening.as_long(F.col("deviation")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH found AS (
+  SELECT rowid_ AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents)),
+docs AS (SELECT row, doc_id, terms, len(terms)::BIGINT AS n FROM found WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+items AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL),
+asked AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+postings AS (
+  SELECT row, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term, big_n),
+impacts AS (
+  SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))) AS impact FROM postings JOIN weights USING (term), totals),
+scored AS (SELECT item_id, text, row, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids without begin and end, and the text that they decode to; as further columns digests of the pieces' spans and the bytes that they cover."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    listed = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
+    return pieces.encode(_table(spark, sf_dir, "documents"), path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        listed("ids").alias("ids_sha256"),
+        F.sha2(pieces.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+        listed("ends").alias("ends_sha256"),
+        F.coalesce(F.element_at("ends", -1) - F.element_at("begins", 1), F.lit(0)).alias("n_bytes"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_token_count, op3_secret_scan, op4_quality, op5_language_id,
         op6_minhash, op7_packing, op8_embedding_dedup, op9_fingerprints, op10_mixing,
+        op11_whitening, op12_lexical_search, op13_sentencepiece,
     )
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op10_mixing": OP10_SQL, "op12_lexical_search": OP12_SQL}
