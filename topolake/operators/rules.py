@@ -1,8 +1,8 @@
 """Detection rules over code lines.
 
 rules: id, languages, file_patterns, import_gate, detections (match, protocol, confidence, target_extraction), ord.
-A file meets the rules of its language by an equality join, gates are checked once a file, and
-only files that pass have their lines compared.
+Lines meet the literals of rules of their language through an inverted index; globs and import gates are
+checked where a file and a rule meet.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from topolake.functions import strings as S
+from topolake.lineage import cut
+from topolake.operators import literals
 from topolake.operators.lines import is_comment, lines_of, with_docstrings
 
 RULE = (
@@ -111,17 +113,44 @@ def glob_pattern(glob: Column) -> Column:
     return F.concat(F.lit("^"), out, F.lit("$"))
 
 
+def literals_of(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Detections (language, literal, rule columns) and gates (language, id, ord, literal) of rules."""
+    placed = rules.withColumn("language", F.explode("languages")).drop("languages")
+    detections = placed.select("language", "id", "ord", "file_patterns", "import_gate", F.posexplode("detections").alias("d_ord", "d")).withColumn("literal", F.col("d.match"))
+    return detections, placed.select("language", "id", "ord", F.explode("import_gate").alias("literal"))
+
+
+def shown_gates(files: DataFrame, gates: DataFrame, keep: list[str], hits: DataFrame) -> DataFrame:
+    """(keep, literal) of the gates in files, among literal hits of their lines and, where a gate has a line end, in whole texts."""
+    found = hits.join(literals.small(gates.select("language", "literal").distinct()), ["language", "literal"], "left_semi").select(*keep, "literal")
+    long = gates.filter(F.col("literal").rlike("[\r\n]")).groupBy("language").agg(F.collect_set("literal").alias("own"))
+    if not long.isEmpty():
+        found = found.union(files.join(literals.small(long), "language").select(*keep, F.explode(F.filter("own", lambda g: F.contains("content", g))).alias("literal")))
+    return found.distinct()
+
+
 def apply_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Connections of files (rel_path, language, service, content): one a line and detection that match.
 
+    Lines meet detections and import gates through an index of their literals, so no line or file is held against all rules.  Globs and gates are
+    checked for files and rules that meet, and only files with a hit are read for docstrings and defaults.
     Python docstrings and comments are passed over.  A rule that finds no target gives an empty one with medium confidence.
     """
-    met = gated(files.select("rel_path", "language", "content"), rules)
-    chosen = files.join(met.select("rel_path").distinct(), "rel_path", "left_semi")
+    own = files.select("rel_path", "language", "content").filter("language is not null")
+    detections, gates = literals_of(rules)
+    wanted = detections.select("language", "literal").union(gates.select("language", "literal"))
+    met = cut(literals.hits(lines_of(own), wanted, ["language"]).select("rel_path", "language", "line_no", "literal"))
+    at = met.join(literals.small(detections), ["language", "literal"])
+    globs = F.transform(F.coalesce("file_patterns", F.array().cast("array<string>")), glob_pattern)
+    at = at.filter((F.size(globs) == 0) | F.exists(globs, lambda g: F.rlike("rel_path", g))).drop("file_patterns", "literal")
+    ungated = F.coalesce(F.size("import_gate"), F.lit(0)) <= 0
+    shown = shown_gates(own, gates, ["rel_path", "language"], met)
+    opened = shown.join(literals.small(gates), ["language", "literal"]).select("rel_path", "language", "id", "ord").distinct()
+    passed = at.filter(ungated).union(at.filter(~ungated).join(opened, ["rel_path", "language", "id", "ord"], "left_semi").select(at.columns)).select("rel_path", "line_no", "id", "ord", "d_ord", "d")
+    chosen = files.join(passed.select("rel_path").distinct(), "rel_path", "left_semi")
     lines = with_env_defaults(with_docstrings(lines_of(chosen), "rel_path"))
     code = lines.filter(~(F.col("in_doc") & (F.col("language") == "python")) & ~is_comment(F.col("line")))
-    detections = met.select("rel_path", "id", "ord", F.posexplode("detections").alias("d_ord", "d"))
-    hits = code.join(detections, "rel_path").filter(F.contains(F.col("line"), F.col("d.match")))
+    hits = code.join(passed, ["rel_path", "line_no"])
     found, sure = S.demoted(target(F.col("d.target_extraction"), F.col("line"), F.col("env_default")), F.col("d.confidence"))
     return hits.select(
         F.coalesce("service", F.lit("")).alias("source_service"), found.alias("target_name"), F.col("d.protocol").alias("protocol"),

@@ -1,7 +1,7 @@
 """Functions that wrap connections, and their calls.
 
 A call site is the run of characters before a parenthesis; a wrapper's name matches the end of it,
-so ``send`` is also found in ``resend(``.  Ends of the distinct call sites are joined with
+so ``send`` is also found in ``resend(``.  Ends of the distinct call sites, as long as some name, are joined with
 the names by equality.
 """
 
@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from topolake.functions import strings as S
 from topolake.lineage import cut
+from topolake.operators import literals
 from topolake.operators.lines import is_comment_only, lines_of, with_docstring_parity
+from topolake.operators.rules import shown_gates
 
 #: Names too general to be wrappers.
 GENERAL = (
@@ -19,8 +21,6 @@ GENERAL = (
     "configure", "register", "exists", "resolve", "get", "set", "keys", "values", "items", "load", "save", "push", "pop",
 )
 LONGEST_BODY, DEPTH = 200, 2
-#: Gates that are broadcast, at most; more are joined by shuffle.
-MOST_GATES = 20_000
 SITE = r"([^\s()]+)\("
 
 
@@ -32,10 +32,8 @@ def seeds(rules: DataFrame, files: DataFrame) -> DataFrame:
     placed = own.join(languages, "language", "left_semi").unionByName(of_all.join(languages, F.lit(True)).select(own.columns))  # a few languages
     ungated = F.coalesce(F.size("import_gate"), F.lit(0)) <= 0
     gates = placed.filter(~ungated).select("language", "id", F.explode("import_gate").alias("gate"))
-    asked = gates.groupBy("language").agg(F.collect_set("gate").alias("gates"))
-    if gates.limit(MOST_GATES + 1).count() <= MOST_GATES:
-        asked = F.broadcast(asked)
-    shown = files.join(asked, "language").select("language", F.explode(F.filter("gates", lambda g: F.contains(F.col("content"), g))).alias("gate")).distinct()
+    met = literals.hits(lines_of(files.select("language", "content")), gates.select("language", F.col("gate").alias("literal")), ["language"])
+    shown = shown_gates(files, gates.withColumnRenamed("gate", "literal"), ["language"], met).withColumnRenamed("literal", "gate")
     opened = shown.join(gates, ["language", "gate"]).select("language", "id").distinct()
     passed = placed.filter(ungated).unionByName(placed.filter(~ungated).join(opened, ["language", "id"], "left_semi").select(placed.columns))
     named = passed.select("language", "id", "ord", F.posexplode("detections").alias("d_ord", "d")).withColumn("name", F.regexp_replace("d.match", r"\(+$", ""))
@@ -49,8 +47,12 @@ def call_sites(rows: DataFrame, text: str) -> DataFrame:
 
 
 def sites_of(sites: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """(language, site, wrapper columns): distinct sites that end in a wrapper's name."""
-    ends = F.transform(F.sequence(F.lit(1), F.length("site")), lambda i: F.substring(F.col("site"), i, F.length("site")))
+    """(language, site, wrapper columns): distinct sites that end in a wrapper's name.
+
+    Only ends as long as some name are made: a site costs as many of them as names have lengths, however long it is.
+    """
+    lengths = sorted(r["n"] for r in wrappers.select(F.length("name").alias("n")).distinct().collect())
+    ends = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("site")), lambda n: F.right("site", n))
     tails = sites.select("language", "site").distinct().select("language", "site", F.explode(ends).alias("name"))
     return tails.join(wrappers, ["language", "name"])
 

@@ -60,6 +60,19 @@ DERIVED = {
             WHEN 9 THEN '    ' || repeat(chr(34), 3) || 'docs' || repeat(chr(34), 3)
             WHEN 10 THEN '    ' || repeat(chr(34), 3)
             ELSE 'return ""' END AS line FROM {orders}""",
+    "calls": """
+        SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS line_id, CAST(l_orderkey - l_orderkey % 200 AS BIGINT) AS file_id, CASE l_linenumber % 7
+            WHEN 0 THEN '  # client' || CAST(l_partkey AS STRING) || '.send("x")'
+            WHEN 1 THEN 'r = client' || CAST(l_partkey AS STRING) || '.send("http://svc' || CAST(l_suppkey % 97 AS STRING) || '/items", timeout=5)'
+            WHEN 2 THEN 'out = my_topic_' || CAST(l_partkey AS STRING) || '(payload)'
+            WHEN 3 THEN 'import sdk' || CAST(l_partkey % 40 AS STRING)
+            WHEN 4 THEN 'queue->bind(' || CAST(l_partkey AS STRING) || ')'
+            WHEN 5 THEN 'x = total + ' || CAST(l_partkey AS STRING)
+            ELSE 'bus.topic_' || CAST(l_partkey AS STRING) || '.publish(target="t' || CAST(l_suppkey AS STRING) || '")' END AS line FROM {lineitem}""",
+    "part_rules": """
+        SELECT 'p' || CAST(p_partkey AS STRING) AS id, CAST(p_partkey AS INT) AS ord, CASE p_partkey % 4 WHEN 0 THEN 'client' || CAST(p_partkey AS STRING) || '.send(' WHEN 1 THEN 'topic_' || CAST(p_partkey AS STRING) || '('
+                   WHEN 2 THEN '.topic_' || CAST(p_partkey AS STRING) || '.publish(' ELSE '->bind(' || CAST(p_partkey AS STRING) || ')' END AS detect,
+               CASE WHEN p_partkey % 5 = 0 THEN 'sdk' || CAST(p_partkey % 40 AS STRING) END AS gate, CASE p_partkey % 3 WHEN 0 THEN 'rest' ELSE 'kafka' END AS protocol FROM {part}""",
     "deps": """
         SELECT CAST(p_partkey AS BIGINT) AS dep_id, CASE p_partkey % 10 WHEN 0 THEN 'requests>=2.0,<3' WHEN 1 THEN 'aiokafka[ssl]==0.8' WHEN 2 THEN 'golang.org/x/net' WHEN 3 THEN 'google.golang.org/grpc'
                WHEN 4 THEN 'psycopg2-binary ~= 2' WHEN 5 THEN 'Flask<2,>1' WHEN 6 THEN 'lib_http' WHEN 7 THEN 'redis; python_version > "3"' WHEN 8 THEN 'ioredis' ELSE lower(p_brand) END AS dep FROM {part}""",

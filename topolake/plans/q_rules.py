@@ -77,9 +77,9 @@ def q_env_hint_ahead(spark, sf_dir):
     return rule_ops.with_env_defaults(lines).select(F.col("line_no").alias("line_id"), "env_default")
 
 
-def code_files(spark, sf_dir):
-    """The derived code as files: every file's lines in order; there are more files, not longer ones, in a larger table."""
-    grouped = derive(spark, sf_dir, "code").groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "line"))), lambda x: x.line), "\n").alias("content"))
+def code_files(spark, sf_dir, name="code"):
+    """Derived code as files: every file's lines in order; there are more files, not longer ones, in a larger table."""
+    grouped = derive(spark, sf_dir, name).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "line"))), lambda x: x.line), "\n").alias("content"))
     return grouped.select(F.concat(F.lit("src/f"), F.col("file_id").cast("string"), F.lit(".py")).alias("rel_path"), F.lit("python").alias("language"), F.lit("svc").alias("service"), F.col("file_id").alias("file_ord"), "content")
 
 
@@ -102,6 +102,22 @@ def q_rule_apply(spark, sf_dir):
     return found.select("source_file", "protocol", "target_name", "confidence", "extraction_method", "evidence")
 
 
+def part_rules(spark, sf_dir):
+    """A rule for each part."""
+    detection = F.struct(F.col("detect").alias("match"), "protocol", F.lit("high").alias("confidence"), F.lit("first_string_arg").alias("target_extraction"))
+    gate = F.when(F.col("gate").isNotNull(), F.array("gate"))
+    return derive(spark, sf_dir, "part_rules").select("id", F.array(F.lit("python")).alias("languages"), F.lit(None).cast("array<string>").alias("file_patterns"), gate.alias("import_gate"), F.array(detection).alias("detections"), "ord")
+
+
+@query("q_rule_index", f"""{ctes('calls', 'part_rules')}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_id) AS line_no FROM calls),
+  gates AS (SELECT DISTINCT file_id, gate FROM n, (SELECT DISTINCT gate FROM part_rules WHERE gate IS NOT NULL) WHERE contains(line, gate))
+  SELECT 'src/f' || n.file_id || '.py:' || line_no AS source_file, protocol, coalesce({first_sql('line')}, '') AS target_name, CASE WHEN coalesce({first_sql('line')}, '') = '' THEN 'medium' ELSE 'high' END AS confidence, 'pattern:' || id AS extraction_method, trim(line) AS evidence
+  FROM n JOIN part_rules r ON contains(n.line, r.detect) LEFT JOIN gates g ON g.file_id = n.file_id AND g.gate = r.gate WHERE (r.gate IS NULL OR g.gate IS NOT NULL) AND NOT starts_with(trim(line), '#')""")
+def q_rule_index(spark, sf_dir):
+    found = rule_ops.apply_rules(code_files(spark, sf_dir, "calls"), part_rules(spark, sf_dir))
+    return found.select("source_file", "protocol", "target_name", "confidence", "extraction_method", "evidence")
+
+
 @query("q_rule_upsert", "SELECT * FROM (VALUES ('py-http', 'high', 0::BIGINT), ('py-db', 'medium', 1), ('py-call', 'low', 2), ('py-env', 'high', 3), ('ts-none', 'high', 4), ('py-gated', 'high', 5), ('own', 'low', 7)) t(id, confidence, ord)")
 def q_rule_upsert(spark, sf_dir):
     own = spark.createDataFrame([("py-db", ["python"], None, None, [("connect(", "x", "sure", "none")], 0), ("own", ["python"], None, None, [("own(", "x", "low", "none")], 1)], rule_ops.RULE)
