@@ -14,13 +14,13 @@ COMMENT_ONLY = "^(//|#|/\\*|\\*)"
 
 
 #: A string in double or single quotes on one line, or in backticks, and what to blank: comments of C's kind and scripts', and texts in triple quotes.
-_DOUBLE, _SINGLE, _TICKS = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'", r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+DOUBLE, SINGLE, TICKS = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'", r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 _BLOCK, _LINE, _HASH, _TRIPLE = r"/\*[\s\S]*?\*/", r"//[^\n]*+", r"#[^\n]*+", r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\''
 _CODE = {
-    r"\.py$": f"{_TRIPLE}|({_DOUBLE}|{_SINGLE})|{_HASH}",
-    r"\.rb$": f"({_DOUBLE}|{_SINGLE})|{_HASH}",
-    r"\.rs$": rf"({_DOUBLE}|'(?:\\.|[^'\\\n])')|{_BLOCK}|{_LINE}",
-    r"\.(ts|tsx|js|jsx|go|java|cs)$": f"({_DOUBLE}|{_SINGLE}|{_TICKS})|{_BLOCK}|{_LINE}",
+    r"\.py$": f"{_TRIPLE}|({DOUBLE}|{SINGLE})|{_HASH}",
+    r"\.rb$": f"({DOUBLE}|{SINGLE})|{_HASH}",
+    r"\.rs$": rf"({DOUBLE}|'(?:\\.|[^'\\\n])')|{_BLOCK}|{_LINE}",
+    r"\.(ts|tsx|js|jsx|go|java|cs)$": f"({DOUBLE}|{SINGLE}|{TICKS})|{_BLOCK}|{_LINE}",
 }
 
 

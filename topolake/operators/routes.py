@@ -1,8 +1,8 @@
 """HTTP routes in source code.
 
-A framework is one row of a table: which manifest shows it, which pattern a route has and
-how the pattern's groups are read.  All matching is regexp_extract_all over whole files; files
-reach a framework only through its gate.
+A framework is one row of a table: which manifest shows it, which calls, decorators or attributes are
+routes and which of their arguments count.  All are found in one pass over the calls of files; a framework's routes
+count only if its gate is open.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from topolake.functions import strings as S
+from topolake.operators.calls import arguments, calls, strings, unquoted
 from topolake.operators.lines import lines_of, without_comments
 
-Q = "[\"'`]"
 #: Verbs of each framework.
 EXPRESS_VERBS = "get|post|put|delete|patch|head|options|all"
 GO_VERBS = "GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|ANY|HANDLE|USE"
@@ -27,82 +26,147 @@ RESOURCES = (("GET", "", "index"), ("POST", "", "create"), ("GET", "/new", "new"
 HANDLER_VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 
 
-def last_argument(rest: Column) -> Column:
-    """A name that ends the call; null for other arguments."""
-    return S.found(F.regexp_extract(rest, r"([A-Za-z_$][A-Za-z0-9_$.:]*)\s*\)\s*;?\s*$", 1))
-
-
-def class_prefix(pattern: str) -> Callable[[Column], Column]:
-    return lambda content: F.coalesce(F.regexp_extract(content, pattern, 1), F.lit(""))
+GO_NAME = r"^[A-Za-z_]\w*\."
 
 
 @dataclass(frozen=True)
 class Framework:
     """manifest and marker: patterns of a file name and its content that open the gate.
-    route: groups 1 verb, 2 path, 3 rest.  unscoped: the service where none holds the file; None drops the route."""
+    callee: the name of the calls, decorators or attributes that are routes, its group the verb.  inside: what must stand around them.
+    path: the string among the arguments, or of the named ones the last.  optional: a route without one.  more: another argument must follow.
+    handler: "last" (a name that ends the call), "rest" (what follows the path), "declared" or "declared_out" (what it stands before).
+    prefix: the call whose first string in the file, or "class" if that of the class, comes before the path.
+    unscoped: the service where none holds the file; None drops the route."""
 
     name: str
     files: str
     manifest: str
     marker: str
-    route: str
+    callee: str
     tag: str
     verb: Callable[[Column], Column] = F.upper
     path: Callable[[Column], Column] = lambda p: p
-    handler: Callable[[Column], Column] | None = last_argument
-    prefix: Callable[[Column], Column] | None = None
+    names: str = ""
+    optional: bool = False
+    more: bool = False
+    inside: str = ""
+    handler: str = ""
+    prefix: str = ""
     content: str = "."
     confidence: str = "high"
     unscoped: str | None = ""
 
 
 SCRIPT = r"\.(ts|tsx|js|jsx)$"
-PY_DEF = r"\)\s*(?:\n[ \t]*@[^\n]*)*\n[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z0-9_]+)"
+GET, NONE = (lambda v: F.lit("GET")), (lambda v: F.lit(""))
+ASPNET = r"Microsoft\.AspNetCore|Sdk=\"Microsoft\.NET\.Sdk\.Web\""
 FRAMEWORKS = (
-    Framework("express", SCRIPT, r"package\.json$", '"express"', rf"(?:^|[^A-Za-z0-9_$.])(?:app|router|api|r|v1|v2)\.({EXPRESS_VERBS})\(\s*{Q}([^\"'`]*){Q}([^\n]*)", "ast_express"),
-    Framework("nestjs", SCRIPT, r"package\.json$", '"@nestjs/core"', rf"@(Get|Post|Put|Delete|Patch)\(\s*(?:{Q}([^\"'`]*){Q})?\s*(\))", "ast_nestjs_two_phase", handler=None, prefix=class_prefix(rf"@Controller\(\s*{Q}([^\"'`]*){Q}")),
-    Framework("fastify", SCRIPT, r"package\.json$", '"fastify"', rf"(?:^|[^A-Za-z0-9_$.])(?:fastify|app|instance|server|f)\.({EXPRESS_VERBS})\(\s*{Q}([^\"'`]*){Q}([^\n]*)", "ast_fastify", content="fastify"),
-    Framework("fastapi", r"\.py$", r"(requirements\.txt|pyproject\.toml)$", "fastapi|flask|Flask", rf"@[A-Za-z0-9_.]+\.(get|post|put|delete|patch|head|options)\(\s*[\"']([^\"']*)[\"'][^\n]*?{PY_DEF}", "python_fastapi_flask_decorator", handler=lambda r: r),
-    Framework("django", r"\.py$", r"(requirements\.txt|pyproject\.toml)$", "django|Django", r"(?:^|[^A-Za-z0-9_.])(path|re_path|url)\(\s*r?[\"']([^\"']*)[\"']\s*,\s*([A-Za-z0-9_.]+)", "python_django_urlpatterns", verb=lambda v: F.lit("GET"), handler=lambda r: r, content=r"urlpatterns\s*=", confidence="medium"),
-    Framework("gin", r"\.go$", r"go\.mod$", r"gin-gonic/gin|labstack/echo|gofiber/fiber", rf"[A-Za-z0-9_]\.([A-Za-z]*(?i:{GO_VERBS})[A-Za-z]*)\(\s*\"([^\"]*)\"([^\n]*)", "go-gin-echo-fiber-route", unscoped=None),
-    Framework("chi", r"\.go$", r"go\.mod$", "go-chi/chi", rf"[A-Za-z0-9_]\.([A-Za-z]*(?i:{CHI_VERBS})[A-Za-z]*)\(\s*\"([^\"]*)\"([^\n]*)", "go-chi-route", unscoped=None),
-    Framework("gorilla", r"\.go$", r"go\.mod$", "gorilla/mux", r"[A-Za-z0-9_]\.([A-Za-z]+)\(\s*\"([^\"]*)\"([^\n]*)", "go-gorilla-mux-route", verb=lambda v: F.lit(""), confidence="medium", unscoped=None),
-    Framework("nethttp", r"\.go$", "", "", r"(?:^|[^A-Za-z0-9_.])(?:http|mux|r|router)\.(HandleFunc|Handle)\(\s*\"([^\"]*)\"([^\n]*)", "go-http-handlefunc", verb=lambda v: F.lit(""), confidence="medium", unscoped=None),
-    Framework("spring", r"\.java$", r"(pom\.xml|build\.gradle)$", "spring-boot-starter", r"@(Get|Post|Put|Delete|Patch)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"[^)]*\)\s*(?:@[^\n]*\n\s*)*[A-Za-z0-9_<>\[\], ?.]*?\s([A-Za-z0-9_]+)\s*\(", "java_spring_boot", handler=lambda r: r, prefix=class_prefix(r"(?s)@(?:RestController|Controller|RequestMapping)\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"[^)]*\)[^{;]*class\s"), unscoped="unknown"),
-    Framework("aspnet", r"\.cs$", r"\.csproj$", r"Microsoft\.AspNetCore|Sdk=\"Microsoft\.NET\.Sdk\.Web\"", r"\[Http(Get|Post|Put|Delete|Patch)\(\"([^\"]*)\"[^\]]*\]\s*(?:\[[^\]]*\]\s*)*[A-Za-z0-9_<>\[\], ?]*?\s([A-Za-z0-9_]+)\s*\(", "csharp-attribute", path=lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)), handler=lambda r: r, confidence="medium", unscoped="unknown"),
-    Framework("minimal_api", r"\.cs$", r"\.csproj$", r"Microsoft\.AspNetCore|Sdk=\"Microsoft\.NET\.Sdk\.Web\"", r"\.Map(Get|Post|Put|Delete)[^\"\n]*\"([^\"]*)\"([^\n]*)", "csharp-minimal-api", handler=None, unscoped="unknown"),
-    Framework("actix", r"\.rs$", r"Cargo\.toml$", "actix-web", r"#\[(get|post|put|delete|patch|head|options)\(\"([^\"]*)\"[^\]]*\]\s*(?:pub\s+)?(?:async\s+)?fn\s+([A-Za-z0-9_]+)", "ast_actix_macro", handler=lambda r: r),
-    Framework("axum", r"\.rs$", r"Cargo\.toml$", "axum", r"\.[a-z_]+(\()\s*\"([^\"]*)\"\s*,\s*([^\n]*?)\)\s*[;\n]", "ast_axum_route", verb=lambda v: v, handler=lambda r: r),
-    Framework("rails", r"routes\.rb$", r"Gemfile$", "[\"']rails[\"']", r"(?:^|\n)\s*(get|post|put|patch|delete|root|match)\s+[\"']([^\"']*)[\"']([^\n]*)", "ast_rails_route", handler=None),
-    Framework("sinatra", r"\.rb$", r"Gemfile$", "[\"']sinatra[\"']", r"(?:^|\n)\s*(get|post|put|patch|delete|root|match)\s+[\"']([^\"']*)[\"']([^\n]*)", "ast_rails_route", handler=None),
+    Framework("express", SCRIPT, r"package\.json$", '"express"', rf"^(?:app|router|api|r|v1|v2)\.({EXPRESS_VERBS})$", "ast_express", handler="last"),
+    Framework("nestjs", SCRIPT, r"package\.json$", '"@nestjs/core"', r"^@(Get|Post|Put|Delete|Patch)$", "ast_nestjs_two_phase", optional=True, prefix="@Controller"),
+    Framework("fastify", SCRIPT, r"package\.json$", '"fastify"', rf"^(?:fastify|app|instance|server|f)\.({EXPRESS_VERBS})$", "ast_fastify", handler="last", content="fastify"),
+    Framework("fastapi", r"\.py$", r"(requirements\.txt|pyproject\.toml)$", "fastapi|flask|Flask", r"^@\w+\.(get|post|put|delete|patch|head|options)$", "python_fastapi_flask_decorator", handler="declared"),
+    Framework("django", r"\.py$", r"(requirements\.txt|pyproject\.toml)$", "django|Django", "^(path|re_path|url)$", "python_django_urlpatterns", verb=GET, inside=r"^urlpatterns = \[$", more=True, handler="next", confidence="medium"),
+    Framework("gin", r"\.go$", r"go\.mod$", r"gin-gonic/gin|labstack/echo|gofiber/fiber", rf"{GO_NAME}(\w*(?i:{GO_VERBS})\w*)$", "go-gin-echo-fiber-route", more=True, handler="last", unscoped=None),
+    Framework("chi", r"\.go$", r"go\.mod$", "go-chi/chi", rf"{GO_NAME}(\w*(?i:{CHI_VERBS})\w*)$", "go-chi-route", more=True, handler="last", unscoped=None),
+    Framework("gorilla", r"\.go$", r"go\.mod$", "gorilla/mux", rf"{GO_NAME}(\w+)$", "go-gorilla-mux-route", verb=NONE, handler="last", confidence="medium", unscoped=None),
+    Framework("nethttp", r"\.go$", "", "", r"^(?:http|mux|r|router)\.(HandleFunc|Handle)$", "go-http-handlefunc", verb=NONE, more=True, handler="last", confidence="medium", unscoped=None),
+    Framework("spring", r"\.java$", r"(pom\.xml|build\.gradle)$", "spring-boot-starter", "^@(Get|Post|Put|Delete|Patch)Mapping$", "java_spring_boot", names="value|path", optional=True, handler="declared", prefix="class", unscoped="unknown"),
+    Framework("aspnet", r"\.cs$", r"\.csproj$", ASPNET, "^Http(Get|Post|Put|Delete|Patch)$", "csharp-attribute", path=lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)), inside=r"\[$", handler="declared_out", confidence="medium", unscoped="unknown"),
+    Framework("minimal_api", r"\.cs$", r"\.csproj$", ASPNET, r"\.Map(Get|Post|Put|Delete)$", "csharp-minimal-api", unscoped="unknown"),
+    Framework("actix", r"\.rs$", r"Cargo\.toml$", "actix-web", "^(get|post|put|delete|patch|head|options)$", "ast_actix_macro", inside=r"# \[$", handler="declared_out"),
+    Framework("axum", r"\.rs$", r"Cargo\.toml$", "axum", r"^\.([a-z_]+)$", "ast_axum_route", verb=lambda v: v, more=True, handler="rest"),
 )
+#: Frameworks whose routes are lines: a verb and a string.
+LINES = r"(?:^|\n)\s*(get|post|put|patch|delete|root|match)\s+[\"']([^\"']*)[\"']"
+BY_LINE = (("rails", r"routes\.rb$", r"Gemfile$", "[\"']rails[\"']"), ("sinatra", r"\.rb$", r"Gemfile$", "[\"']sinatra[\"']"))
+#: Decorators of a class whose last string comes before the paths of its methods.
+CLASS_MARK = "^@(RestController|Controller|RequestMapping)$"
 
 
 def gates(files: DataFrame) -> DataFrame:
     """(framework) of each framework that some manifest shows; at most one row a framework."""
-    shown = F.filter(F.array(*[F.when((F.lit(f.manifest == "")) | (F.col("rel_path").rlike(f.manifest) & F.col("content").rlike(f.marker)), f.name) for f in FRAMEWORKS]), lambda x: x.isNotNull())
+    gated = [(f.name, f.manifest, f.marker) for f in FRAMEWORKS] + [(name, manifest, marker) for name, _, manifest, marker in BY_LINE]
+    shown = F.filter(F.array(*[F.when((F.lit(manifest == "")) | (F.col("rel_path").rlike(manifest) & F.col("content").rlike(marker)), name) for name, manifest, marker in gated]), lambda x: x.isNotNull())
     return files.select(F.explode(shown).alias("framework")).distinct()
 
 
-def _routes(files: DataFrame, f: Framework, service: Column) -> DataFrame:
-    own = files.filter(F.col("rel_path").rlike(f.files) & F.col("content").rlike(f.content) & F.col("content").rlike(f.route))
-    group = lambda i: F.regexp_extract_all("content", F.lit(f.route), F.lit(i))
-    rows = own.withColumn("m", F.explode(F.arrays_zip(group(1).alias("verb"), group(2).alias("path"), group(3).alias("rest"))))
-    path = f.path(F.col("m.path"))
-    if f.prefix is not None:
-        path = F.concat(f.prefix(F.col("content")), path)
-    verb = f.verb(F.col("m.verb"))
-    if f.name == "axum":
-        verb = F.lit("GET")
-        for v in reversed(HANDLER_VERBS):
-            verb = F.when(F.lower("m.rest").contains(f"{v.lower()}("), v).otherwise(verb)
-    handler = F.lit(None).cast("string") if f.handler is None else f.handler(F.col("m.rest"))
-    if f.unscoped is None:
-        rows = rows.filter(service.isNotNull())
-    return rows.select(
-        F.coalesce(service, F.lit(f.unscoped or "")).alias("service_name"), verb.alias("method"), path.alias("path"), handler.alias("handler"), F.lit("rest").alias("kind"),
-        F.lit(f.confidence).alias("confidence"), F.lit(f.tag).alias("extraction_method"), "rel_path", F.lit(f.name).alias("framework"),
-    )
+def with_prefixes(found: DataFrame) -> DataFrame:
+    """calls with ``of_class``, the last string of the decorators of the class around them, and ``of_file``, the first string of the file's first @Controller."""
+    mark = F.when(F.col("callee").rlike(CLASS_MARK), F.element_at(strings(F.col("args"), "value|path"), -1))
+    on_level = Window.partitionBy("rel_path", "level").orderBy("pos")
+    is_class = F.col("callee") == "class"
+    row = found.withColumn("mark", F.when(F.size(strings(F.col("args"), "value|path")) > 0, mark)).withColumn("number", F.sum(is_class.cast("int")).over(on_level) - is_class.cast("int"))
+    row = row.withColumn("own", F.when(is_class, F.coalesce(F.last("mark", True).over(Window.partitionBy("rel_path", "level", "number").orderBy("pos")), F.lit(""))))
+    # a class lies around the level below its own
+    roles = F.when(is_class, F.array(F.col("level"), F.col("level") + 1)).otherwise(F.array("level"))
+    placed = row.withColumn("at", F.explode(roles)).withColumn("of_class", F.last(F.when(is_class & (F.col("at") > F.col("level")), F.col("own")), True).over(Window.partitionBy("rel_path", "at").orderBy("pos")))
+    controller = F.when(F.col("callee") == "@Controller", F.struct(F.get(strings(F.col("args")), 0).alias("s")))
+    first = F.first(controller, True).over(Window.partitionBy("rel_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return placed.withColumn("of_file", first["s"]).filter(~is_class).drop("mark", "number", "own", "at")
+
+
+def call_routes(files: DataFrame) -> DataFrame:
+    """Routes that are calls, decorators or attributes, of all frameworks in one pass; a file meets those of its own kind alone."""
+    kinds = {f.files: [g for g in FRAMEWORKS if g.files == f.files] for f in FRAMEWORKS}
+    any_of = lambda patterns: "|".join(f"(?:{p})" for p in patterns)
+    own = files.filter(F.col("rel_path").rlike(any_of(kinds))).withColumn("fastify", F.col("content").contains("fastify"))
+    wanted = any_of([*dict.fromkeys(f.callee for f in FRAMEWORKS), CLASS_MARK, "^class$"])
+    found = with_prefixes(calls(own, wanted, ["service", "fastify"]))
+    args, texts = F.col("args"), arguments(F.col("args"))
+    rows = []
+    for f in FRAMEWORKS:
+        named = strings(args, f.names)
+        string = F.element_at(named, -1) if f.names else F.get(named, 0)
+        string = F.when(F.size(named) > 0, string)
+        at = F.array_position(F.transform(texts, unquoted), string)
+        rest = F.filter(F.slice(texts, F.greatest(at, F.lit(1)).cast("int") + 1, F.size(texts)), lambda a: a != "")
+        name = lambda a: F.when(a.rlike(r"^[A-Za-z_$][\w$.:]*$"), a)
+        handler = {
+            "last": F.when(F.size(rest) > 0, name(F.element_at(rest, -1))), "next": F.when(F.size(rest) > 0, F.regexp_extract(F.get(rest, 0), r"^[\w.]*", 0)), "rest": F.array_join(rest, ","),
+            "declared": F.col("declared"), "declared_out": F.col("declared_out"), "": F.lit(None).cast("string"),
+        }[f.handler]
+        verb = f.verb(F.regexp_extract("callee", f.callee, 1))
+        if f.name == "axum":
+            verb = F.lit("GET")
+            for v in reversed(HANDLER_VERBS):
+                verb = F.when(F.lower(handler).contains(f"{v.lower()}("), v).otherwise(verb)
+        path = f.path(F.coalesce(string, F.lit("")))
+        if f.prefix:
+            path = F.concat(F.coalesce(F.col("of_class") if f.prefix == "class" else F.col("of_file"), F.lit("")), path)
+        fits = F.col("rel_path").rlike(f.files) & F.col("callee").rlike(f.callee)
+        if f.inside:
+            fits &= F.col("inside").rlike(f.inside)
+        if not f.optional:
+            fits &= string.isNotNull()
+        if f.more:
+            fits &= F.size(rest) > 0
+        if f.content == "fastify":
+            fits &= F.col("fastify")
+        if f.unscoped is None:
+            fits &= F.col("service").isNotNull()
+        if f.handler == "declared" and f.name == "fastapi":
+            fits &= F.col("declared").isNotNull() & (string != "")
+        if f.name == "django":
+            fits &= string != ""
+        values = [
+            F.coalesce("service", F.lit(f.unscoped or "")).alias("service_name"), verb.alias("method"), path.alias("path"), handler.alias("handler"), F.lit("rest").alias("kind"),
+            F.lit(f.confidence).alias("confidence"), F.lit(f.tag).alias("extraction_method"), F.lit(f.name).alias("framework"),
+        ]
+        rows.append(F.when(fits, F.struct(*values)))
+    each = found.select("rel_path", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r"))
+    return each.select("r.service_name", "r.method", "r.path", "r.handler", "r.kind", "r.confidence", "r.extraction_method", "rel_path", "r.framework")
+
+
+def line_routes(files: DataFrame, service: Column) -> DataFrame:
+    found = None
+    for name, pattern, _, _ in BY_LINE:
+        group = lambda i: F.regexp_extract_all("content", F.lit(LINES), F.lit(i))
+        rows = files.filter(F.col("rel_path").rlike(pattern)).withColumn("m", F.explode(F.arrays_zip(group(1).alias("verb"), group(2).alias("path")))).select(
+            F.coalesce(service, F.lit("")).alias("service_name"), F.upper("m.verb").alias("method"), F.col("m.path").alias("path"), F.lit(None).cast("string").alias("handler"), F.lit("rest").alias("kind"),
+            F.lit("high").alias("confidence"), F.lit("ast_rails_route").alias("extraction_method"), "rel_path", F.lit(name).alias("framework"),
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def next_routes(files: DataFrame, service: Column) -> DataFrame:
@@ -135,9 +199,9 @@ def routes(files: DataFrame) -> DataFrame:
     service = F.col("service")
     opened = gates(files).withColumn("open", F.lit(True))
     files = files.withColumn("content", without_comments(F.col("content"), F.col("rel_path")))
-    found = next_routes(files, service).withColumn("gated", F.lit(False)).unionByName(resource_routes(files, service).withColumn("gated", F.lit(True)))
-    for f in FRAMEWORKS:
-        found = found.unionByName(_routes(files, f, service).withColumn("gated", F.lit(True)))
+    found = next_routes(files, service).withColumn("gated", F.lit(False))
+    for part in (resource_routes(files, service), line_routes(files, service), call_routes(files)):
+        found = found.unionByName(part.withColumn("gated", F.lit(True)))
     twice = opened.filter("framework = 'sinatra'").select(F.lit("rails").alias("framework"), F.lit("ast_rails_route").alias("extraction_method"))
     found = found.join(F.broadcast(twice), ["framework", "extraction_method"], "left_anti")  # Sinatra reads every file
     return found.join(F.broadcast(opened), "framework", "left").filter("open or not gated").drop("open", "gated", "framework")  # a row a framework at most

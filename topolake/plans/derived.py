@@ -73,6 +73,14 @@ DERIVED = {
         SELECT 'p' || CAST(p_partkey AS STRING) AS id, CAST(p_partkey AS INT) AS ord, CASE p_partkey % 4 WHEN 0 THEN 'client' || CAST(p_partkey AS STRING) || '.send(' WHEN 1 THEN 'topic_' || CAST(p_partkey AS STRING) || '('
                    WHEN 2 THEN '.topic_' || CAST(p_partkey AS STRING) || '.publish(' ELSE '->bind(' || CAST(p_partkey AS STRING) || ')' END AS detect,
                CASE WHEN p_partkey % 5 = 0 THEN 'sdk' || CAST(p_partkey % 40 AS STRING) END AS gate, CASE p_partkey % 3 WHEN 0 THEN 'rest' ELSE 'kafka' END AS protocol FROM {part}""",
+    "route_files": """
+        SELECT 'svc' || CAST(o_custkey % 7 AS STRING) AS service, 'src/r' || CAST(o_orderkey AS STRING) || CASE o_orderkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.java' WHEN 2 THEN '.py' ELSE '.go' END AS rel_path, CASE o_orderkey % 4
+            WHEN 0 THEN 'router' || chr(10) || '  .' || CASE WHEN o_custkey % 2 = 0 THEN 'get' ELSE 'post' END || '(' || chr(10) || '  guard("' || o_orderstatus || ')", limits({{a: [1, 2]}})),' || chr(10) || '  "/o' || CAST(o_custkey AS STRING) || '/items",' || chr(10)
+                        || '  audit, // router.put("/no", x)' || chr(10) || '  handle' || CAST(o_orderkey AS STRING) || chr(10) || ');' || chr(10) || 'router.use(log("/none"), app.all);'
+            WHEN 1 THEN '@RequestMapping(value = "/a' || CAST(o_custkey AS STRING) || '")' || chr(10) || 'class A {{' || chr(10) || '  @GetMapping(' || chr(10) || '    produces = "text",' || chr(10) || '    path = "/x"' || chr(10) || '  )' || chr(10)
+                        || '  public String one(@Named("q") String id) {{ return f("("); }}' || chr(10) || '}}' || chr(10) || '@RestController' || chr(10) || '@RequestMapping("/b' || CAST(o_custkey AS STRING) || '")' || chr(10) || 'class B {{ @PostMapping String none() {{}} @PostMapping("/y") List<String> two() {{}} }}'
+            WHEN 2 THEN '@app.post(' || chr(10) || '    "/p' || CAST(o_custkey AS STRING) || '",' || chr(10) || '    tags=["a", "b("],' || chr(10) || ')' || chr(10) || '@limit(of(3))' || chr(10) || 'async def add_' || CAST(o_orderkey AS STRING) || '(x):' || chr(10) || '    pass'
+            ELSE 'r.POST("/g' || CAST(o_custkey AS STRING) || '", chain(auth("x"), log), handle)' || chr(10) || 'fmt.Println("POST")' END AS content FROM {orders}""",
     "deps": """
         SELECT CAST(p_partkey AS BIGINT) AS dep_id, CASE p_partkey % 10 WHEN 0 THEN 'requests>=2.0,<3' WHEN 1 THEN 'aiokafka[ssl]==0.8' WHEN 2 THEN 'golang.org/x/net' WHEN 3 THEN 'google.golang.org/grpc'
                WHEN 4 THEN 'psycopg2-binary ~= 2' WHEN 5 THEN 'Flask<2,>1' WHEN 6 THEN 'lib_http' WHEN 7 THEN 'redis; python_version > "3"' WHEN 8 THEN 'ioredis' ELSE lower(p_brand) END AS dep FROM {part}""",

@@ -8,6 +8,7 @@ from topolake.operators import config_files as C, manifests as M, relations, rou
 from topolake.operators.functions_of import functions
 from topolake.plans import scan as scans
 from topolake.plans.corpus import corpus, tops
+from topolake.plans.derived import derive
 from topolake.plans.q_rules import rule_ops
 from topolake.plans.registry import query
 
@@ -88,6 +89,21 @@ route("q_rails_resources", "ast_rails_resources", *[("", v, f"/books{s}", None)
 route("q_rails_resource", "ast_rails_resource", *[("", v, f"/profile{s}", None) for v, s in _BOOKS[1:]])
 
 
+#: Manifests that open the gates of the derived files.
+MANIFESTS = {"package.json": '{"express": "4"}', "pom.xml": "spring-boot-starter-web", "requirements.txt": "fastapi", "go.mod": "github.com/gin-gonic/gin v1"}
+
+
+@query("q_route_calls", """WITH o AS (SELECT *, 'svc' || o_custkey % 7 AS service_name, CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderkey AS VARCHAR) AS k FROM orders)
+  SELECT service_name, CASE WHEN o_custkey % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, '/o' || c || '/items' AS path, 'handle' || k AS handler, 'ast_express' AS extraction_method FROM o WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT service_name, 'GET', '/a' || c || '/x', 'one', 'java_spring_boot' FROM o WHERE o_orderkey % 4 = 1 UNION ALL SELECT service_name, 'POST', '/b' || c || '/y', 'two', 'java_spring_boot' FROM o WHERE o_orderkey % 4 = 1
+  UNION ALL SELECT service_name, 'POST', '/p' || c, 'add_' || k, 'python_fastapi_flask_decorator' FROM o WHERE o_orderkey % 4 = 2
+  UNION ALL SELECT service_name, 'POST', '/g' || c, 'handle', 'go-gin-echo-fiber-route' FROM o WHERE o_orderkey % 4 = 3""")
+def q_route_calls(spark, sf_dir):
+    """Routes of calls over several lines, after other arguments and behind nested calls, and of two classes in a file."""
+    manifests = spark.createDataFrame(list(MANIFESTS.items()), "rel_path string, content string").withColumn("service", F.lit(None).cast("string"))
+    return R.routes(derive(spark, sf_dir, "route_files").unionByName(manifests)).select("service_name", "method", "path", "handler", "extraction_method")
+
+
 @query("q_framework_gates", values("framework", *[(n,) for n in ("express", "nestjs", "fastify", "fastapi", "django", "gin", "chi", "gorilla", "nethttp", "spring", "aspnet", "minimal_api", "actix", "axum", "rails", "sinatra")]))
 def q_framework_gates(spark, sf_dir):
     return R.gates(corpus(spark, sf_dir))

@@ -109,7 +109,7 @@ def part_rules(spark, sf_dir):
     return derive(spark, sf_dir, "part_rules").select("id", F.array(F.lit("python")).alias("languages"), F.lit(None).cast("array<string>").alias("file_patterns"), gate.alias("import_gate"), F.array(detection).alias("detections"), "ord")
 
 
-@query("q_rule_index", f"""{ctes('calls', 'part_rules')}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_id) AS line_no FROM calls),
+@query("q_rule_index", f"""{ctes('calls', 'part_rules')}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_id, line) AS line_no FROM calls),
   gates AS (SELECT DISTINCT file_id, gate FROM n, (SELECT DISTINCT gate FROM part_rules WHERE gate IS NOT NULL) WHERE contains(line, gate))
   SELECT 'src/f' || n.file_id || '.py:' || line_no AS source_file, protocol, coalesce({first_sql('line')}, '') AS target_name, CASE WHEN coalesce({first_sql('line')}, '') = '' THEN 'medium' ELSE 'high' END AS confidence, 'pattern:' || id AS extraction_method, trim(line) AS evidence
   FROM n JOIN part_rules r ON contains(n.line, r.detect) LEFT JOIN gates g ON g.file_id = n.file_id AND g.gate = r.gate WHERE (r.gate IS NULL OR g.gate IS NOT NULL) AND NOT starts_with(trim(line), '#')""")
