@@ -5,15 +5,17 @@ from __future__ import annotations
 import argparse
 import logging
 import os
+import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import SparkSession, functions as F
 
+from topolake.lineage import shared_folder
 from topolake.operators import rules as rule_ops
 from topolake.operators.variables import content_hash
-from topolake.plans.scan import document, scan
-from topolake.sources import settings, sinks
+from topolake.plans.scan import document_lines, scan
+from topolake.sources import document, settings, sinks
 from topolake.sources.repository import read_repository
 
 log = logging.getLogger("topolake")
@@ -66,18 +68,20 @@ def main(argv: list[str] | None = None) -> int:
     rules = load_rules(spark, args.rules, chosen.rules, chosen.disabled_rules)
     found = scan(spark, files, rules, overrides, git["repo_name"], chosen.only)
     meta = {**git, "project": chosen.project or git["repo_name"], "files_scanned": files.count(), "started_at": datetime.now(UTC).isoformat()}
-    result = document(found, meta)
+    folder = f"{shared_folder(spark).removeprefix('file:')}/document-{uuid.uuid4().hex}"
+    document.write_parts(document_lines(found), folder, {"tool": "cli", "scan_mode": "full", **meta})
     if args.relations:
         sinks.write_relations(found, args.relations)
     if args.dry_run:
-        print(sinks.document_text(result))
+        for piece in document.texts(folder):
+            print(piece, end="")
     elif args.upload:
         if not chosen.hub or not chosen.token:
             log.error("--upload needs a hub and a token")
             return 1
-        return 0 if sinks.upload(sinks.document_text(result), chosen.hub, chosen.token, args.path) else 1
+        return 0 if sinks.upload("".join(document.texts(folder)), chosen.hub, chosen.token, args.path) else 1
     else:
-        log.info("wrote %s", sinks.write_file(result, args.output, args.path))
+        log.info("wrote %s", document.join(folder, sinks.target_of(args.output, args.path)))
     return 0
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from topolake.lineage import shared_folder
 from topolake.operators import config_files, relations as R
 from topolake.plans.derived import ctes, derive
-from topolake.plans.q_relations import MERGED
+from topolake.plans.q_relations import DEDUPED, MERGED
 from topolake.plans.registry import query, table
-from topolake.sources import repository, sinks
+from topolake.sources import document, repository, sinks
 
 #: Files in the part of SQL that Spark and DuckDB share: some too large, with NUL bytes, with a long first line or below excluded directories.
 TREE = """SELECT doc_id, 'r' || CAST(doc_id % 25 AS STRING) || CASE doc_id % 6 WHEN 0 THEN '/src' WHEN 1 THEN '/node_modules/x' WHEN 2 THEN '/tests' WHEN 3 THEN '/targets' WHEN 4 THEN '/lib/build' ELSE '/app' END || '/f' || CAST(doc_id AS STRING) || '.py' AS rel_path,
@@ -50,3 +52,53 @@ def q_relations_sink(spark, sf_dir):
         sinks.write_relations({"services": services}, folder, form)
         read.append(spark.read.format(form).schema(services.schema).load(f"{folder}/services").select(F.lit(form).alias("form"), "seq", "name", "root_path"))
     return read[0].unionByName(read[1])
+
+
+#: Files, and ignore files below some roots, that a query writes for the walk to find.
+LEAVES = """SELECT 'r' || CAST(c_nationkey AS STRING) || '/s' || CAST(c_custkey % 25 AS STRING) || CASE c_custkey % 5 WHEN 0 THEN '/src' WHEN 1 THEN '/node_modules' WHEN 2 THEN '/logs' WHEN 3 THEN '/.own' ELSE '' END
+  || CASE c_custkey % 7 WHEN 0 THEN '/keep' WHEN 1 THEN '/.f' ELSE '/f' END || CAST(c_custkey AS STRING) || CASE c_custkey % 3 WHEN 0 THEN '.tmp' WHEN 1 THEN '.py' ELSE '.js' END AS rel_path, c_name || chr(10) || c_mktsegment AS content FROM {customer}"""
+IGNORED = """SELECT 'r' || CAST(n_nationkey AS STRING) || '/.gitignore' AS rel_path, '# own' || chr(10) || '*.tmp' || chr(10) || '!keep*.tmp' || chr(10) || '/s3/' || chr(10) || 'logs/' || chr(10) AS content FROM {nation}
+  UNION ALL SELECT 'r' || CAST(n_nationkey AS STRING) || '/s4/.gitignore', '!*.tmp' || chr(10) FROM {nation}"""
+
+
+def write_tree(files, root: str) -> int:
+    """Files (rel_path, content) written by tasks below a folder that all can open; how many."""
+
+    def put(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                os.makedirs(os.path.dirname(os.path.join(root, path)), exist_ok=True)
+                with open(os.path.join(root, path), "w", encoding="utf-8") as file:
+                    file.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("rel_path", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+@query("q_repository_walk", f"""WITH leaves AS ({LEAVES.format(customer="customer")})
+  SELECT rel_path, octet_length(encode(content)) AS size, md5(content) AS digest FROM leaves
+  WHERE NOT regexp_matches(rel_path, '/(node_modules|logs|[.]own)/|/[.]f[0-9]+[.]|^r[0-9]+/s3/') AND (NOT ends_with(rel_path, '.tmp') OR regexp_matches(rel_path, '/keep[0-9]+[.]tmp$|^r[0-9]+/s4/'))""")
+def q_repository_walk(spark, sf_dir):
+    """A tree with ignore files, written by tasks, listed a level at a time and read."""
+    root = f"{shared_folder(spark).removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+    read = lambda sql, name: spark.sql(sql, **{name: table(spark, sf_dir, name)})
+    write_tree(read(LEAVES, "customer").union(read(IGNORED, "nation")), root)
+    files = repository.read_repository(spark, root)
+    return files.select("rel_path", F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("digest"))
+
+
+@query("q_document_parts", f"""{ctes('services', 'endpoints', 'connections', 'schemas')}, {MERGED}, {DEDUPED}
+  SELECT 'service' AS part, name, root_path AS detail FROM merged UNION ALL SELECT 'endpoint', path, method FROM endpoints WHERE service_name IN (SELECT name FROM merged)
+  UNION ALL SELECT 'connection', source_service, target_name || '|' || source_file FROM deduped UNION ALL SELECT 'schema', name, extraction_method FROM schemas""")
+def q_document_parts(spark, sf_dir):
+    """The scan document as tasks wrote it in parts, read again line by line."""
+    folder = f"{shared_folder(spark).removeprefix('file:')}/document-{uuid.uuid4().hex}"
+    lines = document.lines(R.merge_services(derive(spark, sf_dir, "services")), derive(spark, sf_dir, "endpoints"), R.dedupe_connections(derive(spark, sf_dir, "connections")), derive(spark, sf_dir, "schemas"))
+    document.write_parts(lines, folder, {"tool": "cli"})
+    text = lambda name: F.get_json_object(F.col("whole"), f"$.{name}")
+    services, links, shapes = (document.read_section(spark, folder, s).withColumn("whole", F.regexp_replace("text", r",\"exposes\":\[$", "}")) for s in document.SECTIONS)
+    services = services.filter("text != ']}'")
+    opened = F.col("text").endswith("[")
+    rows = services.select(F.when(opened, "service").otherwise("endpoint").alias("part"), F.when(opened, text("name")).otherwise(text("path")).alias("name"), F.when(opened, text("root_path")).otherwise(text("method")).alias("detail"))
+    rows = rows.union(links.select(F.lit("connection"), text("source"), F.concat_ws("|", text("target"), text("source_file"))))
+    return rows.union(shapes.select(F.lit("schema"), text("name"), text("extraction_method")))

@@ -10,6 +10,7 @@ from topolake.functions import strings as S
 from topolake.lineage import cut
 from topolake.operators import config_files, libraries, manifests, refine, relations, routes, rules as rule_ops, wrappers
 from topolake.operators.functions_of import functions
+from topolake.sources import document as parts
 
 #: Files of each language.
 LANGUAGES = {"typescript": r"\.(ts|tsx|js|jsx)$", "python": r"\.py$", "go": r"\.go$", "java": r"\.java$", "csharp": r"\.cs$", "rust": r"\.rs$", "ruby": r"\.rb$"}
@@ -90,6 +91,11 @@ def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None,
     return {"services": services.drop("rel_path"), "endpoints": endpoints.drop("rel_path"), "connections": connections, "schemas": schemas.drop("rel_path"), "faults": config_files.faults(files)}
 
 
+def document_lines(found: dict[str, DataFrame]) -> DataFrame:
+    """The scan document as lines, for ``sources.document.write_parts``."""
+    return parts.lines(found["services"], found["endpoints"], found["connections"], found["schemas"])
+
+
 def document(found: dict[str, DataFrame], metadata: dict[str, object]) -> DataFrame:
     nested = relations.exposed(found["services"], found["endpoints"])
     return relations.payload(nested, found["connections"], found["schemas"], {"tool": "cli", "scan_mode": "full", **metadata})

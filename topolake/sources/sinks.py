@@ -20,9 +20,14 @@ def document_text(document: DataFrame) -> str:
     return json.dumps(document.first().asDict(recursive=True), indent=2, ensure_ascii=False)
 
 
+def target_of(path: str | None, root: str) -> str:
+    """path, or a file named as the root in the root."""
+    return str(Path(path) if path else Path(root) / f"{Path(root).resolve().name}.json")
+
+
 def write_file(document: DataFrame, path: str | None, root: str) -> str:
-    """To path, or to a file named as the root in the root; the path is returned."""
-    target = Path(path) if path else Path(root) / f"{Path(root).resolve().name}.json"
+    """A document of one row to path, or to a file named as the root in the root; the path is returned."""
+    target = Path(target_of(path, root))
     target.write_text(document_text(document))
     return str(target)
 
