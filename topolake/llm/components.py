@@ -65,16 +65,18 @@ def star_units(pairs: DataFrame, weights: DataFrame, most: int) -> DataFrame:
     return dealt.select(*unit("part", 1, "node")).union(leaders.select(*unit("part", 0, "leader")))
 
 
-def mixed_units(members: DataFrame) -> DataFrame:
+def mixed_units(members: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(u1, u2, u3, side, node, label, common) of (bucket, node, label): every pair of a bucket whose labels differ.
 
     Buckets with one label go.  Within a bucket the commonest label is left out of side 0, so that a
     group that is settled but for a few nodes costs in proportion to its size: side 0 (the others) is
     dealt into blocks, side 1 (all) too, and each block of one meets each block of the other.
+    A block has about BLOCK nodes at most, and with weights (node, weight) those of about 1 together.
     """
-    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    weighed = members.withColumn("weight", F.lit(0.0)) if weights is None else members.join(weights, "node")
+    counts = weighed.groupBy("bucket", "label").agg(F.sum(F.col("weight") + 1.0 / BLOCK).alias("n"))
     stats = counts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n)).cast("int")
     sized = stats.select("bucket", F.col("top.label").alias("common_label"), blocks(F.col("size") - F.col("top.n")).alias("few"), blocks(F.col("size")).alias("all"))
     rows = members.join(sized, "bucket").withColumn("common", F.col("label") == F.col("common_label"))
     own = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")

@@ -278,7 +278,7 @@ def judged(docs: DataFrame, width: int, percent: int, key: str, text: str, ws: W
     """
     per_band = rows_per_band(percent)
     used = per_band * BANDS
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).withColumn("mark", text_mark(F.col("text")))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("mark", text_mark(F.col("text")))
     sketches = ws.keep(sketch(rows, width, used, bits=bits), "sketches")
 
     def classed() -> DataFrame:
@@ -310,7 +310,7 @@ def judged(docs: DataFrame, width: int, percent: int, key: str, text: str, ws: W
         labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         if turn < MORE_LEADERS:
             links = ws.keep(links.union(compared(other_leaders(labelled))), "links")
-    units = mixed_units(labelled).join(sets.select("node", "n", "regs"), "node")
+    units = mixed_units(labelled, sets.select("node", ((F.col("n") + ROW) / F.lit(float(UNIT))).alias("weight"))).join(sets.select("node", "n", "regs"), "node")
     need = ws.keep(possible(units, per_band, percent), "possible")
     more = ws.keep(mixed_links(need.join(sets, "node"), per_band, percent), "links")
     final = ws.keep(connected(links.union(more), ws), "labels")
@@ -344,13 +344,13 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "
     """
     ws = Workspace(docs.sparkSession, "minhash")
     first = F.col("node").isNull() | ((F.col("key") == F.col("least")) & (F.col("mark") == F.col("least_mark")))
-    rows = ws.keep(judged(docs, width, percent, key, text, ws).filter("key is not null").select(F.col("key").alias("_one_key"), F.col("mark").alias("_one_mark"), first.alias("first")), "rows")
+    rows = ws.keep(judged(docs, width, percent, key, text, ws).filter("key is not null").select("key", "mark", first.alias("first")), "rows")
     gone = rows.filter("not first").drop("first")
-    repeated = ws.keep(rows.filter("first").groupBy("_one_key", "_one_mark").count().filter("count > 1").drop("count"), "repeated")
-    at = ["_one_key", "_one_mark"]
-    marked = docs.withColumns({"_one_key": F.col(key).cast("long"), "_one_mark": text_mark(F.col(text).cast("string"))})
+    repeated = ws.keep(rows.filter("first").groupBy("key", "mark").count().filter("count > 1").drop("count"), "repeated")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # the row's own columns are out of the way of key and mark
+    marked = docs.select(F.col(f"`{key}`").cast("long").alias("key"), text_mark(F.col(f"`{text}`").cast("string")).alias("mark"), whole.alias("row"))
+    at = ["key", "mark"]
     if repeated.isEmpty():
-        return marked.join(gone, at, "left_anti").select(*docs.columns)
-    whole = F.struct(*docs.columns)
-    one = marked.join(repeated, at, "left_semi").groupBy(*at).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_one_row"))
-    return marked.join(gone.union(repeated), at, "left_anti").select(*docs.columns).union(one.select("_one_row.*"))
+        return marked.join(gone, at, "left_anti").select("row.*")
+    one = marked.join(repeated, at, "left_semi").groupBy(*at).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return marked.join(gone.union(repeated), at, "left_anti").select("row.*").union(one.select("row.*"))

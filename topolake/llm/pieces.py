@@ -11,9 +11,8 @@ import heapq
 import re
 import struct
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import pairwise
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +20,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from topolake.shipping import ship
 
-OUT = pa.schema([("ids", pa.list_(pa.int32())), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
-#: Runs whose pieces a worker remembers, characters of the longest such run, and pieces of an output batch, about.
-CACHE, REMEMBERED, BATCH = 1_200_000, 64, 400_000
+LISTS = ["ids", "begins", "ends"]
+#: Runs whose pieces a worker remembers, characters of the longest such run, and texts of an output batch.
+CACHE, REMEMBERED, BATCH = 600_000, 48, 512
 #: Fixed values of the model format: field numbers, piece and model types, and the mark for a blank.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MODEL_TYPE, SUFFIX, FALLBACK, BPE = 3, 24, 35, 2
 MAP, DUMMY, TRIM, ESCAPE = 2, 3, 4, 5
 BLANK = "▁"
-NEVER = float("inf")
+#: The rank of pairs that don't merge, and where the numbers of characters begin that are no pieces.
+NEVER, OTHER = 1 << 40, 1 << 24
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -137,19 +137,23 @@ class PieceModel:
         self.blank = BLANK if escape else " "
         merged = (NORMAL, USER, UNUSED)
         self.score = {p: s for p, s, kind in pieces if kind in merged}
-        self.cost = {p: -s for p, s in self.score.items()}.get
         self.unused = {p for p, _, kind in pieces if kind == UNUSED}
         user = sorted((p for p, _, kind in pieces if kind == USER), key=len, reverse=True)
         self.user = re.compile("|".join(map(re.escape, user))) if user else None
         self.user_starts = {p[0] for p in user}
         self.id = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in merged} | {p: i for i, (p, _, kind) in enumerate(pieces) if kind not in merged}
-        self.packed = {p: array("i", (i, len(p))).tobytes() for p, i in self.id.items() if pieces[i][2] != UNKNOWN}.__getitem__
+        self.lengths = np.array([len(p) for p, _, _ in pieces])
         self.kind = [kind for _, _, kind in pieces]
         self.unknown = self.kind.index(UNKNOWN)
         self.bytes = [self.id[f"<0x{b:02X}>"] for b in range(256)] if trainer.get(FALLBACK, 0) else None
         #: No piece goes on with a blank after another character, so that runs which begin with blanks are encoded each by itself.
         self.apart = self.blank in self.score and not any(re.search(f"[^{self.blank}]{self.blank}", p) for p in self.score)
-        self.runs = re.compile(f"{self.blank}*[^{self.blank}]+|{self.blank}+")
+        joined = "".join(sorted({c for p in self.score if len(p) > 1 for c in p} - {self.blank}))
+        if self.bytes and joined:  # characters that no longer piece has stand alone too
+            letters = "".join(map(re.escape, joined))
+            self.runs = re.compile(f"{self.blank}*[{letters}]+|{self.blank}+|[^{letters}{self.blank}]+")
+        else:
+            self.runs = re.compile(f"{self.blank}*[^{self.blank}]+|{self.blank}+")
         self.known = Runs(self.encode_run)
 
     # --- the normal form ------------------------------------------------------
@@ -205,25 +209,7 @@ class PieceModel:
     # --- pieces ---------------------------------------------------------------
 
     def merge(self, run: str) -> list[str]:
-        """Pieces of a run: always the pair with the best score next, the leftmost of equals."""
-        return self.merge_few(run) if len(run) <= REMEMBERED and not self.user and not self.unused else self.merge_many(run)
-
-    def merge_few(self, run: str) -> list[str]:
-        """The same for a short run without user pieces: all pairs are looked at anew after each merge."""
-        cost, symbols = self.cost, list(run)
-        costs = [cost(a + b, NEVER) for a, b in pairwise(symbols)]
-        while costs and (least := min(costs)) < NEVER:
-            i = costs.index(least)
-            symbols[i : i + 2] = (symbols[i] + symbols[i + 1],)
-            del costs[i]
-            if i:
-                costs[i - 1] = cost(symbols[i - 1] + symbols[i], NEVER)
-            if i < len(costs):
-                costs[i] = cost(symbols[i] + symbols[i + 1], NEVER)
-        return symbols
-
-    def merge_many(self, run: str) -> list[str]:
-        """The same with an agenda of pairs, for runs of any length."""
+        """Pieces of a run of any length: always the pair with the best score next, the leftmost of equals."""
         if self.user:
             symbols, at = [], 0
             for found in self.user.finditer(run):
@@ -265,43 +251,105 @@ class PieceModel:
         return out
 
     def encode_run(self, run: str) -> bytes:
-        """(id, length) of a run's pieces, the length in characters of the normal form, all as 32-bit numbers.
+        return self.packed(map(self.symbol, self.merge(run)))
+
+    def packed(self, symbols: Iterable[int]) -> bytes:
+        """(id, length) of symbols, the length in characters of the normal form, all as 32-bit numbers.
 
         An unknown character becomes its bytes, of which the last has its length, or else joins the unknown ones before it.
         """
-        pieces = self.merge(run)
-        try:
-            return b"".join(map(self.packed, pieces))
-        except KeyError:
-            pass
         out, before = array("i"), False
-        for piece in pieces:
-            number = self.id.get(piece, self.unknown)
-            unknown = number == self.unknown
-            if unknown and self.bytes:
-                *data, last = piece.encode()
+        for number in symbols:
+            unknown = number >= OTHER
+            if not unknown:
+                out.extend((number, int(self.lengths[number])))
+            elif self.bytes:
+                *data, last = chr(number - OTHER).encode()
                 out.extend(x for b in data for x in (self.bytes[b], 0))
-                out.extend((self.bytes[last], len(piece)))
-            elif unknown and before:
-                out[-1] += len(piece)
+                out.extend((self.bytes[last], 1))
+            elif before:
+                out[-1] += 1
             else:
-                out.extend((number, len(piece)))
+                out.extend((self.unknown, 1))
             before = unknown
         return out.tobytes()
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids and the original bytes, begin and end, of a text's pieces."""
-        normal, places = self.normalized(text)
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of symbols, in order, as left << 32 | right; what each becomes, and its rank among all scores.
+
+        A symbol is a piece's id, or for a character that isn't one a number beyond all ids.
+        """
+        ranks = {s: i for i, s in enumerate(sorted({*self.score.values()}, reverse=True))}
+        found = {(self.symbol(p[:i]) << 32) | self.symbol(p[i:]): (self.id[p], ranks[s]) for p, s in self.score.items() for i in range(1, len(p)) if (i == 1 or p[:i] in self.score) and (len(p) - i == 1 or p[i:] in self.score)}
+        keys = sorted(found)
+        return np.array(keys or [-1], np.int64), *np.array([found[k] for k in keys] or [(0, NEVER)], np.int64).T
+
+    def symbol(self, piece: str) -> int:
+        number = self.id.get(piece)
+        return OTHER + ord(piece) if number is None or number == self.unknown else number
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What pairs of symbols become, and their ranks; NEVER where they stay apart."""
+        keys, made, ranks = self.pairs
+        wanted = (left << 32) | right
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        fits = keys[at] == wanted
+        return made[at], np.where(fits, ranks[at], NEVER)
+
+    def remember(self, runs: list[str]) -> None:
+        """Encode short runs without user pieces: those of one length together, a merge in each at a time."""
+        by_length: dict[int, list[str]] = {}
+        for run in runs:
+            by_length.setdefault(len(run), []).append(run)
+        for width, own in by_length.items():
+            points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)
+            chars, place = np.unique(points, return_inverse=True)
+            symbols = np.array([self.symbol(chr(c)) for c in chars], np.int64)[place].reshape(-1, width)
+            rows = np.arange(len(own))
+            made, ranks = self.merged(symbols[:, :-1], symbols[:, 1:])
+            while True:
+                at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+                going = ranks[np.arange(len(rows)), at] < NEVER if ranks.shape[1] else np.zeros(len(rows), bool)
+                self._settle([own[i] for i in rows[~going]], symbols[~going])
+                if not going.any():
+                    break
+                rows, symbols, made, ranks, at = rows[going], symbols[going], made[going], ranks[going], at[going]
+                each, n = np.arange(len(rows)), ranks.shape[1]
+                symbols[each, at] = made[each, at]
+                right, pair = np.arange(n), np.arange(n - 1)
+                symbols = np.take_along_axis(symbols, right + (right > at[:, None]), 1)
+                made, ranks = (np.take_along_axis(x, pair + (pair >= at[:, None]), 1) for x in (made, ranks))
+                for beside in (at - 1, at):
+                    some = np.flatnonzero((beside >= 0) & (beside < n - 1))
+                    b = beside[some]
+                    made[some, b], ranks[some, b] = self.merged(symbols[some, b], symbols[some, b + 1])
+
+    def _settle(self, runs: list[str], symbols: np.ndarray) -> None:
+        known = (symbols < OTHER).all(axis=1)
+        out = np.stack([symbols, self.lengths[np.where(symbols < OTHER, symbols, 0)]], axis=2).astype(np.int32)
+        data, size = out.tobytes(), 8 * symbols.shape[1]
+        for i, (run, whole) in enumerate(zip(runs, known.tolist(), strict=True)):
+            self.known[run] = data[i * size : (i + 1) * size] if whole else self.packed(symbols[i].tolist())
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text the ids and the original bytes, begin and end, of its pieces."""
         if len(self.known) > CACHE:
             self.known.clear()
-        found = b"".join(map(self.known.__getitem__, self.runs.findall(normal))) if self.apart else self.encode_run(normal)
-        ids, lengths = np.frombuffer(found, np.int32).reshape(-1, 2).T
-        ends = np.append(0, np.cumsum(lengths, dtype=np.int64))
-        if not text.isascii():
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            places = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))[places]
-        cuts = places[ends]
-        return ids, cuts[:-1], cuts[1:]
+        forms = [self.normalized(text) for text in texts]
+        runs = [self.runs.findall(form) if self.apart else [form] if form else [] for form, _ in forms]
+        if not self.user and not self.unused:
+            self.remember([run for run in set().union(*runs) if len(run) <= REMEMBERED and run not in self.known])
+        out = []
+        for text, (_, places), own in zip(texts, forms, runs, strict=True):
+            ids, lengths = np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32).reshape(-1, 2).T
+            ends = np.append(0, np.cumsum(lengths, dtype=np.int64))
+            if not text.isascii():
+                points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                places = np.append(0, np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)))[places]
+            cuts = places[ends]
+            out.append((ids, cuts[:-1], cuts[1:]))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -317,31 +365,31 @@ def library(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(key, ids, begins, ends) of every row: ids of the text's pieces and the bytes of its UTF-8 form that each stands for.
 
     path: a pair-merging SentencePiece model on every worker.  The pieces of one text lie side by side: where the normal form drops
     blanks, a gap is left; of the bytes that an unknown character falls back to, the last has its span and the others are empty; so is the
-    blank put before a text.  Neither begin nor end ids are added.  A null or empty text has no pieces.
+    blank put before a text.  Neither begin nor end ids are added.  A null or empty text has no pieces.  decoded: add the text that decode makes of the ids.
     Repeated rows and null keys are encoded like any other; an empty table gives none.
     """
     ship(docs.sparkSession)
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
+    names = [*LISTS, "decoded"] if decoded else LISTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in batches:
-            start, size, found = 0, 0, []
-            for i, value in enumerate(batch.column(1)):
-                found.append(model.encode(value.as_py() or ""))
-                size += len(found[-1][0])
-                if size >= BATCH or i == batch.num_rows - 1:
-                    offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(part), field.type.value_type)) for part, field in zip(zip(*found, strict=True), OUT, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[start : i + 1], *lists], ["key", *OUT.names])
-                    start, size, found = i + 1, 0, []
-
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids array<int>, begins array<long>, ends array<long>")
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                found = model.encode([t.as_py() or "" for t in part.column(1)])
+                offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+                columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(own).astype(np.int32))) for own in zip(*found, strict=True)]
+                if decoded:
+                    columns.append(pa.array([library(path).decode(ids.tolist()) for ids, _, _ in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", *names])
+
+    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded)
     return out.withColumnRenamed("key", key)
 
 
@@ -350,7 +398,7 @@ def decode(ids, path: str):
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        lists = column.to_pylist()
-        return pa.array([None if x is None else library(path).decode(x) for x in lists], pa.string())
+        values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+        return pa.array([library(path).decode(values[a:b].tolist()) if valid else None for a, b, valid in zip(offsets, offsets[1:], column.is_valid().to_pylist(), strict=False)], pa.string())
 
     return run(ids)

@@ -170,13 +170,13 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids without begin and end, and the text that they decode to; as further columns digests of the pieces' spans and the bytes that they cover."""
     path = tokenizer_path("piece_bpe_32k.model")
     listed = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
-    return pieces.encode(_table(spark, sf_dir, "documents"), path).select(
+    return pieces.encode(_table(spark, sf_dir, "documents"), path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         listed("ids").alias("ids_sha256"),
-        F.sha2(pieces.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
         listed("ends").alias("ends_sha256"),
-        F.coalesce(F.element_at("ends", -1) - F.element_at("begins", 1), F.lit(0)).alias("n_bytes"),
+        F.coalesce(F.element_at("ends", -1) - F.element_at("begins", 1), F.lit(0)).cast("long").alias("n_bytes"),
     )
 
 

@@ -41,7 +41,10 @@ def override_rules(rules: DataFrame, own: DataFrame) -> DataFrame:
     return rules.join(own.select("id"), "id", "left_anti").unionByName(moved)
 
 
-def disable_rules(rules: DataFrame, ids: list[str]) -> DataFrame:
+def disable_rules(rules: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """rules without those named by a list, or by a table (id) of any length."""
+    if isinstance(ids, DataFrame):
+        return rules.join(ids.select("id").distinct(), "id", "left_anti")
     return rules.filter(~F.col("id").isin(*ids)) if ids else rules
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from topolake.plans.registry import table
-from topolake.shipping import ship
 
 FILES = {
     "shop/Dockerfile": "FROM python:3.12\nCMD python app.py\n",
@@ -46,9 +45,6 @@ FILES = {
     "Cargo.lock": '[[package]]\nname = "own"\ndependencies = ["rdkafka 0.3", "serde"]\n',
     "Gemfile.lock": "GEM\n  specs:\n    own (1.0)\n      redis (>= 4)\n      other\n    lone (2)\n",
 }
-#: Manifests of one language each, as the top of a repository.
-TOPS = {name: "web/package.json" for name in ("package.json",)} | {"requirements.txt": "shop/requirements.txt", "go.mod": "gw/go.mod", "pom.xml": "pay/pom.xml", "bill.csproj": "bill/bill.csproj", "Cargo.toml": "rs/Cargo.toml", "Gemfile": "rb/Gemfile"}
-
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files (rel_path, content): all, once below the root ``c<n>`` of each supplier, so there are more in a larger folder."""
@@ -57,6 +53,3 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return roots.repartition(parts, "root").select("root", each).select(F.concat_ws("/", "root", "path").alias("rel_path"), "content")
 
-
-def tops(spark: SparkSession) -> DataFrame:
-    return ship(spark).createDataFrame([*((top, FILES[p]) for top, p in TOPS.items()), *((p, FILES[p]) for p in ("Cargo.lock", "Gemfile.lock"))], "rel_path string, content string")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topolake.operators import config_files as C, manifests as M, relations, routes as R, variables as V
+from topolake.operators import config_files as C, relations, routes as R, variables as V
 from topolake.operators.functions_of import functions
 from topolake.plans import scan as scans
-from topolake.plans.corpus import corpus, tops
+from topolake.plans.corpus import corpus
 from topolake.plans.derived import derive
 from topolake.plans.q_rules import rule_ops
 from topolake.plans.registry import query
@@ -109,26 +109,6 @@ def q_framework_gates(spark, sf_dir):
     return R.gates(corpus(spark, sf_dir))
 
 
-def deps(name: str, *found: str) -> None:
-    @query(f"q_deps_{name}", values("language, dep", *[(name, d) for d in found]))
-    def run(spark, sf_dir):
-        return M.READERS[name](tops(spark))
-
-
-deps("python", "fastapi", "httpx", "Django")
-deps("node", "express", "@nestjs/core", "fastify", "axios")
-deps("rust", "actix-web", "axum")
-deps("go", "github.com/gin-gonic/gin", "github.com/go-chi/chi", "github.com/gorilla/mux")
-deps("java", "org.spring:spring-boot-starter-web")
-deps("csharp", "RabbitMQ.Client")
-deps("ruby", "rails", "sinatra")
-
-
-@query("q_lock_graphs", values("language, dep, needs", ("rust", "own", "rdkafka"), ("rust", "own", "serde"), ("ruby", "own", "redis")))
-def q_lock_graphs(spark, sf_dir):
-    return M.cargo_lock(tops(spark)).unionByName(M.gemfile_lock(tops(spark)))
-
-
 @query("q_functions", copied("rel_path, name", ("{root}/shop/app.py", "list_items"), ("{root}/shop/app.py", "add_item"), ("{root}/shop/app.py", "fetch_all"), ("{root}/rs/main.rs", "one"), ("{root}/app/users/route.ts", "GET"), ("{root}/app/users/route.ts", "POST"), ("{root}/pages/api/pay/[id].js", "getPay"), ("{root}/web/src/pets.ts", "one"), ("{root}/web/src/pets.ts", "add"), ("{root}/bill/Bills.cs", "All")))
 def q_functions(spark, sf_dir):
     files = corpus(spark, sf_dir).withColumns({"language": scans.language_of(F.col("rel_path")), "file_ord": F.lit(0)})
@@ -167,11 +147,3 @@ def q_var_store(spark, sf_dir):
 def q_var_resolve(spark, sf_dir):
     keys = spark.createDataFrame([("DATABASE_URL",), ("CACHE_URL",), ("NONE",)], "key string")
     return V.resolve(V.settings_of(corpus(spark, sf_dir)), keys)
-
-
-@query("q_installed_libraries", values("dep, protocol", ("own-http", "rest"),))
-def q_installed_libraries(spark, sf_dir):
-    """Protocols that rules find in the sources of installed libraries."""
-    sources = spark.createDataFrame([("own_http/client.py", "import httpx\nhttpx.get('http://x/y')\n"), ("other/a.py", "x = 1\n"), ("lone.py", "import httpx\nhttpx.get('http://x')\n")], "rel_path string, content string")
-    deps = spark.createDataFrame([("python", "own-http"), ("python", "other")], "language string, dep string")
-    return scans.installed(sources, deps, own_rules(spark))

@@ -88,10 +88,15 @@ def q_parse_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.url_protocol(url).alias("protocol"), S.url_host(url).alias("host"))
 
 
-@query("q_scheme_protocol", f"SELECT scheme, {protocol_sql('scheme')} AS protocol FROM (VALUES " + ", ".join(f"('{s}')" for s in [*S.SCHEMES, "ftp", "nats"]) + ") t(scheme)")
+_SCHEMES = [*S.SCHEMES, "ftp", "nats"]
+
+
+@query("q_scheme_protocol", f"SELECT CAST(p_partkey AS BIGINT) AS k, {protocol_sql('scheme')} AS protocol FROM (SELECT p_partkey, [{', '.join(map(repr, _SCHEMES))}][1 + p_partkey % {len(_SCHEMES)}] AS scheme FROM part)")
 def q_scheme_protocol(spark, sf_dir):
-    schemes = spark.createDataFrame([(s,) for s in [*S.SCHEMES, "ftp", "nats"]], "scheme string")
-    return schemes.select("scheme", S.scheme_protocol(F.col("scheme")).alias("protocol"))
+    """A scheme for each part."""
+    schemes = F.array(*map(F.lit, _SCHEMES))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.get(schemes, F.col("p_partkey").cast("int") % len(_SCHEMES)).alias("scheme"))
+    return parts.select("k", S.scheme_protocol(F.col("scheme")).alias("protocol"))
 
 
 @query("q_html_paths", r"""SELECT page_id, i, array_to_string(list_transform(string_split(p, '/'), lambda s: CASE WHEN s = '*' THEN '{*}' WHEN starts_with(s, ':') THEN '{param}' ELSE s END), '/') AS path

@@ -118,29 +118,11 @@ def q_rule_index(spark, sf_dir):
     return found.select("source_file", "protocol", "target_name", "confidence", "extraction_method", "evidence")
 
 
-@query("q_rule_upsert", "SELECT * FROM (VALUES ('py-http', 'high', 0::BIGINT), ('py-db', 'medium', 1), ('py-call', 'low', 2), ('py-env', 'high', 3), ('ts-none', 'high', 4), ('py-gated', 'high', 5), ('own', 'low', 7)) t(id, confidence, ord)")
-def q_rule_upsert(spark, sf_dir):
-    own = spark.createDataFrame([("py-db", ["python"], None, None, [("connect(", "x", "sure", "none")], 0), ("own", ["python"], None, None, [("own(", "x", "low", "none")], 1)], rule_ops.RULE)
-    return rule_ops.override_rules(rules(spark), own).select("id", F.get("detections", 0)["confidence"].alias("confidence"), F.col("ord").cast("long").alias("ord"))
-
-
-@query("q_rule_disable", "SELECT * FROM (VALUES ('py-http'), ('py-call'), ('py-env'), ('ts-none')) t(id)")
-def q_rule_disable(spark, sf_dir):
-    return rule_ops.disable_rules(rules(spark), ["py-db", "py-gated"]).select("id")
-
-
 @query("q_import_gate", f"{ctes('code')} SELECT DISTINCT 'src/f' || file_id || '.py' AS rel_path, 'py-http' AS id FROM code WHERE contains(line, 'requests') UNION ALL SELECT DISTINCT 'src/f' || file_id || '.py', r FROM code, (VALUES ('py-db'), ('py-call'), ('py-env')) t(r)")
 def q_import_gate(spark, sf_dir):
     return rule_ops.gated(code_files(spark, sf_dir).select("rel_path", "language", "content"), rules(spark)).select("rel_path", "id")
 
 
-@query("q_registry_flatten", "SELECT * FROM (VALUES ('a', 'go'), ('b', 'go,java')) t(id, languages)")
-def q_registry_flatten(spark, sf_dir):
-    shape = "languages array<struct<language:string,patterns:array<struct<id:string,languages:array<string>,detections:array<string>>>>>"
-    registry = spark.createDataFrame([([("go", [("a", [], []), ("b", ["go", "java"], [])])],)], shape)
-    return rule_ops.flatten_registry(registry).select("id", F.array_join("languages", ",").alias("languages"))
-
-
 @query("q_glob_filter", f"{ctes('files')} SELECT file_ord, regexp_matches(rel_path, '(^|/)[^/]*[.]py$') AS py, regexp_matches(rel_path, '^r1.*/src/.*$') AS under FROM files")
 def q_glob_filter(spark, sf_dir):
     path = F.col("rel_path")
@@ -198,11 +180,3 @@ def q_infer_protocols(spark, sf_dir):
 def q_libres_dedup(spark, sf_dir):
     known = spark.createDataFrame([("python", "lib_http", ["http2", "rest"])], "language string, dep string, protocols array<string>")
     return libraries.import_connections(code_files(spark, sf_dir), known).select("source_file", "protocol", "extraction_method", "evidence")
-
-
-@query("q_libres_resolve", "SELECT * FROM (VALUES ('ruby', 'own_http', 'rest'), ('go', 'own_bus', 'amqp,kafka')) t(language, dep, protocols)")
-def q_libres_resolve(spark, sf_dir):
-    deps = spark.createDataFrame([("ruby", "own_http"), ("go", "own_bus"), ("go", "golang.org/x"), ("ruby", "nothing")], "language string, dep string")
-    scanned = spark.createDataFrame([("own_http", "rest"), ("own_http", "rest")], "dep string, protocol string")
-    locked = spark.createDataFrame([("go", "own_bus", "aiokafka"), ("go", "own_bus", "pika"), ("ruby", "own_http", "pika")], "language string, dep string, needs string")
-    return libraries.resolve(deps, scanned, locked).select("language", "dep", F.array_join("protocols", ",").alias("protocols"))
