@@ -167,13 +167,13 @@ def library_pieces(processor, text):
 def test_pieces(spark):
     rng = random.Random(1)
     texts = [None, "", " ", "▁", "a" * 3000, "日本語" * 20_000, "<s> </s> <unk> <0x0A>", "word " * 5000] + ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(60))) for _ in range(600)]
-    got = pieces.encode(documents(spark, texts), PATH).select("*", pieces.decode(F.col("ids"), PATH).alias("text")).collect()
+    got = pieces.encode(documents(spark, texts), PATH, decoded=True).select("*", pieces.decode(F.col("ids"), PATH).alias("text")).collect()
     processor = sentencepiece.SentencePieceProcessor(model_file=PATH)
     assert len(got) == len(texts)
     for r in got:
         text = texts[r["doc_id"]] or ""
         assert (r["ids"], r["begins"], r["ends"]) == library_pieces(processor, text)
-        assert r["ids"] == processor.encode(text) and r["text"] == processor.decode(r["ids"]) == text.replace("▁", " ")
+        assert r["ids"] == processor.encode(text) and r["text"] == r["decoded"] == processor.decode(r["ids"]) == text.replace("▁", " ")
         data = text.encode()
         assert "".join(data[b:e].decode() for b, e in zip(r["begins"], r["ends"], strict=True)) == text
     assert pieces.encode(documents(spark, []), PATH).count() == 0
@@ -240,6 +240,6 @@ def test_models_of_other_kinds():
         processor, own = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.PieceModel(data)
         for _ in range(400):
             text = "".join(rng.choice(["a", "b", "c", " ", "[x]", "é", "日", "z"]) for _ in range(rng.choice([3, 12, 90])))
-            assert tuple(x.tolist() for x in own.encode(text)) == library_pieces(processor, text)
+            assert tuple(x.tolist() for x in own.encode([text])[0]) == library_pieces(processor, text)
     with pytest.raises(ValueError, match="merge"):
         pieces.PieceModel(message((1, message((1, b"<unk>"), (3, 2)))))
