@@ -84,8 +84,10 @@ def test_command_line_writes_the_document(spark, tmp_path, capsys):
     (tmp_path / "shop/Dockerfile").write_text("FROM python\n")
     (tmp_path / "shop/requirements.txt").write_text("fastapi\n")
     (tmp_path / "shop/app.py").write_text('@app.get(\n  "/x"\n)\ndef one():\n    pass\n')
-    assert main([str(tmp_path), "--output", str(tmp_path / "out.json")]) == 0
+    assert main([str(tmp_path), "--output", str(tmp_path / "out.json"), "--log", str(tmp_path / "log")]) == 0
     got = json.loads((tmp_path / "out.json").read_text())
     assert [(s["name"], [e["path"] for e in s["exposes"]]) for s in got["services"]] == [("shop", ["/x"])] and got["metadata"]["files_scanned"] == 3
-    assert main([str(tmp_path), "--dry-run", "--exclude", "out.json"]) == 0
+    logged = json.loads((tmp_path / "log").read_text())
+    assert (logged["files"], logged["bytes"], logged["lines"]) == (3, 64, {"services": 3, "connections": 0, "schemas": 0})
+    assert main([str(tmp_path), "--dry-run", "--exclude", "out.json", "--exclude", "/log"]) == 0
     assert json.loads(capsys.readouterr().out)["services"] == got["services"]

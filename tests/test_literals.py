@@ -5,7 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from topolake.operators import literals, rules as rule_ops, wrappers
+from topolake.functions import strings as S
+from topolake.operators import globs, literals, rules as rule_ops, wrappers
 
 
 def test_hits_equal_a_plain_search(spark):
@@ -72,3 +73,21 @@ def test_long_call_sites_cost_as_many_ends_as_names_have_lengths(spark):
     found = wrappers.sites_of(sites, known).select(F.length("site").alias("n"), "name").collect()
     assert sorted(tuple(r) for r in found) == [(7, "send29"), (200_005, "send7")] and time.perf_counter() - began < 20
     assert wrappers.sites_of(sites, known.limit(0)).count() == 0
+
+
+def test_globs_equal_a_plain_search(spark):
+    rng = random.Random(5)
+    name = lambda: rng.choice(["a", "b.py", "c.test.ts", ".env", "x1.py", "d", "Makefile", "e."])
+    paths = sorted({"/".join(name() for _ in range(rng.randrange(1, 5))) for _ in range(200)})
+    part = lambda: rng.choice(["**", "*", "a", "b.py", "*.py", "c.*.ts", "*.test.ts", "?", ".*", "x?.py", "d*", "**.py", "e."])
+    wanted = sorted({"/".join(part() for _ in range(rng.randrange(1, 4))) for _ in range(150)} | {"**/*.py", "a/**", "*", "nowhere/x"})
+    rows = spark.createDataFrame([(p, 1) for p in paths], "rel_path string, n int")
+    got = globs.matched(rows, spark.createDataFrame([(w,) for w in wanted * 2], "glob string"), [])
+    plain = None
+    for w in wanted:
+        own = rows.filter(S.matches_globs(F.col("rel_path"), [w])).select("rel_path", F.lit(w).alias("glob"))
+        plain = own if plain is None else plain.union(own)
+    assert sorted((r["rel_path"], r["glob"]) for r in got.collect()) == sorted(map(tuple, plain.collect()))
+    assert got.columns == ["rel_path", "n", "glob"]
+    key = {r["glob"]: r["key"][0] for r in globs.filed(spark.createDataFrame([("**/only.py",), ("src/**",), ("**/*.go",), ("*",)], "glob string"), []).collect()}
+    assert key == {"**/only.py": "n", "src/**": "d", "**/*.go": "x", "*": "a"}

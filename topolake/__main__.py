@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import Observation, SparkSession, functions as F
 
-from topolake.lineage import shared_folder
+from topolake.lineage import cut, shared_folder
 from topolake.operators import rules as rule_ops
 from topolake.operators.variables import content_hash
 from topolake.plans.scan import document_lines, scan
@@ -34,6 +35,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--config", help="repository TOML")
     parser.add_argument("--include-hidden", action="store_true")
     parser.add_argument("--relations", help="folder for the relations as tables")
+    parser.add_argument("--log", help="file to which a line of JSON with the counts of the scan is added")
     return parser.parse_args(argv)
 
 
@@ -52,13 +54,16 @@ def load_rules(spark: SparkSession, path: str | None, own: list[dict], disabled:
 
 def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(levelname)s %(message)s")
-    args = arguments(argv)
+    args, started = arguments(argv), datetime.now(UTC)
     spark = SparkSession.builder.appName("topolake").getOrCreate()
     toml = Path(args.config or os.path.join(args.path, "topolake.toml"))
     env = {k: os.environ[f"TOPOLAKE_{k.upper()}"] for k in ("hub", "token", "project") if f"TOPOLAKE_{k.upper()}" in os.environ}
     given = {"root": args.path, "project": args.project, "excludes": args.exclude, "only": settings.only_plugins(args.plugins), "hub": args.hub, "token": args.token}
     chosen = settings.merged(given, env, settings.repository_file(toml.read_text() if toml.exists() else None), settings.global_file(Path.home() / ".config/topolake.json"))
-    files = read_repository(spark, args.path, chosen.excludes, args.include_hidden).cache()
+    seen = Observation("files")
+    found_files = read_repository(spark, args.path, chosen.excludes, args.include_hidden)
+    files = cut(found_files.observe(seen, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes")))  # counted as they are read
+    counts = seen.get
     rows = [(root, bool(o.get("ignore", False)), o.get("name")) for root, o in chosen.overrides.items()]
     overrides = spark.createDataFrame(rows, "root_path string, ignored boolean, new_name string") if rows else None
     git = settings.git_context(args.path)
@@ -67,9 +72,13 @@ def main(argv: list[str] | None = None) -> int:
         git["commit"] = next((r["sha"] for r in content_hash(sized, "all").collect()), None)
     rules = load_rules(spark, args.rules, chosen.rules, chosen.disabled_rules)
     found = scan(spark, files, rules, overrides, git["repo_name"], chosen.only)
-    meta = {**git, "project": chosen.project or git["repo_name"], "files_scanned": files.count(), "started_at": datetime.now(UTC).isoformat()}
+    meta = {**git, "project": chosen.project or git["repo_name"], "files_scanned": counts["files"], "started_at": started.isoformat()}
     folder = f"{shared_folder(spark).removeprefix('file:')}/document-{uuid.uuid4().hex}"
     document.write_parts(document_lines(found), folder, {"tool": "cli", "scan_mode": "full", **meta})
+    if args.log:
+        took = (datetime.now(UTC) - started).total_seconds()
+        with open(args.log, "a", encoding="utf-8") as file:
+            file.write(json.dumps({"started_at": started.isoformat(), "seconds": round(took, 3), **counts, "lines": document.counts(folder)}) + "\n")
     if args.relations:
         sinks.write_relations(found, args.relations)
     if args.dry_run:

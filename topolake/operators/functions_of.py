@@ -59,15 +59,38 @@ def _braced(lines: list[str], head: str) -> list[tuple[str, str]]:
 
 
 FUNCTION = T.StructType([T.StructField("name", T.StringType()), T.StructField("body", T.StringType())])
+CUT = T.StructType([T.StructField("functions", T.ArrayType(FUNCTION)), T.StructField("error", T.StringType())])
 
 
-@F.pandas_udf(T.ArrayType(FUNCTION))
-def bodies(language: pd.Series, content: pd.Series) -> pd.Series:
-    split = lambda lang, text: _indented(text.splitlines()) if lang == "python" else _braced(text.splitlines(), HEADS[lang]) if lang in HEADS else []
-    return pd.Series([[{"name": n, "body": b} for n, b in split(lang, text)] for lang, text in zip(language, content, strict=True)])
+def _cut(language: str, text: str | None) -> tuple[list[tuple[str, str]], str | None]:
+    if text is None:
+        return [], "no text"
+    try:
+        return (_indented(text.splitlines()) if language == "python" else _braced(text.splitlines(), HEADS[language]) if language in HEADS else []), None
+    except Exception as error:  # whatever a text brings up is that file's fault, not the job's
+        return [], f"{type(error).__name__}: {error}"[:200]
+
+
+@F.pandas_udf(CUT)
+def bodies(language: pd.Series, content: pd.Series) -> pd.DataFrame:
+    found = [_cut(lang, text) for lang, text in zip(language, content, strict=True)]
+    return pd.DataFrame({"functions": [[{"name": n, "body": b} for n, b in own] for own, _ in found], "error": [error for _, error in found]})
+
+
+def cut_files(files: DataFrame) -> DataFrame:
+    """(language, rel_path, file_ord, cut) of files (language, rel_path, file_ord, content): functions of each, or the error that its text brought up; one pass for both."""
+    return files.filter(F.col("language").isNotNull()).select("language", "rel_path", "file_ord", bodies("language", "content").alias("cut"))
+
+
+def functions_in(found: DataFrame) -> DataFrame:
+    """(language, rel_path, file_ord, name, body)."""
+    return found.select("language", "rel_path", "file_ord", F.explode("cut.functions").alias("f")).select("language", "rel_path", "file_ord", "f.name", "f.body")
+
+
+def faults_in(found: DataFrame) -> DataFrame:
+    return found.filter("cut.error is not null").select("rel_path", F.lit("functions").alias("extractor"), F.col("cut.error").alias("error"))
 
 
 def functions(files: DataFrame) -> DataFrame:
-    """(language, rel_path, file_ord, name, body) of files (language, rel_path, file_ord, content)."""
-    found = files.filter(F.col("language").isNotNull()).select("language", "rel_path", "file_ord", F.explode(bodies("language", "content")).alias("f"))
-    return found.select("language", "rel_path", "file_ord", "f.name", "f.body")
+    """(language, rel_path, file_ord, name, body) of files (language, rel_path, file_ord, content); files that can't be read have none."""
+    return functions_in(cut_files(files))

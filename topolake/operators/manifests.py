@@ -115,3 +115,11 @@ def dependencies(files: DataFrame) -> DataFrame:
     for reader in READERS.values():
         found = reader(files) if found is None else found.unionByName(reader(files))
     return found
+
+
+def faults(files: DataFrame) -> DataFrame:
+    """(rel_path, extractor, error), and repo where files have it, of manifests and lock files that aren't TOML or JSON."""
+    toml = F.col("rel_path").isin("pyproject.toml", "Cargo.toml", "Cargo.lock")
+    asked = files.filter(toml | (F.col("rel_path") == "package.json")).filter("content is not null")
+    doc = F.when(toml, F.try_parse_json(toml_json("content"))).otherwise(F.try_parse_json("content"))
+    return asked.withColumn("doc", doc).filter("doc is null").select(*_own(files), "rel_path", F.lit("manifest").alias("extractor"), F.when(toml, "malformed TOML").otherwise("malformed JSON").alias("error"))

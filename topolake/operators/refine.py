@@ -1,7 +1,7 @@
 """Confidence scores from embeddings of evidence.
 
-A score compares a vector with the centroids of two anchor classes.  Vectors come in a column or
-from a function that the caller gives; without either, findings pass unchanged.
+A score compares a vector with the centroids of two anchor classes.  Vectors come in a column, from a function that the caller
+gives, or from ``hashed_embedding``, which needs no model; without any, findings pass unchanged.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from topolake.functions.strings import cosine
 from topolake.lineage import cut
+from topolake.operators import literals
 
 log = logging.getLogger("topolake")
 
 HIGH, MEDIUM = 0.68, 0.42
+#: Dimensions of a hashed embedding, and the seed of its projection.
+DIMENSIONS, SEED = 64, 17
 
 
 def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
@@ -67,3 +70,40 @@ def refine_with(connections: DataFrame, embed: Callable[[DataFrame, str], DataFr
         log.warning("no refinement: %s", str(error).splitlines()[0] if str(error) else type(error).__name__)
         return connections
     return refine(embedded, service, noise).drop("_text", "embedding")
+
+
+def grams(text: Column) -> Column:
+    """Words and pairs of neighbouring words, A-Z in lower case."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words) + 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def hashed_embedding(rows: DataFrame, text: str, dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """rows with ``embedding``: words and pairs of a text, weighed by their rarity over all distinct texts, on a seeded random projection.
+
+    A gram's digest gives its dimension and sign; its weight is floor(1000 * ln((2N + 2) / (2df + 1))), so entries are whole numbers and sums are exact.
+    Equal texts are embedded once.  A text without words has zeros, a null one null.
+    """
+    texts = cut(rows.select(F.col(text).alias("t")).filter("t is not null").distinct())
+    own = texts.select("t", F.explode(grams(F.col("t"))).alias("gram")).groupBy("t", "gram").agg(F.count("*").alias("tf"))
+    held = own.groupBy("gram").agg(F.count("*").alias("df"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), "gram"))
+    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("long")
+    weight = F.floor(1000 * F.log((2 * texts.count() + 2) / (2 * F.col("df") + 1)))
+    placed = own.join(literals.small(held), "gram").select("t", (number(1, 8) % dimensions).alias("at"), (F.col("tf") * weight * (1 - 2 * (number(9, 1) % 2))).alias("x"))
+    sums = placed.groupBy("t", "at").agg(F.sum("x").alias("x")).groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
+    entry = lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")
+    vectors = texts.join(sums, "t", "left").select(F.col("t").alias("_t"), F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long")), lambda i: F.when(F.col("m").isNull(), 0.0).otherwise(entry(i))).alias("embedding"))
+    return rows.join(vectors, F.col(text) == F.col("_t"), "left").drop("_t")
+
+
+def refine_by_texts(connections: DataFrame, anchors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """connections refined by hashed embeddings: anchors (text, is_service) are known evidence texts, embedded with the others; without both classes connections stay as they are."""
+    shown = connections.withColumn("_text", evidence_text(F.col("protocol"), F.col("dependency"), F.col("evidence")))
+    both = shown.select(F.col("_text").alias("text"), F.lit(None).cast("boolean").alias("is_service")).union(anchors.select("text", "is_service")).distinct()
+    vectors = cut(hashed_embedding(both, "text", dimensions))
+    found = {r["is_service"]: r["centroid"] for r in centroids(vectors.filter("is_service is not null"), "is_service", "embedding").collect()}
+    if len(found) < 2:
+        return connections
+    embedded = shown.join(vectors.filter("is_service is null and text is not null").select(F.col("text").alias("_t"), "embedding"), F.col("_text") == F.col("_t"), "left")
+    return refine(embedded, found[True], found[False]).drop("_text", "_t", "embedding")

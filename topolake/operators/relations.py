@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from topolake.functions.strings import method_score, normal_path
+from topolake.lineage import cut
 
 SPECIFIED = ("spec:openapi", "spec:asyncapi")
 
@@ -125,6 +126,29 @@ def resolve_targets(connections: DataFrame, endpoints: DataFrame) -> DataFrame:
     return keyed.join(answers, ["_method", "_path"], "left").withColumn("target_name", F.coalesce("_service", "target_name")).select(*connections.columns)
 
 
+# --- order ------------------------------------------------------------------
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """rows with a dense number from ``start`` on in the given order, of equal rows in any.
+
+    Rows are dealt out by ranges, sorted and stored; a row's place in its range and the sum of the ranges before it make its number, so
+    what comes to the driver is one count a range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_first() for c in order]
+    rows = cut(rows)  # else the sample that sets the ranges would compute them once more
+    placed = cut(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = start, {}
+    for r in placed.groupBy(part.alias("p")).count().orderBy("p").collect():
+        offsets[r["p"]], before = before, before + r["count"]
+    if not offsets:
+        return rows.withColumn(name, F.lit(0).cast("long")).limit(0)
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in offsets.items() for x in kv]), part)
+    return placed.withColumn(name, (offset + within).cast("long")).drop("_place")
+
+
 # --- payload ----------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from topolake.operators.calls import arguments, calls, strings, unquoted
-from topolake.operators.lines import lines_of, without_comments
+from topolake.operators.lines import DOUBLE, SINGLE, TICKS, lines_of, without_comments
 
 #: Verbs of each framework.
 EXPRESS_VERBS = "get|post|put|delete|patch|head|options|all"
@@ -205,3 +205,12 @@ def routes(files: DataFrame) -> DataFrame:
     twice = opened.filter("framework = 'sinatra'").select(F.lit("rails").alias("framework"), F.lit("ast_rails_route").alias("extraction_method"))
     found = found.join(F.broadcast(twice), ["framework", "extraction_method"], "left_anti")  # Sinatra reads every file
     return found.join(F.broadcast(opened), "framework", "left").filter("open or not gated").drop("open", "gated", "framework")  # a row a framework at most
+
+
+def faults(files: DataFrame) -> DataFrame:
+    """(rel_path, extractor, error) of source files whose brackets don't add up, so that routes may be missed; comments and strings aside."""
+    own = files.filter(F.col("rel_path").rlike("|".join(f"(?:{f})" for f in dict.fromkeys(f.files for f in FRAMEWORKS))) & F.col("content").isNotNull())
+    bare = F.regexp_replace(without_comments(F.col("content"), F.col("rel_path")), F.when(F.col("rel_path").endswith(".rs"), F.lit(DOUBLE)).otherwise(F.lit(f"{DOUBLE}|{SINGLE}|{TICKS}")), "")
+    brackets = F.regexp_replace(bare, r"[^()\[\]{}]+", "")
+    more = F.length(F.regexp_replace(brackets, r"[)\]}]+", "")) * 2 - F.length(brackets)
+    return own.withColumn("more", more).filter("more <> 0").select("rel_path", F.lit("routes").alias("extractor"), F.when(F.col("more") > 0, "unclosed brackets").otherwise("unopened brackets").alias("error"))

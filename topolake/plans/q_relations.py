@@ -47,10 +47,10 @@ def q_spec_schema_antijoin(spark, sf_dir):
 
 
 @query("q_wrapper_suppress", f"""{ctes('connections')}, findings AS (SELECT * FROM connections WHERE extraction_method <> 'spec:env'),
-  others AS (SELECT DISTINCT split_part(source_file, ':', 1) AS f, protocol FROM findings WHERE NOT starts_with(extraction_method, 'wrapper_trace') AND target_name <> 'svc7')
-  SELECT seq, source_file, protocol FROM findings c WHERE target_name <> 'svc7' AND (NOT starts_with(extraction_method, 'wrapper_trace') OR NOT EXISTS (SELECT 1 FROM others o WHERE o.f = split_part(c.source_file, ':', 1) AND o.protocol = c.protocol))""")
+  others AS (SELECT DISTINCT split_part(source_file, ':', 1) AS f, protocol FROM findings WHERE NOT starts_with(extraction_method, 'wrapper_trace'))
+  SELECT seq, source_file, protocol FROM findings c WHERE (NOT starts_with(extraction_method, 'wrapper_trace') OR NOT EXISTS (SELECT 1 FROM others o WHERE o.f = split_part(c.source_file, ':', 1) AND o.protocol = c.protocol))""")
 def q_wrapper_suppress(spark, sf_dir):
-    findings = derive(spark, sf_dir, "connections").filter("extraction_method <> 'spec:env' and target_name <> 'svc7'")
+    findings = derive(spark, sf_dir, "connections").filter("extraction_method <> 'spec:env'")
     return R.drop_covered_wrappers(findings).select("seq", "source_file", "protocol")
 
 
@@ -157,3 +157,10 @@ def q_cosine_refine(spark, sf_dir):
     near = lambda odd: F.array(*[F.lit(float(i % 2 == odd)) for i in range(width)])
     scored = rows.select("vec_id", refining.score(refining.cosine(F.col("embedding"), near(0)), refining.cosine(F.col("embedding"), near(1))).alias("score"))
     return scored.select("vec_id", F.round("score", 5).alias("score"), refining.band(F.col("score")).alias("confidence"))
+
+
+@query("q_discovery_order", f"""{ctes('connections')} SELECT source_file, protocol, target_name, row_number() OVER (ORDER BY source_file, protocol, target_name) - 1 AS number FROM connections""")
+def q_discovery_order(spark, sf_dir):
+    """Places of discovery over the whole table, without a task that sees all rows."""
+    order = ["source_file", "protocol", "target_name"]
+    return R.numbered(derive(spark, sf_dir, "connections").select(*order), order, "number")

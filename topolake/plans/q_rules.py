@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topolake.functions import strings as S
-from topolake.operators import lines as L, libraries, rules as rule_ops, wrappers
+from topolake.operators import lines as L, libraries, refine, rules as rule_ops, wrappers
 from topolake.plans.derived import ctes, derive
 from topolake.plans.q_functions import _QUOTED, first_sql
 from topolake.plans.registry import query, table
@@ -180,3 +180,16 @@ def q_infer_protocols(spark, sf_dir):
 def q_libres_dedup(spark, sf_dir):
     known = spark.createDataFrame([("python", "lib_http", ["http2", "rest"])], "language string, dep string, protocols array<string>")
     return libraries.import_connections(code_files(spark, sf_dir), known).select("source_file", "protocol", "extraction_method", "evidence")
+
+
+@query("q_hashed_embedding", f"""{ctes('calls')}, texts AS (SELECT DISTINCT 'protocol:rest dependency:d code:' || line AS text FROM calls),
+  words AS (SELECT text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM texts),
+  grams AS (SELECT text, gram, count(*) AS tf FROM (SELECT text, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM words) GROUP BY ALL),
+  held AS (SELECT gram, count(*) AS df FROM grams GROUP BY gram), n AS (SELECT count(*) AS n FROM texts),
+  placed AS (SELECT text, CAST('0x' || substr(md5('17:' || gram), 1, 8) AS BIGINT) % 64 AS dim, tf * CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) * (1 - 2 * (CAST('0x' || substr(md5('17:' || gram), 9, 1) AS BIGINT) % 2)) AS x FROM grams JOIN held USING (gram), n)
+  SELECT text, dim, CAST(sum(x) AS BIGINT) AS x FROM placed GROUP BY text, dim HAVING sum(x) <> 0""")
+def q_hashed_embedding(spark, sf_dir):
+    """Entries other than 0 of the embedding of every distinct line of code as evidence."""
+    texts = derive(spark, sf_dir, "calls").select(refine.evidence_text(F.lit("rest"), F.lit("d"), F.col("line")).alias("text"))
+    found = refine.hashed_embedding(texts, "text").dropDuplicates(["text"])
+    return found.select("text", F.posexplode("embedding").alias("dim", "x")).filter("x <> 0").select("text", F.col("dim").cast("long").alias("dim"), F.col("x").cast("long").alias("x"))

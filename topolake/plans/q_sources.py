@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from topolake.lineage import shared_folder
-from topolake.operators import config_files, relations as R
+from topolake.operators import config_files, globs, manifests, relations as R, routes
+from topolake.operators.functions_of import cut_files, faults_in
+from topolake.plans import scan as scans
 from topolake.plans.derived import ctes, derive
 from topolake.plans.q_relations import DEDUPED, MERGED
 from topolake.plans.registry import query, table
@@ -42,6 +44,21 @@ def q_faults(spark, sf_dir):
     return config_files.faults(table(spark, sf_dir, "documents").select(path.alias("rel_path"), made.alias("content")))
 
 
+@query("q_stage_faults", """SELECT rel_path, extractor, error FROM (SELECT CASE doc_id % 6 WHEN 0 THEN 'Cargo.lock' WHEN 1 THEN 'package.json' WHEN 2 THEN 'src/d' || doc_id || '.ts' WHEN 3 THEN 'src/d' || doc_id || '.rs' WHEN 4 THEN 'src/d' || doc_id || '.py' END AS rel_path,
+    CASE WHEN doc_id % 6 < 2 THEN 'manifest' WHEN doc_id % 6 < 4 THEN 'routes' ELSE 'functions' END AS extractor,
+    CASE doc_id % 6 WHEN 0 THEN 'malformed TOML' WHEN 1 THEN 'malformed JSON' WHEN 2 THEN 'unclosed brackets' WHEN 3 THEN 'unopened brackets' ELSE 'no text' END AS error FROM documents) WHERE rel_path IS NOT NULL""")
+def q_stage_faults(spark, sf_dir):
+    """Texts that manifests, routes and function bodies can't be read from; the rest of the job goes on."""
+    n = F.col("doc_id")
+    word = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 2000), r"[^A-Za-z ]", " ")
+    name = lambda end: F.concat(F.lit("src/d"), n.cast("string"), F.lit(end))
+    path = F.when(n % 6 == 0, "Cargo.lock").when(n % 6 == 1, "package.json").when(n % 6 == 2, name(".ts")).when(n % 6 == 3, name(".rs")).when(n % 6 == 4, name(".py")).otherwise(name(".go"))
+    made = F.when(n % 6 == 0, F.concat(F.lit("[[package\n"), word)).when(n % 6 == 1, F.concat(F.lit('{"dependencies": "'), word)).when(n % 6 == 2, F.concat(F.lit('app.get("/x)", (q) => { // })\n/* ) */ `)` '), word))
+    made = made.when(n % 6 == 3, F.concat(F.lit("fn a<'x>() {} } // {\n"), word)).when(n % 6 == 5, F.concat(F.lit('func f() { return g("(") }\n'), word))
+    files = table(spark, sf_dir, "documents").select(path.alias("rel_path"), made.alias("content")).withColumns({"language": scans.language_of(F.col("rel_path")), "file_ord": F.lit(0)})
+    return manifests.faults(files).unionByName(routes.faults(files)).unionByName(faults_in(cut_files(files)))
+
+
 @query("q_relations_sink", f"{ctes('services')}, {MERGED} SELECT 'parquet' AS form, seq, name, root_path FROM merged UNION ALL SELECT 'json', seq, name, root_path FROM merged")
 def q_relations_sink(spark, sf_dir):
     """Merged services as the executors wrote them, in two formats, read again."""
@@ -102,3 +119,17 @@ def q_document_parts(spark, sf_dir):
     rows = services.select(F.when(opened, "service").otherwise("endpoint").alias("part"), F.when(opened, text("name")).otherwise(text("path")).alias("name"), F.when(opened, text("root_path")).otherwise(text("method")).alias("detail"))
     rows = rows.union(links.select(F.lit("connection"), text("source"), F.concat_ws("|", text("target"), text("source_file"))))
     return rows.union(shapes.select(F.lit("schema"), text("name"), text("extraction_method")))
+
+
+#: A glob for each part, and its pattern in DuckDB's SQL.
+GLOBS = """SELECT CASE k % 6 WHEN 0 THEN '**/f' || k || '.py' WHEN 1 THEN 'r' || (k % 25) || '/s' || (k % 25) || '/**' WHEN 2 THEN '**/s' || (k % 25) || '/**/*' || (k % 10) || '.js'
+  WHEN 3 THEN 'r' || (k % 25) || '/**/keep' || k || '*.tmp' WHEN 4 THEN '*/s' || (k % 25) || '/src/f*' || (k % 100) || '.j?' ELSE 'f?' || k || '.py' END AS mask, CASE k % 6 WHEN 0 THEN '^(?:.*/)?f' || k || '[.]py$' WHEN 1 THEN '^r' || (k % 25) || '/s' || (k % 25) || '/.*$'
+  WHEN 2 THEN '^(?:.*/)?s' || (k % 25) || '/(?:.*/)?.*' || (k % 10) || '[.]js$' WHEN 3 THEN '^r' || (k % 25) || '/(?:.*/)?keep' || k || '.*[.]tmp$' WHEN 4 THEN '^.*/s' || (k % 25) || '/src/f.*' || (k % 100) || '[.]j.$' ELSE '^f.' || k || '[.]py$' END AS pattern
+  FROM (SELECT p_partkey, CAST(p_partkey AS INT) AS k FROM {part})"""
+
+
+@query("q_glob_index", f"WITH leaves AS ({LEAVES.format(customer='customer')}), globs AS ({GLOBS.format(part='part')}) SELECT rel_path, mask FROM leaves JOIN (SELECT DISTINCT mask, pattern FROM globs) ON regexp_matches(rel_path, pattern)")
+def q_glob_index(spark, sf_dir):
+    """A glob for each part against a path for each customer."""
+    paths = spark.sql(LEAVES, customer=table(spark, sf_dir, "customer")).select("rel_path")
+    return globs.matched(paths, spark.sql(GLOBS, part=table(spark, sf_dir, "part")).select(F.col("mask").alias("glob")), []).select("rel_path", F.col("glob").alias("mask"))

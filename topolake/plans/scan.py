@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from topolake.functions import strings as S
 from topolake.lineage import cut
 from topolake.operators import config_files, libraries, manifests, refine, relations, routes, rules as rule_ops, wrappers
-from topolake.operators.functions_of import functions
+from topolake.operators.functions_of import cut_files, faults_in, functions_in
 from topolake.sources import document as parts
 
 #: Files of each language.
@@ -27,13 +27,12 @@ def language_of(path):
     return out
 
 
-def _ordered(parts: list[DataFrame], empty: DataFrame, order: list[str], stage: str = "0") -> DataFrame:
-    """Union with seq, text that sorts by place of discovery: stage, extractor, then ``order``."""
+def _ordered(parts: list[DataFrame], empty: DataFrame, order: list[str], stage: int = 0) -> DataFrame:
+    """Union with seq, the place of discovery: by stage, extractor, then ``order``."""
     found = empty.withColumn("_part", F.lit("00"))
     for i, part in enumerate(parts):
         found = found.unionByName(part.withColumn("_part", F.lit(f"{i:02d}")), allowMissingColumns=True)
-    keys = [F.lpad(F.col(c).cast("string"), 12, "0") if c == "rank" else F.coalesce(c, F.lit("")) for c in order]
-    return found.withColumn("seq", F.concat_ws("\t", F.lit(stage), "_part", *keys)).drop("_part")
+    return relations.numbered(found, ["_part", *order], "seq", stage << 48).drop("_part")
 
 
 def installed(sources: DataFrame, deps: DataFrame, rules: DataFrame) -> DataFrame:
@@ -64,8 +63,11 @@ def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None,
     schemas = _ordered(take("schemas"), empty["schemas"], ["rel_path", "name"])
 
     traced: list[DataFrame] = []
+    faults = config_files.faults(files).unionByName(manifests.faults(files)).unionByName(routes.faults(files))
     if rules is not None:
-        known = wrappers.trace(cut(functions(files)), cut(wrappers.seeds(rules, files)))
+        bodies = cut(cut_files(files))
+        faults = faults.unionByName(faults_in(bodies))
+        known = wrappers.trace(functions_in(bodies), cut(wrappers.seeds(rules, files)))
         traced = [wrappers.wrapper_calls(scoped.filter("language is not null"), known)]
     libs = manifests.dependencies(files)
     lib_names = {"node": "typescript"}
@@ -74,7 +76,7 @@ def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None,
     shown = spark.createDataFrame([], "dep string, protocol string") if libraries_at is None or rules is None else installed(libraries_at, spoken, rules)
     resolved = libraries.resolve(spoken, shown, manifests.cargo_lock(files).unionByName(manifests.gemfile_lock(files)).unionByName(none))
     found = [*([rule_ops.apply_rules(scoped, rules)] if rules is not None else []), libraries.import_connections(scoped, resolved), *traced]
-    code = cut(_ordered(found, empty["connections"], ["rank", "source_file"], "1"))
+    code = cut(_ordered(found, empty["connections"], ["rank", "source_file"], 1))
     config = _ordered([c.withColumn("rank", F.lit(0).cast("long")).drop("rel_path") for c in take("connections")], empty["connections"], ["source_file", "source_service", "target_name"])
     connections = cut(config.unionByName(relations.drop_covered_wrappers(code)).drop("rank"))
 
@@ -88,7 +90,7 @@ def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None,
         connections = relations.rename_services(connections, overrides, "source_service", "source_service")
     connections = relations.resolve_targets(relations.dedupe_connections(connections), endpoints)
     connections = refine.refine_with(connections, embed, *anchors)
-    return {"services": services.drop("rel_path"), "endpoints": endpoints.drop("rel_path"), "connections": connections, "schemas": schemas.drop("rel_path"), "faults": config_files.faults(files)}
+    return {"services": services.drop("rel_path"), "endpoints": endpoints.drop("rel_path"), "connections": connections, "schemas": schemas.drop("rel_path"), "faults": faults}
 
 
 def document_lines(found: dict[str, DataFrame]) -> DataFrame:

@@ -139,6 +139,12 @@ def texts(folder: str) -> Iterator[str]:
     yield ',\n"actors":[]}\n'
 
 
+def counts(folder: str) -> dict[str, int]:
+    """Lines of each section, from the manifest alone."""
+    sections = json.loads(Path(folder, MANIFEST).read_text())["sections"]
+    return {name: sum(part["lines"] for part in own) for name, own in sections.items()}
+
+
 def join(folder: str, target: str) -> str:
     """The document as one file, copied a piece at a time."""
     with open(target, "w", encoding="utf-8") as file:
