@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from topolake.llm import embed_dedup, langid, minhash, packing, quality, queries, token_count
-from topolake.llm.components import connected
+from topolake.llm.components import connected, mixed_units
 from topolake.llm.store import Workspace
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -342,3 +342,33 @@ def test_pipeline(spark, tmp_path):
     assert seen[0] >= seen[1] == seen[2] and len(seen) == 5
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert run.select("doc_id", "length").exceptAll(docs.select("doc_id", "length")).count() == 0
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    texts = ["the same words stand here twice and once more"] * 3 + [f"{w} other words in a row that nobody repeats {w}" for w in "abc"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 7, f"x{i}", i, "m") for i, t in enumerate(texts)], f"{DOC}, _one_key int, `a.b` string, row int, mark string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs.union(docs.filter("doc_id = 0"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert (r["_one_key"], r["a.b"], r["row"], r["mark"]) == (7, f"x{r['doc_id']}", r["doc_id"], "m")
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(docs).collect()) == [0, 3, 4, 5]
+
+
+def test_heavy_nodes_make_units_smaller(spark):
+    members = spark.createDataFrame([(1, n, n % 3) for n in range(60)], "bucket long, node long, label long")
+    weights = spark.createDataFrame([(n, 0.1) for n in range(60)], "node long, weight double")
+    light, heavy = mixed_units(members), mixed_units(members, weights)
+    pairs = lambda units: {(min(a, b), max(a, b)) for rows in units for a, x in rows[0] for b, y in rows[1] if x != y}
+    sides = lambda df: [tuple([(r["node"], r["label"]) for r in own if r["side"] == side] for side in (0, 1)) for own in _by_unit(df.collect())]
+    assert pairs(sides(light)) == pairs(sides(heavy)) == {(b, a) for a in range(60) for b in range(a) if a % 3 != b % 3}
+    assert max(len(r[1]) for r in sides(light)) == 60 and max(len(r[1]) for r in sides(heavy)) < 25
+
+
+def _by_unit(rows):
+    units = {}
+    for r in rows:
+        units.setdefault((r["u1"], r["u2"], r["u3"]), []).append(r)
+    return units.values()

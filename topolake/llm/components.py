@@ -14,13 +14,11 @@ def connected(links: DataFrame, ws: Workspace) -> DataFrame:
     """(node, label) of every node in links (a, b): the least node it is joined with.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): every round is two
-    aggregations by node and writes the edges anew, until they stay the same.
+    aggregations by node and writes the edges anew, until each component is a star around its least node.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-    mark = F.struct(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))))
     edges = ws.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    before = None
-    while (now := tuple(edges.agg(mark.alias("m")).first()["m"])) != before:
+    while not _stars(edges):
         near = both(edges)
         least = near.groupBy("u").agg(F.min("v").alias("least"))
         large = near.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.least("u", "least").alias("b")).distinct()
@@ -28,10 +26,17 @@ def connected(links: DataFrame, ws: Workspace) -> DataFrame:
         small = large.join(lowest, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest)
         after = ws.keep(small.distinct(), "edges")
         ws.drop(edges)
-        before, edges = now, after
+        edges = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of edges (a, b), a > b, has one edge upwards and none downwards, or only such as lead to it."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or up = 1 and down > 0")
+    return odd.agg(F.count("*")).first()[0] == 0
+
+
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """Of (bucket, node), those in buckets of two or more, with the bucket's least node as leader."""
     stats = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1").drop("size")

@@ -304,22 +304,28 @@ def judged(docs: DataFrame, width: int, percent: int, key: str, text: str, ws: W
         stars = star_units(pairs, sets.select("node", (F.col("n") + ROW).alias("weight")), UNIT)
         return ws.keep(star_links(stars.join(sets.select("node", "shingles"), "node"), percent), "links")
 
-    links = compared(best_leaders(members))
-    for turn in range(MORE_LEADERS + 1):
+    def joined(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         labels = ws.keep(connected(links, ws), "labels")
-        labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        if turn < MORE_LEADERS:
-            links = ws.keep(links.union(compared(other_leaders(labelled))), "links")
+        return labels, members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+
+    links = compared(best_leaders(members))
+    labels, labelled = joined(links)
+    for _ in range(MORE_LEADERS):
+        found = compared(other_leaders(labelled))
+        if found.isEmpty():  # components stay as they are
+            break
+        links = ws.keep(links.union(found), "links")
+        labels, labelled = joined(links)
     units = mixed_units(labelled, sets.select("node", ((F.col("n") + ROW) / F.lit(float(UNIT))).alias("weight"))).join(sets.select("node", "n", "regs"), "node")
     need = ws.keep(possible(units, per_band, percent), "possible")
     more = ws.keep(mixed_links(need.join(sets, "node"), per_band, percent), "links")
-    final = ws.keep(connected(links.union(more), ws), "labels")
+    final = labels if more.isEmpty() else ws.keep(connected(links.union(more), ws), "labels")
     ws.drop(sets, members, need)
 
     component = classes.select("node", "key", "mark").join(final, "node", "left").select("node", "key", "mark", F.coalesce("label", "node").alias("label"))
     least = component.groupBy("label").agg(F.min(F.struct("key", "mark")).alias("least"))
     of_node = ws.keep(component.join(least, "label").select("node", F.col("least.key").alias("least"), F.col("least.mark").alias("least_mark")), "components")
-    ws.drop(labels, links, more, final, wanted)
+    ws.drop(links, more, wanted, *{t.kept_path: t for t in (labels, final)}.values())
     return sketches.select("key", "mark", "n", F.when(F.col("key").isNotNull(), F.col("node")).alias("node")).join(of_node, "node", "left")
 
 
