@@ -5,7 +5,7 @@ Each stage reads what the one before it kept, as a written table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from topolake.llm import minhash, mixing, packing, quality, secret_scan
 from topolake.llm.queries import tokenizer_path
@@ -33,7 +33,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: all sources in equal shares, as many documents as before; rows that share an id draw apart."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
