@@ -29,7 +29,7 @@ def unquoted(token: Column) -> Column:
 def tokens(files: DataFrame, keep: list[str]) -> DataFrame:
     """files (keep, content, rel_path) once a token, with pos and token; blanks within names go."""
     text = F.when(F.col("rel_path").endswith(".rs"), F.regexp_extract_all("content", F.lit(RUST_TOKEN), F.lit(0))).otherwise(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0)))
-    rows = files.select(*keep, F.posexplode(text).alias("pos", "token"))
+    rows = files.select(*keep, F.posexplode_outer(text).alias("pos", "token")).filter("token is not null")  # outer: else texts are cut once more to see that there are tokens
     return rows.withColumn("token", F.when(F.col("token").rlike(r"^[@.A-Za-z_$][^\"'`]*$"), F.regexp_replace("token", r"\s+", "")).otherwise(F.col("token")))
 
 

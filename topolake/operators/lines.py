@@ -40,7 +40,8 @@ def split_lines(content: Column) -> Column:
 def lines_of(files: DataFrame, content: str = "content") -> DataFrame:
     """files without content, once per line, with line_no from 1 and line."""
     keep = [c for c in files.columns if c != content]
-    return files.select(*keep, F.posexplode(split_lines(F.col(content))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    each = files.select(*keep, F.posexplode_outer(split_lines(F.col(content))).alias("line_no", "line"))  # outer: else texts are split once more to see that there are lines
+    return each.filter("line is not null").withColumn("line_no", F.col("line_no") + 1)
 
 
 def is_comment(line: Column) -> Column:

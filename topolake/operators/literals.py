@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from topolake.lineage import cut
+
 WORD = "[A-Za-z0-9_]+"
 GRAM = 4
 #: Bytes of a table that is broadcast, at most; a larger one is joined by shuffle.
@@ -44,9 +46,12 @@ def filed(literals: DataFrame, by: list[str]) -> DataFrame:
     return each.join(shared, [*by, "key"]).groupBy(*by, "literal").agg(F.min_by("key", rank).alias("key"))
 
 
-def line_keys(line: Column, lengths: dict[str, list[int]]) -> Column:
-    """The distinct keys under which literals that a line contains may be filed.  lengths: of each kind, the lengths of pieces in use."""
-    words = F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
+def words_of(line: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
+
+
+def line_keys(line: Column, words: Column, lengths: dict[str, list[int]]) -> Column:
+    """The distinct keys under which literals that a line with these words contains may be filed.  lengths: of each kind, the lengths of pieces in use."""
     fits = lambda kind, w: F.filter(F.array(*map(F.lit, lengths[kind])), lambda n: n <= F.length(w))
     grams = lambda kind, text: F.flatten(F.transform(fits(kind, text), lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.concat(F.lit(kind), F.substring(text, i, n)))))
     parts = {
@@ -62,9 +67,10 @@ def line_keys(line: Column, lengths: dict[str, list[int]]) -> Column:
 
 def hits(lines: DataFrame, literals: DataFrame, by: list[str]) -> DataFrame:
     """lines (by, line, ...) once for each of the distinct literals (by, literal) that the line contains, with ``literal``."""
-    index = filed(literals, by)
+    index = cut(filed(literals, by))
     kinds = index.groupBy(F.left("key", F.lit(1)).alias("kind")).agg(F.collect_set(F.length("key") - 1).alias("lengths")).collect()  # as many numbers as pieces have lengths
     if not kinds:
         return lines.limit(0).withColumn("literal", F.lit(None).cast("string"))
-    keyed = lines.withColumn("key", F.explode(line_keys(F.col("line"), {r["kind"]: sorted(r["lengths"]) for r in kinds})))
+    keys = line_keys(F.col("line"), F.col("_words"), {r["kind"]: sorted(r["lengths"]) for r in kinds})
+    keyed = lines.withColumn("_words", words_of(F.col("line"))).withColumn("key", F.explode_outer(keys)).drop("_words")  # outer: else the keys would be made once more to see that there are some
     return keyed.join(small(index), [*by, "key"]).filter(F.contains("line", "literal")).drop("key")

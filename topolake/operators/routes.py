@@ -153,7 +153,7 @@ def call_routes(files: DataFrame) -> DataFrame:
             F.lit(f.confidence).alias("confidence"), F.lit(f.tag).alias("extraction_method"), F.lit(f.name).alias("framework"),
         ]
         rows.append(F.when(fits, F.struct(*values)))
-    each = found.select("rel_path", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r"))
+    each = found.select("rel_path", F.explode_outer(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).filter("r is not null")  # outer: else all frameworks are tried once more to see that there is a route
     return each.select("r.service_name", "r.method", "r.path", "r.handler", "r.kind", "r.confidence", "r.extraction_method", "rel_path", "r.framework")
 
 
