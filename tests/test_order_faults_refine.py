@@ -74,6 +74,21 @@ def test_hashed_embedding(spark):
     assert refine.hashed_embedding(df.limit(0), "text").count() == 0
 
 
+def shuffled(spark):
+    each = spark._jsc.sc().statusStore().executorList(False)
+    return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+
+def test_hashed_embedding_of_many_texts_shuffles_rare_grams_alone(spark):
+    usual = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*usual, f"own{i}", f"pair{i // 2}", usual[i % 7]]) for i in range(2500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    before = shuffled(spark)
+    got = {r["text"]: r["embedding"] for r in refine.hashed_embedding(df, "text", 16).collect()}
+    assert got == plain_embeddings(texts, 16)
+    assert shuffled(spark) - before < 4 * sum(map(len, texts))  # each of 600 grams with its text would be a hundred times that
+
+
 def test_refinement_by_known_texts(spark):
     service, noise = ["requests.get(url)", "httpx.post(url, body)", "client.get(url)"], ["log.debug(x)", "print(x)", "assert x == y"]
     rows = [(i, "rest", "d", t, "medium") for i, t in enumerate(["requests.post(url)", "print(y)", None])]

@@ -20,6 +20,8 @@ log = logging.getLogger("topolake")
 HIGH, MEDIUM = 0.68, 0.42
 #: Dimensions of a hashed embedding, and the seed of its projection.
 DIMENSIONS, SEED = 64, 17
+#: A gram is common if more than this part of all texts holds it: at most as many grams as this many texts have.
+COMMON = 1000
 
 
 def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
@@ -72,29 +74,51 @@ def refine_with(connections: DataFrame, embed: Callable[[DataFrame, str], DataFr
     return refine(embedded, service, noise).drop("_text", "embedding")
 
 
-def grams(text: Column) -> Column:
-    """Words and pairs of neighbouring words, A-Z in lower case."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+def grams(words: Column) -> Column:
+    """Words and pairs of neighbouring words."""
     return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words) + 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def _entries(rows: DataFrame, text: str, dimensions: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (t, id) and the entries (id, at, x) of their embeddings; a text without words has none.
+
+    Grams that many texts hold are few and broadcast; only the others go through a shuffle, with the number of a text in its place.
+    """
+    texts = cut(rows.select(F.col(text).alias("t")).filter("t is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
+    n = texts.count()
+    words = texts.select("id", F.regexp_extract_all(F.lower("t"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))  # A-Z in lower case
+    each = lambda found: words.select("id", F.explode_outer(found).alias("gram")).filter("gram is not null")  # noqa: E731 (outer: else grams are made once more to see that there are some)
+    held = each(F.array_distinct(grams(F.col("w")))).groupBy("gram").agg(F.count("*").alias("df"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), "gram"))
+    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("long")
+    weight = F.floor(1000 * F.log((2 * n + 2) / (2 * F.col("df") + 1)))
+    placed = cut(held.select("gram", "df", (number(1, 8) % dimensions).alias("at"), (weight * (1 - 2 * (number(9, 1) % 2))).alias("x")))
+    often = F.col("df") > n // COMMON
+    common = literals.small(placed.filter(often).drop("df"))
+    said = each(grams(F.col("w")))
+    near = said.join(common, "gram").select("id", "at", "x")
+    far = said.join(common.select("gram"), "gram", "left_anti").join(placed.filter(~often), "gram").select("id", "at", "x")
+    return texts, near.union(far).repartition("id").groupBy("id", "at").agg(F.sum("x").alias("x"))
+
+
+def embedding_entries(rows: DataFrame, text: str, dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """(t, at, x): the entries of ``hashed_embedding`` that some gram falls into, once for each distinct text; an x may be 0."""
+    texts, entries = _entries(rows, text, dimensions, seed)
+    return texts.join(entries, "id").select("t", "at", "x")
+
+
 def hashed_embedding(rows: DataFrame, text: str, dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """rows with ``embedding``: words and pairs of a text, weighed by their rarity over all distinct texts, on a seeded random projection.
 
     A gram's digest gives its dimension and sign; its weight is floor(1000 * ln((2N + 2) / (2df + 1))), so entries are whole numbers and sums are exact.
-    Equal texts are embedded once.  A text without words has zeros, a null one null.
+    Equal texts are embedded once, and joined to the rows before entries become vectors.  A text without words has zeros, a null one null.
     """
-    texts = cut(rows.select(F.col(text).alias("t")).filter("t is not null").distinct())
-    own = texts.select("t", F.explode(grams(F.col("t"))).alias("gram")).groupBy("t", "gram").agg(F.count("*").alias("tf"))
-    held = own.groupBy("gram").agg(F.count("*").alias("df"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), "gram"))
-    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("long")
-    weight = F.floor(1000 * F.log((2 * texts.count() + 2) / (2 * F.col("df") + 1)))
-    placed = own.join(literals.small(held), "gram").select("t", (number(1, 8) % dimensions).alias("at"), (F.col("tf") * weight * (1 - 2 * (number(9, 1) % 2))).alias("x"))
-    sums = placed.groupBy("t", "at").agg(F.sum("x").alias("x")).groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
-    entry = lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")
-    vectors = texts.join(sums, "t", "left").select(F.col("t").alias("_t"), F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long")), lambda i: F.when(F.col("m").isNull(), 0.0).otherwise(entry(i))).alias("embedding"))
-    return rows.join(vectors, F.col(text) == F.col("_t"), "left").drop("_t")
+    texts, entries = _entries(rows, text, dimensions, seed)
+    sums = entries.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("_m"))
+    joined = rows.join(texts.join(sums, "id").select(F.col("t").alias("_t"), "_m"), F.col(text) == F.col("_t"), "left")
+    entry = lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)).cast("double")
+    vector = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long")), entry)
+    return joined.withColumn("embedding", F.when(F.col(text).isNotNull(), vector)).drop("_t", "_m")
 
 
 def refine_by_texts(connections: DataFrame, anchors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
