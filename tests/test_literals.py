@@ -1,6 +1,7 @@
 """The index of literals, and what is built on it, against plain loops."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -91,3 +92,12 @@ def test_globs_equal_a_plain_search(spark):
     assert got.columns == ["rel_path", "n", "glob"]
     key = {r["glob"]: r["key"][0] for r in globs.filed(spark.createDataFrame([("**/only.py",), ("src/**",), ("**/*.go",), ("*",)], "glob string"), []).collect()}
     assert key == {"**/only.py": "n", "src/**": "d", "**/*.go": "x", "*": "a"}
+
+
+def test_globs_are_filed_under_ends_and_beginnings_around_wildcards(spark):
+    wanted = [f"f?{i}.py" for i in range(30)] + [f"src/**/keep{i}*.tmp" for i in range(30)] + ["*/lib/f*.j?", "x**/y.c"]
+    key = {r["glob"]: r["key"] for r in globs.filed(spark.createDataFrame([(w,) for w in wanted], "glob string"), []).collect()}
+    assert key["f?7.py"] == "x7.py" and key["src/**/keep7*.tmp"] == "hkeep7" and key["*/lib/f*.j?"] == "clib" and key["x**/y.c"] != "ny.c"
+    paths = ["fa7.py", "a/f/7.py", "src/keep7.tmp", "src/a/keep29/b.tmp", "src/akeep7.tmp", "r/lib/fx.js", "r/lib/z.js", "xy.c", "x/a/y.c", "y.c"]
+    got = globs.matched(spark.createDataFrame([(p,) for p in paths], "rel_path string"), spark.createDataFrame([(w,) for w in wanted], "glob string"), [])
+    assert sorted(map(tuple, got.collect())) == sorted((p, w) for p in paths for w in wanted if re.search(S.glob_regex(w), p)) != []
