@@ -23,6 +23,28 @@ def test_hits_equal_a_plain_search(spark):
     assert literals.hits(rows, none, ["language"]).count() == 0 and literals.hits(rows.limit(0), none, ["language"]).count() == 0
 
 
+def test_few_literals_and_words_that_many_lines_have(spark, monkeypatch):
+    rng = random.Random(4)
+    lines = [(i, "x", " ".join(rng.choice(["send", "resend", "a.send(", f"call{rng.randrange(300)}(", "::"]) for _ in range(6))) for i in range(400)]
+    wanted = ["send", "send(", ".send(", "::", ""] + [f"call{i}(" for i in range(60)]
+    rows = spark.createDataFrame(lines, "n int, language string, line string")
+    want = sorted((n, w) for n, _, line in lines for w in wanted if w in line)
+    for few in (0, 1000):
+        monkeypatch.setattr(literals, "FEW", few)
+        got = literals.hits(rows, spark.createDataFrame([("x", w) for w in wanted], "language string, literal string"), ["language"])
+        assert sorted((r["n"], r["literal"]) for r in got.collect()) == want and got.columns == ["language", "n", "line", "literal"]
+
+
+def test_a_gate_of_many_rules_is_not_joined_to_all_of_them(spark, monkeypatch):
+    made = []
+    join = type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, other, on=None, how=None: made.append((set(self.columns), set(other.columns), on)) or join(self, other, on, how))
+    rules = spark.createDataFrame([rule(i, f"call{i}(", ["import lib"]) for i in range(40)], rule_ops.RULE)
+    files = spark.createDataFrame([("a.py", "python", "s", "import lib\ncall3(x)"), ("b.py", "python", "s", "call3(x)")], "rel_path string, language string, service string, content string")
+    assert [r["source_file"] for r in rule_ops.apply_rules(files, rules).collect()] == ["a.py:2"]
+    assert not [on for left, right, on in made if on == ["language", "literal"] and left == {"rel_path", "language", "literal"} and "id" in right]
+
+
 def test_a_literal_is_filed_once_under_a_rare_piece(spark):
     wanted = [(f"client.call_{i}(",) for i in range(50)] + [("requests.get(",), ("get(",), ("plain",), ("::",)]
     got = {r["literal"]: r["key"] for r in literals.filed(spark.createDataFrame(wanted, "literal string"), []).collect()}

@@ -148,7 +148,9 @@ def apply_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     at = at.filter((F.size(globs) == 0) | F.exists(globs, lambda g: F.rlike("rel_path", g))).drop("file_patterns", "literal")
     ungated = F.coalesce(F.size("import_gate"), F.lit(0)) <= 0
     shown = shown_gates(own, gates, ["rel_path", "language"], met)
-    opened = shown.join(literals.small(gates), ["language", "literal"]).select("rel_path", "language", "id", "ord").distinct()
+    # only gates of rules that a file meets: a gate may be that of any number of rules
+    asked = at.filter(~ungated).select("rel_path", "language", "id", "ord", F.explode("import_gate").alias("literal")).distinct()
+    opened = asked.join(shown, ["rel_path", "language", "literal"], "left_semi").select("rel_path", "language", "id", "ord").distinct()
     passed = at.filter(ungated).union(at.filter(~ungated).join(opened, ["rel_path", "language", "id", "ord"], "left_semi").select(at.columns)).select("rel_path", "line_no", "id", "ord", "d_ord", "d")
     chosen = files.join(passed.select("rel_path").distinct(), "rel_path", "left_semi")
     lines = with_env_defaults(with_docstrings(lines_of(chosen), "rel_path"))
