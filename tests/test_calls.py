@@ -76,3 +76,14 @@ def test_routes(spark, name):
     if name == "actix":
         rows = {(m, p, None if p == "/a/{id}" else h) for m, p, h in rows}
     assert rows == want and len(got) == len(want) and {r["service_name"] for r in got} == {"s"}
+
+
+def test_tokens_are_not_shuffled(spark):
+    each = spark._jsc.sc().statusStore().executorList
+    shuffled = lambda: sum(each(False).apply(i).totalShuffleWrite() for i in range(each(False).size()))
+    rows = [(f"a{i}.ts", "app.get('/x', one, two(three, [4]));\n" * 400, "s") for i in range(40)]
+    files = spark.createDataFrame(rows, "rel_path string, content string, service string").repartition(3).persist()
+    assert files.count() == 40
+    before = shuffled()
+    assert R.call_routes(files).filter("path = '/x'").count() == 16_000 and shuffled() - before < 100_000
+    files.unpersist()

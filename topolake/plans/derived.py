@@ -87,9 +87,12 @@ DERIVED = {
 }
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, name: str, spread: str | None = None) -> DataFrame:
+    """The rows of that name.  spread: a key of the table that they come from, by which its rows are dealt out first where what follows needs more tasks than the table has parts."""
     sql = DERIVED[name]
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in re.findall(r"\{(\w+)\}", sql.replace("{{", "").replace("}}", ""))})
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = lambda t: table(spark, sf_dir, t).repartition(parts, spread) if spread else table(spark, sf_dir, t)
+    return spark.sql(sql, **{t: read(t) for t in re.findall(r"\{(\w+)\}", sql.replace("{{", "").replace("}}", ""))})
 
 
 def ctes(*names: str) -> str:
