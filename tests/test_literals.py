@@ -123,3 +123,16 @@ def test_globs_are_filed_under_ends_and_beginnings_around_wildcards(spark):
     paths = ["fa7.py", "a/f/7.py", "src/keep7.tmp", "src/a/keep29/b.tmp", "src/akeep7.tmp", "r/lib/fx.js", "r/lib/z.js", "xy.c", "x/a/y.c", "y.c"]
     got = globs.matched(spark.createDataFrame([(p,) for p in paths], "rel_path string"), spark.createDataFrame([(w,) for w in wanted], "glob string"), [])
     assert sorted(map(tuple, got.collect())) == sorted((p, w) for p in paths for w in wanted if re.search(S.glob_regex(w), p)) != []
+
+
+def test_call_sites_do_not_come_to_the_driver(spark):
+    n = F.col("id").cast("string")
+    body = F.concat(F.lit("def f(x):\n"), F.when(F.col("id") == 7, "  send(x)").otherwise(F.concat(F.lit("  some_rather_long_name_of_an_other_function_"), n, F.lit("(x)"))))
+    functions = spark.range(60_000).select(F.lit("python").alias("language"), F.concat(F.lit("func_"), n).alias("name"), body.alias("body"), F.col("id").alias("file_ord"))
+    known = spark.createDataFrame([("python", "send", "rest", 0, ["send"], "d")], "language string, name string, protocol string, depth int, chain array<string>, dependency string")
+    conf = spark._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "1m")
+    try:
+        assert sorted(r["name"] for r in wrappers.trace(functions, known).collect()) == ["func_7", "send"]
+    finally:
+        conf.remove("spark.driver.maxResultSize")

@@ -97,7 +97,7 @@ def _entries(rows: DataFrame, text: str, dimensions: int, seed: int) -> tuple[Da
     common = literals.small(placed.filter(often).drop("df"))
     said = each(grams(F.col("w")))
     near = said.join(common, "gram").select("id", "at", "x")
-    far = said.join(common.select("gram"), "gram", "left_anti").join(placed.filter(~often), "gram").select("id", "at", "x")
+    far = said.join(common.select("gram"), "gram", "left_anti").join(literals.small(placed.filter(~often)), "gram").select("id", "at", "x")
     return texts, near.union(far).repartition("id").groupBy("id", "at").agg(F.sum("x").alias("x"))
 
 
