@@ -104,3 +104,9 @@ def test_refinement_by_known_texts(spark):
     assert got[0]["confidence"] == "high" and got[1]["confidence"] == "low" and got[2]["confidence"] == "medium" and got[2]["ml_reasoning"] == "no_evidence"
     assert got[0]["ml_confidence"] > 0.6 > got[1]["ml_confidence"]
     assert refine.refine_by_texts(links, anchors.filter("is_service")).columns == links.columns
+
+
+def test_deduplication_of_equal_places_does_not_hang_on_order(spark):
+    rows = [("a", "f:1", "rest", "t", "pattern:x", 5), ("b", "f:1", "rest", "t", "pattern:y", 5), ("c", "f:1", "rest", "t", "wrapper_trace:w", 1)]
+    made = lambda own: relations.dedupe_connections(spark.createDataFrame(own, "source_service string, source_file string, protocol string, target_name string, extraction_method string, seq long").coalesce(1)).collect()
+    assert made(rows) == made(rows[::-1]) and made(rows)[0]["source_service"] == "a"
