@@ -55,7 +55,8 @@ def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None,
     """
     files = cut(files.withColumn("language", language_of(F.col("rel_path"))).withColumn("file_ord", F.pmod(F.xxhash64("rel_path"), F.lit(1 << 55))))
     empty = {n: spark.createDataFrame([], s) for n, s in (("services", SERVICE), ("endpoints", ENDPOINT), ("connections", CONNECTION), ("schemas", SCHEMA))}
-    configs = [f(files) for n, f in config_files.EXTRACTORS.items() if only is None or n in only]
+    docs = cut(config_files.documents(files))
+    configs = [f(files, docs) for n, f in config_files.EXTRACTORS.items() if only is None or n in only]
     take = lambda name: [c[name] for c in configs if name in c]
     services = cut(_ordered(take("services"), empty["services"], ["rel_path", "name"]))
     scoped = cut(relations.scope(files, services))
@@ -63,7 +64,7 @@ def scan(spark: SparkSession, files: DataFrame, rules: DataFrame | None = None,
     schemas = _ordered(take("schemas"), empty["schemas"], ["rel_path", "name"])
 
     traced: list[DataFrame] = []
-    faults = config_files.faults(files).unionByName(manifests.faults(files)).unionByName(routes.faults(files))
+    faults = config_files.faults(files, docs).unionByName(manifests.faults(files)).unionByName(routes.faults(files))
     if rules is not None:
         bodies = cut(cut_files(files))
         faults = faults.unionByName(faults_in(bodies))
