@@ -3,6 +3,7 @@
 import pytest
 
 from topolake.operators import calls as C, routes as R
+from topolake.plans.catalog import QUERIES
 
 
 def found(spark, path, text, callee=".*"):
@@ -87,3 +88,56 @@ def test_tokens_are_not_shuffled(spark):
     before = shuffled()
     assert R.call_routes(files).filter("path = '/x'").count() == 16_000 and shuffled() - before < 100_000
     files.unpersist()
+
+
+RUBY = ("config/routes.rb", "get '/status'\nresources :books\nresource :profile\n", "s"), ("Gemfile", "gem 'rails'", None)
+NEXT = ("app/users/route.ts", "export function GET() {}", None), ("net.go", 'http.HandleFunc("/raw", raw)', "s"), ("B.cs", 'app.MapPost("/b", () => 1);', None), ("b.csproj", "Microsoft.AspNetCore", None)
+METHODS = ["ast_express", "go-http-handlefunc", "csharp-minimal-api", "ast_rails_resources", "ast_rails_route", "nextjs_api_routes", "ast_axum_route", "java_spring_boot"]
+
+
+def tree(spark):
+    rows = [r for i, (path, manifest, marker, text, _) in enumerate(CASES.values()) for r in ((f"d{i}/{path}", text, "s"), (f"d{i}/{manifest}", marker, None))]
+    return spark.createDataFrame([*rows, *RUBY, *NEXT], "rel_path string, content string, service string")
+
+
+def test_routes_of_some_methods_are_those_of_all(spark):
+    files = tree(spark).persist()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    of_all = R.routes(files).collect()
+    for method in METHODS:
+        assert rows(R.routes(files, [method])) == sorted(repr(r) for r in of_all if r["extraction_method"] == method) != []
+    assert rows(R.routes(files, METHODS[:5])) == sorted(repr(r) for r in of_all if r["extraction_method"] in METHODS[:5])
+    with pytest.raises(ValueError, match="ast_none"):
+        R.routes(files, ["ast_none"])
+    files.unpersist()
+
+
+def test_only_calls_that_may_be_routes_leave_a_file(spark):
+    files = spark.createDataFrame([("a.ts", "app.get('/x', log.to(one)); res.send(two)", 0), ("a.go", "app.get('/x', one); res.send(two)", 1)], "rel_path string, content string, kind int")
+    got = C.calls(files, r"\.", ["kind"], kinds=("kind", [r"^app\.", r"\.send$"])).collect()
+    assert {(r["rel_path"], r["callee"], "".join(r["args"])) for r in got} == {("a.ts", "app.get", "'/x',log.to(one)"), ("a.go", "res.send", "two")}
+
+
+@pytest.mark.parametrize(("methods", "most"), [(None, 6), (["ast_express"], 2), (["nextjs_api_routes"], 1)])
+def test_files_are_read_once_a_part_and_once_for_gates(spark, methods, most):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    files = tree(spark)
+    n = files.count()
+    R.routes(files.mapInArrow(counted, files.schema), methods).collect()
+    assert 0 < read.value <= most * n
+
+
+@pytest.mark.parametrize(("name", "ends"), [("q_express", (".ts", ".js"))])
+def test_a_query_cuts_calls_out_of_its_own_files_alone(spark, tmp_path, monkeypatch, name, ends):
+    spark.sql("SELECT 3L AS s_suppkey UNION ALL SELECT 9L").write.parquet(f"{tmp_path}/supplier.parquet")
+    seen = []
+    monkeypatch.setattr(R, "calls", lambda own, *more: seen.append(own) or C.calls(own, *more))
+    assert QUERIES[name](spark, str(tmp_path)).count() > 0
+    paths = [r["rel_path"] for own in seen for r in own.select("rel_path").collect()]
+    assert all(p.endswith(ends) for p in paths) and bool(paths) == bool(ends)
