@@ -118,7 +118,7 @@ def test_only_calls_that_may_be_routes_leave_a_file(spark):
     assert {(r["rel_path"], r["callee"], "".join(r["args"])) for r in got} == {("a.ts", "app.get", "'/x',log.to(one)"), ("a.go", "res.send", "two")}
 
 
-@pytest.mark.parametrize(("methods", "most"), [(None, 6), (["ast_express"], 2), (["nextjs_api_routes"], 1)])
+@pytest.mark.parametrize(("methods", "most"), [(None, 6), (["ast_express"], 2), (["ast_rails_resources"], 2), (["nextjs_api_routes"], 1)])
 def test_files_are_read_once_a_part_and_once_for_gates(spark, methods, most):
     read = spark.sparkContext.accumulator(0)
 
@@ -133,7 +133,7 @@ def test_files_are_read_once_a_part_and_once_for_gates(spark, methods, most):
     assert 0 < read.value <= most * n
 
 
-@pytest.mark.parametrize(("name", "ends"), [("q_express", (".ts", ".js"))])
+@pytest.mark.parametrize(("name", "ends"), [("q_express", (".ts", ".js")), ("q_rails_resources", ())])
 def test_a_query_cuts_calls_out_of_its_own_files_alone(spark, tmp_path, monkeypatch, name, ends):
     spark.sql("SELECT 3L AS s_suppkey UNION ALL SELECT 9L").write.parquet(f"{tmp_path}/supplier.parquet")
     seen = []
