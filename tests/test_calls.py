@@ -133,7 +133,7 @@ def test_files_are_read_once_a_part_and_once_for_gates(spark, methods, most):
     assert 0 < read.value <= most * n
 
 
-@pytest.mark.parametrize(("name", "ends"), [("q_express", (".ts", ".js")), ("q_rails_resources", ()), ("q_minimal_api", (".cs",))])
+@pytest.mark.parametrize(("name", "ends"), [("q_express", (".ts", ".js")), ("q_rails_resources", ()), ("q_minimal_api", (".cs",)), ("q_nethttp", (".go",))])
 def test_a_query_cuts_calls_out_of_its_own_files_alone(spark, tmp_path, monkeypatch, name, ends):
     spark.sql("SELECT 3L AS s_suppkey UNION ALL SELECT 9L").write.parquet(f"{tmp_path}/supplier.parquet")
     seen = []
