@@ -2,7 +2,7 @@
 
 import pytest
 
-from topolake.operators import calls as C, routes as R
+from topolake.operators import calls as C, relations, routes as R
 from topolake.plans.catalog import QUERIES
 
 
@@ -141,3 +141,26 @@ def test_a_query_cuts_calls_out_of_its_own_files_alone(spark, tmp_path, monkeypa
     assert QUERIES[name](spark, str(tmp_path)).count() > 0
     paths = [r["rel_path"] for own in seen for r in own.select("rel_path").collect()]
     assert all(p.endswith(ends) for p in paths) and bool(paths) == bool(ends)
+
+
+@pytest.mark.parametrize(("name", "ends"), [("q_rails_resources", ("/routes.rb",))])
+def test_a_query_places_files_it_looks_into_alone(spark, tmp_path, monkeypatch, name, ends):
+    spark.sql("SELECT 3L AS s_suppkey UNION ALL SELECT 9L").write.parquet(f"{tmp_path}/supplier.parquet")
+    seen, scope = [], relations.scope
+    watched = lambda files, services: seen.append(files) or scope(files, services)
+    monkeypatch.setattr(relations, "scope", watched)
+    monkeypatch.setattr(R, "scope", watched, raising=False)
+    assert QUERIES[name](spark, str(tmp_path)).count() > 0
+    paths = [r["rel_path"] for files in seen for r in files.select("rel_path").collect()]
+    assert paths and all(p.endswith(ends) for p in paths)
+
+
+def test_placed_routes_are_those_of_all_files_placed(spark):
+    files = tree(spark).drop("service").persist()
+    services = spark.createDataFrame([("d0", "one", 1), ("d1", "other", 2), ("config", "rb", 3), ("", "top", 4)], "root_path string, name string, seq int")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    all_placed = relations.scope(files, services).persist()
+    for methods in [None, *([m] for m in METHODS)]:
+        assert rows(R.routes(files, methods, services)) == rows(R.routes(all_placed, methods)) != []
+    files.unpersist()
+    all_placed.unpersist()
