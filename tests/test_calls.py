@@ -143,7 +143,7 @@ def test_a_query_cuts_calls_out_of_its_own_files_alone(spark, tmp_path, monkeypa
     assert all(p.endswith(ends) for p in paths) and bool(paths) == bool(ends)
 
 
-@pytest.mark.parametrize(("name", "ends"), [("q_rails_resources", ("/routes.rb",))])
+@pytest.mark.parametrize(("name", "ends"), [("q_rails_resources", ("/routes.rb",)), ("q_minimal_api", (".cs",))])
 def test_a_query_places_files_it_looks_into_alone(spark, tmp_path, monkeypatch, name, ends):
     spark.sql("SELECT 3L AS s_suppkey UNION ALL SELECT 9L").write.parquet(f"{tmp_path}/supplier.parquet")
     seen, scope = [], relations.scope
