@@ -143,7 +143,7 @@ def test_a_query_cuts_calls_out_of_its_own_files_alone(spark, tmp_path, monkeypa
     assert all(p.endswith(ends) for p in paths) and bool(paths) == bool(ends)
 
 
-@pytest.mark.parametrize(("name", "ends"), [("q_rails_resources", ("/routes.rb",)), ("q_minimal_api", (".cs",))])
+@pytest.mark.parametrize(("name", "ends"), [("q_rails_resources", ("/routes.rb",)), ("q_minimal_api", (".cs",)), ("q_nethttp", (".go",))])
 def test_a_query_places_files_it_looks_into_alone(spark, tmp_path, monkeypatch, name, ends):
     spark.sql("SELECT 3L AS s_suppkey UNION ALL SELECT 9L").write.parquet(f"{tmp_path}/supplier.parquet")
     seen, scope = [], relations.scope
@@ -164,3 +164,12 @@ def test_placed_routes_are_those_of_all_files_placed(spark):
         assert rows(R.routes(files, methods, services)) == rows(R.routes(all_placed, methods)) != []
     files.unpersist()
     all_placed.unpersist()
+
+
+def test_a_framework_without_a_manifest_reads_no_gates(spark, monkeypatch):
+    asked, gates = [], R.gates
+    monkeypatch.setattr(R, "gates", lambda files, names: asked.append({*names}) or gates(files, names))
+    files = tree(spark)
+    assert R.routes(files, ["go-http-handlefunc"]).count() > 0 and asked == []
+    both = R.routes(files, ["go-http-handlefunc", "csharp-minimal-api"]).collect()
+    assert asked == [{"minimal_api"}] and {r["extraction_method"] for r in both} == {"go-http-handlefunc", "csharp-minimal-api"}
