@@ -180,6 +180,14 @@ def test_sets_that_share_a_node(spark):
     assert got == {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def test_long_documents_that_share_bands_unlinked(spark):
+    """Each alone weighs two fifths of a unit, so that few of them make several blocks, of which some are empty."""
+    words = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join([*words[: 1_000 * k], *(f"v{k}x{i}" for i in range(1_000)), *words[1_000 * (k + 1) :]]) for k in range(8)]
+    got = minhash.near_duplicates(documents(spark, [*texts, texts[3] + " end"]), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**{k: k for k in range(8)}, 8: 3}
+
+
 def test_one_of_each_with_repeated_ids(spark):
     same = "a b c d e f g"
     rows = [(3, same, "x"), (7, same, "x"), (7, "other words here now", "x"), (7, "other words here now", "y"), (5, "p q r s t", "x"), (5, "P q  r s t", "x"), (8, "p q r s t", "x")]

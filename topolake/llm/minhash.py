@@ -213,6 +213,8 @@ def star_links(units: DataFrame, percent: int) -> DataFrame:
 def _pairs(rows: list[tuple], bucket: int, per_band: int, percent: int) -> list[tuple[int, int]]:
     """Indexes of left and right rows to confirm: other labels, first shared band here, estimate not too low."""
     left, right = [i for i, r in enumerate(rows) if r[0] == 0], [i for i, r in enumerate(rows) if r[0] == 1]
+    if not left or not right:  # heavy rows make more blocks, and chance may leave one empty
+        return []
     regs = np.stack([np.frombuffer(r[4], np.uint16) for r in rows])
     n, node, label = (np.array([r[k] for r in rows]) for k in (5, 1, 2))
     common = np.array([r[3] for r in rows])
