@@ -181,6 +181,18 @@ def test_pieces(spark):
     assert {tuple(r["ids"]) for r in pieces.encode(repeated, PATH).collect()} == {tuple(processor.encode("a b"))}
 
 
+def test_query_of_texts_without_pieces(spark, tmp_path):
+    texts = [None, "", "a b", "\u200b"]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op13_sentencepiece(spark, str(tmp_path)).collect()}
+    processor = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for i, text in enumerate(texts):
+        ids = processor.encode(text or "")
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(processor.decode(ids)))
+    assert [got[i]["n_bytes"] for i in range(3)] == [0, 0, 3] and got[0]["ends_sha256"] == got[1]["ends_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_query_digests(spark):
     row = queries.op13_sentencepiece(spark, "/root/testdata/sf0.001").orderBy("doc_id").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(F.col("doc_id") == row["doc_id"]).first()["text"]

@@ -176,7 +176,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed("ids").alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         listed("ends").alias("ends_sha256"),
-        F.coalesce(F.element_at("ends", -1) - F.element_at("begins", 1), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)) - F.try_element_at("begins", F.lit(1)), F.lit(0)).cast("long").alias("n_bytes"),
     )
 
 
