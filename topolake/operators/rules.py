@@ -136,7 +136,8 @@ def apply_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Connections of files (rel_path, language, service, content): one a line and detection that match.
 
     Lines meet detections and import gates through an index of their literals, so no line or file is held against all rules.  Globs and gates are
-    checked for files and rules that meet, and only files with a hit are read for docstrings and defaults.
+    checked for files and rules that meet, and only files with a hit are read for docstrings and defaults.  Joins by file are shuffles, as
+    Spark's estimate of files made from a few columns is far too low.
     Python docstrings and comments are passed over.  A rule that finds no target gives an empty one with medium confidence.
     """
     own = files.select("rel_path", "language", "content").filter("language is not null")
@@ -150,12 +151,12 @@ def apply_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     shown = shown_gates(own, gates, ["rel_path", "language"], met)
     # only gates of rules that a file meets: a gate may be that of any number of rules
     asked = at.filter(~ungated).select("rel_path", "language", "id", "ord", F.explode("import_gate").alias("literal")).distinct()
-    opened = asked.join(shown, ["rel_path", "language", "literal"], "left_semi").select("rel_path", "language", "id", "ord").distinct()
-    passed = at.filter(ungated).union(at.filter(~ungated).join(opened, ["rel_path", "language", "id", "ord"], "left_semi").select(at.columns)).select("rel_path", "line_no", "id", "ord", "d_ord", "d")
-    chosen = files.join(passed.select("rel_path").distinct(), "rel_path", "left_semi")
+    opened = asked.hint("merge").join(shown, ["rel_path", "language", "literal"], "left_semi").select("rel_path", "language", "id", "ord").distinct()
+    passed = at.filter(ungated).union(at.filter(~ungated).hint("merge").join(opened, ["rel_path", "language", "id", "ord"], "left_semi").select(at.columns)).select("rel_path", "line_no", "id", "ord", "d_ord", "d")
+    chosen = files.filter("language is not null").hint("merge").join(passed.select("rel_path").distinct(), "rel_path", "left_semi")
     lines = with_env_defaults(with_docstrings(lines_of(chosen), "rel_path"))
     code = lines.filter(~(F.col("in_doc") & (F.col("language") == "python")) & ~is_comment(F.col("line")))
-    hits = code.join(passed, ["rel_path", "line_no"])
+    hits = code.hint("merge").join(passed, ["rel_path", "line_no"])
     found, sure = S.demoted(target(F.col("d.target_extraction"), F.col("line"), F.col("env_default")), F.col("d.confidence"))
     return hits.select(
         F.coalesce("service", F.lit("")).alias("source_service"), found.alias("target_name"), F.col("d.protocol").alias("protocol"),
